@@ -7,6 +7,7 @@ guarded by one cheap character-class test, so plain ASCII text passes through.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,14 +60,12 @@ def compatibility_fold(col: Column) -> Column:
 
 def exact_nfkc(col: Column) -> Column:
     """N3, complete: Unicode NFKC.  Only rows holding non-ASCII text travel to Python."""
-    import pandas as pd
+    foreign = F.when(col.rlike(FOREIGN), col)
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(foreign), col)
 
-    @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
 
-    foreign = F.when(col.rlike(FOREIGN), col)
-    return F.coalesce(nfkc(foreign), col)
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
 
 
 def lookalike_fold(col: Column, profile: str = "standard") -> Column:
@@ -145,17 +144,17 @@ def decode_token(token: Column) -> Column:
 def decoded_view(col: Column, rounds: int = 3) -> Column:
     """Replace base64 tokens by their text, up to three rounds; white space collapses."""
     has_token = f"(?:^|{WIDE_SPACE})[A-Za-z0-9+/=]{{12,}}(?:{WIDE_SPACE}|$)"
+
+    def one_round(text: Column) -> Column:
+        decoded = F.transform(
+            F.split(text, WIDE_SPACE + "+"),
+            lambda t: F.coalesce(F.when(t.rlike(SPAN_TOKEN), decode_token(t)), t),
+        )
+        return F.when(text.rlike(has_token), F.array_join(decoded, " ")).otherwise(text)
+
     out = F.regexp_replace(col, f"{WIDE_SPACE}+", " ")
     for _ in range(rounds):
-        tokens = F.split(out, WIDE_SPACE + "+")
-        decoded = F.array_join(
-            F.transform(
-                tokens,
-                lambda t: F.coalesce(F.when(t.rlike(SPAN_TOKEN), decode_token(t)), t),
-            ),
-            " ",
-        )
-        out = F.when(out.rlike(has_token), decoded).otherwise(out)
+        out = F.get(F.transform(F.array(out), one_round), 0)  # binds the text once per round
     return out
 
 

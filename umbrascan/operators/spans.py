@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,19 @@ PATTERNS = [
     ("API_KEY", r"\b(?:sk|pk|rk)_[A-Za-z0-9]{20,}\b|\bAKIA[0-9A-Z]{16}\b"),
     ("PHONE_IN", r"(?:\(?\+?91\)?[\s.\-]?)?(?:\(?0\))?[\s.\-]?[6-9]\d{4}[\s.\-]?\d{5}"),
 ]
-FALLBACK_PAN = "[A-Za-z]{5}[0-9]{4}[A-Za-z]{1}"
 FALLBACK_PHONE = "(?:91|0091)?([6-9][0-9]{9})"
-FALLBACK_LICENCE = "(?i)[A-Z]{2}[0-9]{2}[0-9]{4}[0-9]{7}"
 FALLBACK_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z0-9]{2,}"
 LETTERS = r"[a-zA-Z\x{400}-\x{4FF}\x{370}-\x{3FF}]"
 MARKER = "evasion-normalized: "
 
+# Five letters, four digits, a letter; two letters and thirteen digits (O counts as zero):
+# in both cases anything but ASCII letters and digits may stand between.
+_X = "[^A-Za-z0-9]*"
+FOUR_GAPPED_DIGITS = f"[0-9](?:{_X}[0-9]){{3}}"
+GAPPED_PAN = f"[A-Za-z](?:{_X}[A-Za-z]){{4}}(?:{_X}[0-9]){{4}}{_X}[A-Za-z]"
+THIRTEEN_GAPPED_DIGITS = f"[0-9Oo](?:{_X}[0-9Oo]){{12}}"
+GAPPED_LICENCE = f"[A-NP-Za-np-z]{_X}[A-NP-Za-np-z](?:{_X}[0-9Oo]){{13}}"
+
 VIEWS = ["folded", "leet", "decoded", "compact"]
 _WORD = "[A-Za-z0-9_]"
 _HIT = "struct<type:string,value:string,ord:int,start:int,end:int>"
@@ -42,7 +50,12 @@ _NONE = f"cast(array() as array<{_HIT}>)"
 
 
 def ascii_classes(pattern: str) -> str:
-    r"""Give ``\b`` its ASCII meaning and ``\s`` the ECMAScript one, on any JDK."""
+    r"""Give ``\b`` its ASCII meaning and ``\s`` the ECMAScript one, on any JDK.
+
+    A ``\b`` that opens an alternative faces a word character, one that closes it follows one.
+    """
+    pattern = re.sub(r"(^|\(\?i\)|\|)\\b(?!\[\\w)", rf"\1(?<!{_WORD})", pattern)
+    pattern = re.sub(r"\\b($|\|)", rf"(?!{_WORD})\1", pattern)
     edge = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
     return pattern.replace(r"\b", edge).replace(r"\s", V.WIDE_SPACE[1:-1])
 
@@ -78,12 +91,14 @@ def _pattern_hits(type_: str, pattern: str, ord_: int, view: str) -> str:
 def _fallback_hits(view: str, hits: str, base: int) -> str:
     """Findings on reduced texts, only for types without a direct hit in this view."""
     digits = f"regexp_replace({view}, '[^0-9]', '')"
-    alnum = f"regexp_replace({view}, '[^A-Za-z0-9]', '')"
-    licence = f"regexp_replace(translate({view}, 'Oo', '00'), '[^A-Za-z0-9]', '')"
     joined = f"regexp_replace({view}, {quote(V.WIDE_SPACE)}, '')"
+    # PAN and licence are found through the gaps of the view itself and reduced afterwards,
+    # so the whole text is never rewritten for them.
+    pan = f"regexp_replace(regexp_extract({view}, {quote(GAPPED_PAN)}, 0), '[^A-Za-z0-9]', '')"
+    licence = f"regexp_replace(regexp_extract({view}, {quote(GAPPED_LICENCE)}, 0), '[^A-Za-z0-9]', '')"
     rows = [
-        ("AADHAAR", f"length({digits}) = 12", digits),
-        ("PAN", f"{alnum} rlike {quote(FALLBACK_PAN)}", f"upper(regexp_extract({alnum}, {quote(FALLBACK_PAN)}, 0))"),
+        ("AADHAAR", f"{view} rlike '[0-9]' and length({digits}) = 12", digits),
+        ("PAN", f"{view} rlike {quote(FOUR_GAPPED_DIGITS)} and {view} rlike {quote(GAPPED_PAN)}", f"upper({pan})"),
         (
             "PHONE_IN",
             f"not {view} rlike {quote(LETTERS)} and {digits} rlike {quote(FALLBACK_PHONE)}",
@@ -91,8 +106,8 @@ def _fallback_hits(view: str, hits: str, base: int) -> str:
         ),
         (
             "DRIVING_LICENSE",
-            f"{licence} rlike {quote(FALLBACK_LICENCE)}",
-            f"upper(regexp_extract({licence}, {quote(FALLBACK_LICENCE)}, 0))",
+            f"{view} rlike {quote(THIRTEEN_GAPPED_DIGITS)} and {view} rlike {quote(GAPPED_LICENCE)}",
+            f"upper(translate({licence}, 'Oo', '00'))",
         ),
         (
             "EMAIL",
@@ -100,10 +115,8 @@ def _fallback_hits(view: str, hits: str, base: int) -> str:
             f"regexp_extract({joined}, {quote(FALLBACK_EMAIL)}, 0)",
         ),
     ]
-    gate = {"AADHAAR": "[0-9]", "PAN": "[0-9]", "PHONE_IN": "[0-9]", "DRIVING_LICENSE": "[0-9Oo]", "EMAIL": "@"}
     parts = [
-        f"if(not exists({hits}, h -> h.type = '{t}') and {view} rlike '{gate[t]}' and {cond}, "
-        f"array({_hit(t, value, base + i)}), {_NONE})"
+        f"if({cond} and not exists({hits}, h -> h.type = '{t}'), array({_hit(t, value, base + i)}), {_NONE})"
         for i, (t, cond, value) in enumerate(rows)
     ]
     return f"concat({', '.join(parts)})"
