@@ -10,8 +10,8 @@ CLEAN_SECTIONS = ("invalid", "invalid luhn", "invalidAB1234567", "false positive
 
 
 def ratio(part: Column, whole: Column, digits: int = 3) -> Column:
-    """Rounded share; 0 without a denominator."""
-    return F.coalesce(F.round(part / F.nullif(whole, F.lit(0)), digits), F.lit(0.0))
+    """Share rounded half to even; 0 without a denominator."""
+    return F.coalesce(F.bround(part / F.nullif(whole, F.lit(0)), digits), F.lit(0.0))
 
 
 def precision_recall(scanned: DataFrame, label: str = "label", types: str = "detections") -> DataFrame:

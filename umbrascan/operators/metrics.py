@@ -140,8 +140,8 @@ def slo_snapshot(
     index = p95_rank(F.size("__v")).cast("int")
     return sample.crossJoin(totals).select(  # one row each
         F.size("__v").cast("long").alias("window_size"),
-        F.round(F.coalesce(F.col("__errors") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0)), 4).alias("detection_error_rate"),
-        F.round(F.coalesce(F.get("__v", index), F.lit(0.0)), 2).alias("p95_detection_ms"),
+        F.bround(F.coalesce(F.col("__errors") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0)), 4).alias("detection_error_rate"),
+        F.bround(F.coalesce(F.get("__v", index), F.lit(0.0)), 2).alias("p95_detection_ms"),
         F.lit(SLO_P95_MS).alias("target_p95_ms"),
         F.lit(SLO_ERROR_RATE).alias("target_error_rate"),
     )

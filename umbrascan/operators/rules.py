@@ -84,20 +84,20 @@ HIGH_HARDENED = [t for t in HIGH_STANDARD if t != "US_SSN"]
 
 # --- derived patterns -----------------------------------------------------------
 
-_LETTER = "[a-fh-km-np-rt-zA-FHJ-NP-RT-Z]"  # letters optical repair leaves alone
-_DIGIT = "[0-9lI|OoSsgG]"  # digits and the letters read as digits
+PLAIN_LETTER = "[a-fh-km-np-rt-zA-FHJ-NP-RT-Z]"  # letters optical repair leaves alone
+DIGIT_LIKE = "[0-9lI|OoSsgG]"  # digits and the letters read as digits
 _GAP = r"[\s\-_.:]"
 _EDGE = r"[^\w\s\-.:|]"  # a character that stays a word edge once gaps are dropped
 AADHAAR_OCR = (
-    rf"(?:^|{_EDGE}){_GAP}*+[2-9SsgG](?:{_GAP}*{_DIGIT}){{11}}{_GAP}*+(?:\z|{_EDGE})"
+    rf"(?:^|{_EDGE}){_GAP}*+[2-9SsgG](?:{_GAP}*{DIGIT_LIKE}){{11}}{_GAP}*+(?:\z|{_EDGE})"
 )
 PAN_OCR_TOKEN = (
-    rf"(?<!\S)[\-_.:]*+{_LETTER}(?:[\-_.:]*{_LETTER}){{4}}(?:[\-_.:]*{_DIGIT}){{4}}"
-    rf"[\-_.:]*{_LETTER}[\-_.:]*(?!\S)"
+    rf"(?<!\S)[\-_.:]*+{PLAIN_LETTER}(?:[\-_.:]*{PLAIN_LETTER}){{4}}(?:[\-_.:]*{DIGIT_LIKE}){{4}}"
+    rf"[\-_.:]*{PLAIN_LETTER}[\-_.:]*(?!\S)"
 )
 PAN_OCR_TEXT = (
-    rf"(?:^|{_EDGE}){_GAP}*+{_LETTER}(?:{_GAP}*{_LETTER}){{4}}(?:{_GAP}*{_DIGIT}){{4}}"
-    rf"{_GAP}*{_LETTER}{_GAP}*+(?:\z|{_EDGE})"
+    rf"(?:^|{_EDGE}){_GAP}*+{PLAIN_LETTER}(?:{_GAP}*{PLAIN_LETTER}){{4}}(?:{_GAP}*{DIGIT_LIKE}){{4}}"
+    rf"{_GAP}*{PLAIN_LETTER}{_GAP}*+(?:\z|{_EDGE})"
 )
 PAN_REVERSED = r"(?<!\S)[a-zA-Z]\d{4}[a-zA-Z]{5}(?!\S)"
 PAN_LEET = r"(?<!\S)(?=[^\d\s]{0,4}\d)[A-Za-z34105@$]{5}\d{4}[A-Za-z34105@$](?!\S)"
@@ -105,7 +105,7 @@ PAN_GAPPED = r"(?<!\S)[A-Za-z](?:\s*[A-Za-z]){4}(?:\s*\d){4}\s*[A-Za-z](?!\S)"
 PAN_STEM = r"\b[a-zA-Z]{5}\d{4}\b"
 SEPARATED_DIGITS = r"\d[\s\-_.]+\d"
 CARD_OCR_RUN = r"[0-9lI|OoSsgG][0-9lI|OoSsgG\s\-_.:]{12,}"
-FOUR_DIGIT_LIKE = rf"{_DIGIT}(?:{_GAP}*{_DIGIT}){{3}}"
+FOUR_DIGIT_LIKE = rf"{DIGIT_LIKE}(?:{_GAP}*{DIGIT_LIKE}){{3}}"
 OCR_NOISE = r"[lIoOsSgG|\s\-_.]"
 NON_OCR_LETTER = r"[\p{L}&&[^lIoOsSgG]]"
 NUMBER_WORD = r"(?i)(?<!\S)(" + "|".join(tables.DIGIT_WORDS) + r")(?!\S)"

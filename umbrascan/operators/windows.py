@@ -204,7 +204,7 @@ def slo_breaches(
     out = joined.withColumns(
         {
             "samples": size,
-            "error_rate": F.round(rate, 4),
+            "error_rate": F.bround(rate, 4),
             "p95_over": over_p95,
             "breach": (size >= metrics.SLO_MIN_SAMPLES) & (over_p95 | (rate > metrics.SLO_ERROR_RATE)),
         }

@@ -484,19 +484,19 @@ def build() -> dict[str, str]:
         "AND action = 'block' AND list_contains(types, 'CREDIT_CARD')",
         "slo_snapshot": f"WITH {REQ}, w AS (SELECT latency_ms FROM r ORDER BY timestamp DESC, id DESC LIMIT 3000), "
         "o AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS k, count(*) OVER () AS n FROM w) "
-        "SELECT n AS window_size, (SELECT round(count(*) FILTER (is_error) / count(*), 4) FROM r) AS detection_error_rate, "
-        "round(latency_ms, 2) AS p95_detection_ms, 300.0::DOUBLE AS target_p95_ms, 0.01::DOUBLE AS target_error_rate "
+        "SELECT n AS window_size, (SELECT round_even(count(*) FILTER (is_error) / count(*), 4) FROM r) AS detection_error_rate, "
+        "round_even(latency_ms, 2) AS p95_detection_ms, 300.0::DOUBLE AS target_p95_ms, 0.01::DOUBLE AS target_error_rate "
         "FROM o WHERE k = floor(0.95 * (n - 1))",
         "slo_breaches": f"WITH {REQ}, o AS (SELECT id, row_number() OVER a AS seq, sum(is_error::INT) OVER a AS errs, "
         "list(latency_ms) OVER (ORDER BY timestamp, id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS win FROM r "
         "WINDOW a AS (ORDER BY timestamp, id)), p AS (SELECT id, len(win) AS samples, errs / seq AS rate, "
         "list_sort(win)[floor(0.95 * (len(win) - 1))::INT + 1] > 300 AS p95_over FROM o) "
-        "SELECT id, samples::BIGINT AS samples, round(rate, 4) AS error_rate, p95_over, "
+        "SELECT id, samples::BIGINT AS samples, round_even(rate, 4) AS error_rate, p95_over, "
         "samples >= 20 AND (p95_over OR rate > 0.01) AS breach FROM p",
         "slo_breaches_by_status": f"WITH {REQ}, o AS (SELECT id, row_number() OVER a AS seq, sum(is_error::INT) OVER a AS errs, "
         "sum((latency_ms > 300)::INT) OVER (PARTITION BY status ORDER BY timestamp, id ROWS BETWEEN 2999 PRECEDING AND CURRENT ROW) AS slow "
         "FROM r WINDOW a AS (PARTITION BY status ORDER BY timestamp, id)), p AS (SELECT id, least(seq, 3000) AS samples, errs / seq AS rate, slow FROM o) "
-        "SELECT id, samples::BIGINT AS samples, round(rate, 4) AS error_rate, "
+        "SELECT id, samples::BIGINT AS samples, round_even(rate, 4) AS error_rate, "
         "samples >= 20 AND (slow >= samples - floor(0.95 * (samples - 1)) OR rate > 0.01) AS breach FROM p",
         "request_counters": f"WITH {REQ} SELECT count(*) AS requests, count(*) FILTER (NOT is_error) AS detections_ok, "
         "count(*) FILTER (is_error) AS errors FROM r",
@@ -535,12 +535,12 @@ def build() -> dict[str, str]:
         "label_precision_recall": f"{confusion}, c AS (SELECT count(*) FILTER (predicted AND quality = 0) AS tp, "
         "count(*) FILTER (predicted AND quality <> 0) AS fp, count(*) FILTER (NOT predicted AND quality = 0) AS fn, "
         "count(*) FILTER (NOT predicted AND quality <> 0) AS tn FROM j) SELECT *, "
-        "coalesce(round(tp / nullif(tp + fp, 0), 3), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 3), 0) AS recall FROM c",
+        "coalesce(round_even(tp / nullif(tp + fp, 0), 3), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0), 3), 0) AS recall FROM c",
         "case_precision_recall": f"{confusion}, k AS (SELECT predicted, CASE WHEN toxic = 1 THEN 'adversarial' WHEN quality = 1 THEN "
         "'negative' ELSE 'positive' END AS label FROM j), c AS (SELECT label, count(*) AS samples, "
         "count(*) FILTER (label <> 'negative' AND predicted) AS tp, count(*) FILTER (label = 'negative' AND predicted) AS fp, "
         "count(*) FILTER (label <> 'negative' AND NOT predicted) AS fn FROM k GROUP BY 1) SELECT *, "
-        "coalesce(round(tp / nullif(tp + fp, 0), 3), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 3), 0) AS recall FROM c",
+        "coalesce(round_even(tp / nullif(tp + fp, 0), 3), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0), 3), 0) AS recall FROM c",
         "corpus_accuracy": f"{scanned(extra='source,')}, j AS (SELECT source AS section, len(types) > 0 AS actual, "
         "NOT (source IN (SELECT 'src' || (2 * i)::VARCHAR FROM range(20) t(i))) AS expected FROM s) "
         "SELECT section, count(*) AS total, count(*) FILTER (expected) AS expected, count(*) FILTER (actual) AS actual, "
@@ -554,7 +554,7 @@ def build() -> dict[str, str]:
         "b.actual - a.actual AS correct_delta FROM a JOIN b USING (section)",
         "bypass_rate": f"{scanned()}, c AS (SELECT count(*) AS total, count(*) FILTER (list_contains(types, 'EMAIL_ADDRESS')) AS passed, "
         "count(*) FILTER (len(types) = 0) AS bypassed FROM s WHERE contains(raw, '@')) SELECT *, "
-        "coalesce(round(passed / nullif(total, 0), 4), 0) AS success_rate, coalesce(round(bypassed / nullif(total, 0), 4), 0) AS bypass_rate FROM c",
+        "coalesce(round_even(passed / nullif(total, 0), 4), 0) AS success_rate, coalesce(round_even(bypassed / nullif(total, 0), 4), 0) AS bypass_rate FROM c",
         "run_regressions": f"{scanned()}, b AS (SELECT doc_id, unnest(types) AS type FROM s), "
         f"a AS (SELECT doc_id, unnest(types) AS type FROM ({hardened()} SELECT doc_id, types FROM s)) "
         "SELECT type, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1",
