@@ -128,10 +128,11 @@ def _ranges(points) -> str:
 def char_class(chars) -> str:
     """A regex class holding exactly ``chars``.
 
-    The hull of the set comes first: ordinary letters fail on one or two range tests and
-    never walk the full list.
+    The hull of the set comes first, per script block: ordinary letters fail on a few range
+    tests and never walk the full list.
     """
     points = [ord(c) for c in chars]
-    parts = [[p for p in points if p < 0x100], [p for p in points if p >= 0x100]]
+    blocks = ((0, 0x20), (0x20, 0x80), (0x80, 0x100), (0x100, 0x110000))
+    parts = [[p for p in points if low <= p < high] for low, high in blocks]
     hull = "".join(f"\\x{{{min(part):X}}}-\\x{{{max(part):X}}}" for part in parts if part)
     return f"[[{hull}]&&[{_ranges(points)}]]"

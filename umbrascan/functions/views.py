@@ -34,6 +34,22 @@ def _fold(col: Column, table: dict[str, str]) -> Column:
     return F.when(col.rlike(tables.char_class(table)), out).otherwise(col)
 
 
+def _bound(col: Column, step) -> Column:
+    """``step(col)`` with ``col`` evaluated once, however often ``step`` mentions it."""
+    return F.get(F.transform(F.array(col), step), 0)
+
+
+def _fold_and_drop(col: Column, table: dict[str, str], gone: str) -> Column:
+    """One pass that maps single characters and deletes others; skipped if none occurs."""
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    long = {k: v for k, v in table.items() if len(v) > 1}
+    # ``translate`` deletes source characters that have no counterpart
+    out = F.translate(col, "".join(single) + gone, "".join(single.values()))
+    if long:
+        out = _bound(out, lambda t: _fold(t, long))
+    return F.when(col.rlike(tables.char_class([*table, *gone])), out).otherwise(col)
+
+
 def _rewrite_pieces(col: Column, pattern: str, rewrite) -> Column:
     """Apply ``rewrite`` to every match of ``pattern`` and leave the rest alone."""
     pieces = F.split(F.regexp_replace(col, pattern, NUL + "$0" + NUL), NUL)
@@ -115,17 +131,17 @@ def without_space(col: Column) -> Column:
 
 def word_chars(col: Column) -> Column:
     """Letters, digits and underscore only."""
-    return F.regexp_replace(col, "[^A-Za-z0-9_]", "")
+    return F.regexp_replace(col, r"\W+", "")
 
 
 def alnum_only(col: Column) -> Column:
     """Letters and digits only."""
-    return F.regexp_replace(col, "[^A-Za-z0-9]", "")
+    return F.regexp_replace(col, r"[\W_]+", "")
 
 
 def digits_only(col: Column) -> Column:
     """Digits only."""
-    return F.regexp_replace(col, "[^0-9]", "")
+    return F.regexp_replace(col, r"\D+", "")
 
 
 def licence_fold(col: Column) -> Column:
@@ -141,30 +157,47 @@ def decode_token(token: Column) -> Column:
     return F.when((F.length(text) > 2) & text.rlike(PRINTABLE), text)
 
 
+def collapse_space(col: Column) -> Column:
+    """Every run of white space as one blank."""
+    wide = "\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+    plain = F.when(col.rlike(tables.char_class(wide)), F.translate(col, wide, " " * len(wide))).otherwise(col)
+    return F.regexp_replace(plain, r"\s+", " ")
+
+
 def decoded_view(col: Column, rounds: int = 3) -> Column:
-    """Replace base64 tokens by their text, up to three rounds; white space collapses."""
-    has_token = f"(?:^|{WIDE_SPACE})[A-Za-z0-9+/=]{{12,}}(?:{WIDE_SPACE}|$)"
+    """Replace base64 tokens by their text, up to three rounds; white space collapses.
+
+    A round runs only if the one before decoded something.  With white space collapsed a
+    line feed is free to mark the tokens.
+    """
+    token = r"(?<![^ ])[A-Za-z0-9+/=]{12,}+(?![^ ])"
 
-    def one_round(text: Column) -> Column:
-        decoded = F.transform(
-            F.split(text, WIDE_SPACE + "+"),
-            lambda t: F.coalesce(F.when(t.rlike(SPAN_TOKEN), decode_token(t)), t),
+    def decode(text: Column) -> Column:
+        pieces = F.split(F.regexp_replace(text, token, "\n$0\n"), "\n")
+        return F.array_join(
+            F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(decode_token(p), p)).otherwise(p)), ""
         )
-        return F.when(text.rlike(has_token), F.array_join(decoded, " ")).otherwise(text)
 
-    out = F.regexp_replace(col, f"{WIDE_SPACE}+", " ")
+    def one_round(state: Column) -> Column:
+        def after(text: Column) -> Column:
+            done = F.when(text.rlike(token), decode(text)).otherwise(text)
+            return _bound(done, lambda d: F.struct(d.alias("text"), (d != text).alias("changed")))
+
+        return F.when(state["changed"], _bound(collapse_space(state["text"]), after)).otherwise(state)
+
+    state = F.struct(col.alias("text"), F.lit(True).alias("changed"))
     for _ in range(rounds):
-        out = F.get(F.transform(F.array(out), one_round), 0)  # binds the text once per round
-    return out
+        state = _bound(state, one_round)
+    return state["text"]
 
 
 def base_view(col: Column, profile: str = "standard", nfkc: bool = False) -> Column:
     """N1-N4 chained: the text every rule reads first."""
     if profile == "spans":
-        folded = span_alphabet_fold(strip_invisible(col, tables.INVISIBLE_SPANS))
-        return F.when(col.rlike(FOREIGN), folded).otherwise(col)
-    clean = strip_null(col)
-    folded = strip_invisible(clean)
-    folded = exact_nfkc(folded) if nfkc else compatibility_fold(folded)
-    # Every later step only touches non-ASCII text, so plain ASCII skips them all.
-    return F.when(clean.rlike(FOREIGN), lookalike_fold(folded, profile)).otherwise(clean)
+        return _fold_and_drop(col, tables.span_alphabet(), tables.INVISIBLE_SPANS)
+    if nfkc:
+        return lookalike_fold(exact_nfkc(strip_invisible(strip_null(col))), profile)
+    # Compatibility forms fold to ASCII and look-alikes are letters of other scripts, so the
+    # two tables never chain and one pass does both, together with the deletions.
+    table = {**tables.compatibility_chars(), **tables.lookalikes(profile)}
+    return _fold_and_drop(col, table, NUL + tables.INVISIBLE)

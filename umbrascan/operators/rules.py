@@ -163,6 +163,7 @@ def dots(subject: str) -> str:
 
 # gates (P4)
 DIGIT = "{digit}"
+KEYED_DIGIT = "({keyword} and {digit})"
 SIGN = f"({has('=')} or {has(':')})"
 QUOTES = f"""({has("'")} or {has('"')})"""
 BASE64_SIGN = f"({has('=')} or {has('+')} or {has('/')})"
@@ -218,9 +219,11 @@ _OCR_NUMBERS = (
     f"flatten(transform({every(CARD_OCR_RUN)}, r -> regexp_extract_all(translate("
     f"{without(_GAP + '+', 'r')}, {_OCR_KEYS}, {_OCR_VALUES}), '[0-9]{{13,19}}', 0)))"
 )
+# ``exists(array(x), y -> ...)`` binds x once.  It also keeps x out of common-subexpression
+# elimination, which would compute it for every row, before the cheap tests.
 OCR_CARD = (
-    f"{sees(CARD_OCR_RUN)} and {sees(OCR_NOISE)} and (exists({_OCR_NUMBERS}, n -> luhn_check(n)) or "
-    f"(size({_OCR_NUMBERS}) > 0 and {sees(CARD_KEYWORD)} and {sees(SEPARATED_DIGITS)}))"
+    f"{sees(CARD_OCR_RUN)} and exists(array({_OCR_NUMBERS}), ns -> exists(ns, n -> luhn_check(n)) or "
+    f"(size(ns) > 0 and {sees(CARD_KEYWORD)} and {sees(SEPARATED_DIGITS)})) and {sees(OCR_NOISE)}"
 )
 # Loose shape first, the exact list of shapes only where it matched.
 SPLIT_PAN = f"{sees(PAN_GAPPED)} and {sees(PAN_SPLIT)}"
@@ -228,9 +231,12 @@ _PARTS = every(QUOTED_PART, 1)
 # The joined parts start with "sk-", so the first quoted part gives a cheap test.
 _FIRST_PART = sees(r"""^[^'"]*['"]+s(?:['"]|k(?:['"]|-))""")
 QUOTED_KEY = (
-    f"{_FIRST_PART} and size({_PARTS}) >= 2 and array_join({_PARTS}, '') rlike '^sk-[a-zA-Z0-9]{{20,}}'"
+    f"{_FIRST_PART} and exists(array({_PARTS}), p -> size(p) >= 2 and array_join(p, '') "
+    "rlike '^sk-[a-zA-Z0-9]{20,}')"
+)
+QUOTED_SECRET = (
+    f"{sees(QUOTED_SECRET_LABEL)} and exists(array({_PARTS}), p -> size(p) >= 2 and length(array_join(p, '')) >= 8)"
 )
-QUOTED_SECRET = f"{sees(QUOTED_SECRET_LABEL)} and size({_PARTS}) >= 2 and length(array_join({_PARTS}, '')) >= 8"
 SHORT_KEYWORD = sees(ID_KEYWORD_SHORT)
 # Twelve number words need one that is neither "zero" nor "one".
 NUMBER_WORDS = sees(r"(?i)(?=[tfsen])(?<!\S)(?:two|three|four|five|six|seven|eight|nine)(?!\S)")
@@ -307,9 +313,9 @@ STANDARD_RULES: list[Rule] = [
     Rule("aadhaar_prefixed", "AADHAAR", AADHAAR_PREFIXED, NUMBER, DIGIT),
     Rule("aadhaar_words", "AADHAAR", views=TEXT, gate=NUMBER_WORDS, test=SPELLED_DIGITS),
     Rule("aadhaar_spaced", "AADHAAR", AADHAAR_SPACED, NUMBER, DIGIT),
-    Rule("aadhaar_embedded", "AADHAAR", r"[2-9]\d{11}", NUMBER, DIGIT, context=SHORT_KEYWORD),
-    Rule("aadhaar_first_digits", "AADHAAR", AADHAAR_FIRST_DIGITS, NUMBER, DIGIT, context=SHORT_KEYWORD, group=1),
-    Rule("aadhaar_last_digits", "AADHAAR", AADHAAR_LAST_DIGITS, NUMBER, DIGIT, context=SHORT_KEYWORD, group=1),
+    Rule("aadhaar_embedded", "AADHAAR", r"[2-9]\d{11}", NUMBER, KEYED_DIGIT, context=SHORT_KEYWORD),
+    Rule("aadhaar_first_digits", "AADHAAR", AADHAAR_FIRST_DIGITS, NUMBER, KEYED_DIGIT, group=1),
+    Rule("aadhaar_last_digits", "AADHAAR", AADHAAR_LAST_DIGITS, NUMBER, KEYED_DIGIT, group=1),
     Rule("aadhaar_ocr", "AADHAAR", views=("base",), test=OCR_AADHAAR),
     Rule("pan", "PAN", PAN, TEXT, DIGIT),
     Rule("pan_ocr", "PAN", views=("base",), gate=sees(FOUR_DIGIT_LIKE), test=OCR_PAN),

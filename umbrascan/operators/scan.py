@@ -79,7 +79,7 @@ def type_list(profile: Profile, refs: dict[str, str], prefilter: bool = True) ->
     for types, hits in groups.items():
         names = ", ".join(quote(t) for t in types)
         cases.append(f"case when {' or '.join(hits)} then array({names}) else cast(array() as array<string>) end")
-    return f"array_sort(array_distinct(flatten(array({', '.join(cases)}))))"
+    return f"sort_array(array_distinct(flatten(array({', '.join(cases)}))))"
 
 
 # --- base64 levels (P3) -----------------------------------------------------------
@@ -189,7 +189,7 @@ def scan_types(
     if encoded:
         out = with_encoded_types(out, profile, max_runs, prefilter)
         found = F.array_distinct(F.concat(found, F.col("__encoded")))
-    out = out.withColumn("detections", settled(F.array_sort(found)))
+    out = out.withColumn("detections", settled(F.sort_array(found)))
     out = out.drop("__encoded")
     return out if keep_views else out.drop(*VIEW_COLUMNS)
 

@@ -84,24 +84,24 @@ def _pattern_hits(type_: str, pattern: str, ord_: int, view: str) -> str:
         f"{_hit(type_, 'z.m', ord_, start, f'{start} + length(z.m)')}))))"
     )
     walk = f"aggregate({pairs}, named_struct('pos', 0, 'hits', {_NONE}), (acc, z) -> {step}, acc -> acc.hits)"
-    gate = "{v} rlike '[0-9]'" if type_ not in _GATE else _GATE[type_]
+    gate = _GATE.get(type_, "{v}_digit")
     return f"if({gate.replace('{v}', view)} and {view} rlike {literal}, {walk}, {_NONE})"
 
 
 def _fallback_hits(view: str, hits: str, base: int) -> str:
     """Findings on reduced texts, only for types without a direct hit in this view."""
-    digits = f"regexp_replace({view}, '[^0-9]', '')"
+    digits = f"{view}_digits"
     joined = f"regexp_replace({view}, {quote(V.WIDE_SPACE)}, '')"
     # PAN and licence are found through the gaps of the view itself and reduced afterwards,
     # so the whole text is never rewritten for them.
     pan = f"regexp_replace(regexp_extract({view}, {quote(GAPPED_PAN)}, 0), '[^A-Za-z0-9]', '')"
     licence = f"regexp_replace(regexp_extract({view}, {quote(GAPPED_LICENCE)}, 0), '[^A-Za-z0-9]', '')"
     rows = [
-        ("AADHAAR", f"{view} rlike '[0-9]' and length({digits}) = 12", digits),
-        ("PAN", f"{view} rlike {quote(FOUR_GAPPED_DIGITS)} and {view} rlike {quote(GAPPED_PAN)}", f"upper({pan})"),
+        ("AADHAAR", f"length({digits}) = 12", digits),
+        ("PAN", f"{view}_digit and {view} rlike {quote(FOUR_GAPPED_DIGITS)} and {view} rlike {quote(GAPPED_PAN)}", f"upper({pan})"),
         (
             "PHONE_IN",
-            f"not {view} rlike {quote(LETTERS)} and {digits} rlike {quote(FALLBACK_PHONE)}",
+            f"{view}_digit and not {view} rlike {quote(LETTERS)} and {digits} rlike {quote(FALLBACK_PHONE)}",
             f"regexp_extract({digits}, {quote(FALLBACK_PHONE)}, 0)",
         ),
         (
@@ -139,7 +139,7 @@ def with_steps(df: DataFrame, text_col: str, out_col: str = "steps") -> DataFram
         ("Zero-width stripped", "__stripped", raw, "Removed invisible chars"),
         ("Homoglyph normalized", "__folded", F.col("__stripped"), "Mapped lookalikes"),
         ("De-leeted", "__leet", F.col("__folded"), "Translated leetspeak"),
-        ("Base64 recursively decoded", "__decoded", F.regexp_replace("__leet", V.WIDE_SPACE + "+", " "), "Decoded text"),
+        ("Base64 recursively decoded", "__decoded", V.collapse_space(F.col("__leet")), "Decoded text"),
     ]
     steps = [F.struct(F.lit("Raw input").alias("name"), raw.alias("output"), F.lit(None).cast("string").alias("note"))]
     for name, col, before, note in chain:
@@ -158,8 +158,18 @@ def with_steps(df: DataFrame, text_col: str, out_col: str = "steps") -> DataFram
 def with_hits(df: DataFrame, text_col: str) -> DataFrame:
     """Add ``hits``: distinct (type, value) with the offset of the first match, if direct."""
     out = with_span_views(df, text_col)
-    for n, view in enumerate(VIEWS):
-        column, base = f"__{view}", 100 * n
+    # A view equal to the one before has the same hits; null skips it.
+    sources = {
+        "__v0": F.col("__folded"),
+        "__v1": F.nullif(F.col("__leet"), F.col("__folded")),
+        "__v2": F.nullif(F.col("__decoded"), F.col("__leet")),
+        "__v3": F.col("__compact"),
+    }
+    out = out.withColumns(sources)
+    out = out.withColumns({f"{v}_digit": F.coalesce(F.col(v).rlike("[0-9]"), F.lit(False)) for v in sources})
+    out = out.withColumns({f"{v}_digits": F.when(F.col(f"{v}_digit"), F.regexp_replace(v, r"\D+", "")) for v in sources})
+    for n, column in enumerate(sources):
+        base = 100 * n
         direct = [_pattern_hits(t, p, base + i, column) for i, (t, p) in enumerate(COMPILED)]
         out = out.withColumn(f"__h{n}", F.expr(f"concat({', '.join(direct)})"))
         out = out.withColumn(f"__f{n}", F.expr(_fallback_hits(column, f"__h{n}", base + 50)))
@@ -174,7 +184,7 @@ def with_hits(df: DataFrame, text_col: str) -> DataFrame:
         f"'view', get({names}, cast(x.ord div 100 as int))))"
     )
     out = out.withColumn("hits", settled(F.expr(placed)))
-    return out.drop(*[f"__h{n}" for n in range(4)], *[f"__f{n}" for n in range(4)])
+    return out.drop(*[f"__{k}{n}" for k in "hfv" for n in range(4)], *[f"__v{n}_digit{s}" for n in range(4) for s in ("", "s")])
 
 
 def _quoted(value: Column) -> Column:
@@ -202,9 +212,12 @@ def scan_spans(df: DataFrame, text_col: str = "text", keep_views: bool = False)
     out = with_hits(df, text_col).withColumn("normalized", F.col("__compact")).withColumn("__r", raw)
     seen = []
     # X3, first pass: direct matches in the raw text, type by type
+    out = out.withColumn("__digit", raw.rlike("[0-9]"))
     for i, (type_, pattern) in enumerate(COMPILED):
-        out = out.withColumn(f"__t{i}", F.when(F.col("__r").rlike(pattern), F.lit(type_)))
-        out = out.withColumn("__r", F.when(F.col(f"__t{i}").isNotNull(), F.regexp_replace("__r", pattern, f"[{type_}]")).otherwise(F.col("__r")))
+        gate = F.expr(_GATE[type_].replace("{v}", "__r")) if type_ in _GATE else F.col("__digit")
+        out = out.withColumn(f"__t{i}", F.when(gate & F.col("__r").rlike(pattern), F.lit(type_)))
+        put = F.regexp_replace("__r", pattern, f"[{type_}]")
+        out = out.withColumn("__r", F.when(F.col(f"__t{i}").isNotNull(), put).otherwise(F.col("__r")))
         seen.append(f"__t{i}")
     out = out.withColumn("__raw_types", F.array_compact(F.array(*seen)))
     # second pass: values that only exist in a reduced text
@@ -223,7 +236,7 @@ def scan_spans(df: DataFrame, text_col: str = "text", keep_views: bool = False)
     marked = F.concat(F.col("__r"), F.lit(f" ⟪{MARKER}"), F.array_join("__missing", " "), F.lit("⟫"))
     redacted = F.when(F.size("__missing") > 0, marked).otherwise(F.col("__r"))
     out = out.withColumn("redacted_prompt", F.when(F.col("action") == "allow", F.col(text_col)).otherwise(redacted))
-    out = out.drop("__r", "__v", "__missing", "__raw_types", *seen)
+    out = out.drop("__r", "__v", "__digit", "__missing", "__raw_types", *seen)
     return out if keep_views else out.drop(*[f"__{v}" for v in VIEWS])
 
 
