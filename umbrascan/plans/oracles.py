@@ -571,6 +571,43 @@ def build() -> dict[str, str]:
         ) + " FROM s",
         "encoded_round_trip": f"{scanned()}, f AS (SELECT unnest(types) AS type FROM s) SELECT type, count(*) AS n FROM f GROUP BY 1",
     }
+    runs = "regexp_extract_all(base, '[A-Za-z0-9+/]{8,}={0,2}')"
+    pad = "(length(r) - length(rtrim(r, '=')))"
+    out["encoded_runs"] = (
+        f"WITH v AS (SELECT doc_id, {base_sql('text')} AS base FROM documents) SELECT doc_id, len({runs})::BIGINT AS runs, "
+        f"len(list_filter({runs}, lambda r: length(rtrim(r, '=')) % 4 = 0 OR (length(rtrim(r, '=')) % 4 = 2 AND {pad} = 2) "
+        f"OR (length(rtrim(r, '=')) % 4 = 3 AND {pad} >= 1)))::BIGINT AS padded FROM v"
+    )
+    out["nfkc_exact"] = (
+        f"SELECT doc_id, md5(nfc_normalize({_translate('text', tables.compatibility_chars())})) AS nfkc FROM documents"
+    )
+    prompts = "(SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS full_text FROM conversations GROUP BY 1) c"
+    out["redacted_conversations"] = (
+        f"{scanned(prompts, 'conv_id', 'full_text')}, d AS (SELECT conv_id, base, CASE WHEN {SEVERITY} = 'high' THEN 'block' "
+        "WHEN len(types) > 0 THEN 'redact' ELSE 'pass' END AS action FROM s), "
+        "l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY 1) "
+        f"SELECT t.conv_id, turn, role, CASE WHEN action = 'redact' AND turn = last THEN {redact_chain('base', FULL)} "
+        "ELSE text END AS text, coalesce(action, 'pass') AS action "
+        "FROM conversations t LEFT JOIN d USING (conv_id) LEFT JOIN l USING (conv_id)"
+    )
+
+    def escaped(c: str) -> str:
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            c = f"replace({c}, {q(raw)}, {q(safe)})"
+        return c
+
+    pairs = (
+        f"(SELECT u.conv_id, u.turn, {escaped('u.text')} AS prompt, {escaped('a.text')} AS answer FROM conversations u "
+        "LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND a.role = 'assistant' "
+        "WHERE u.role = 'user') c"
+    )
+    out["log_path"] = (
+        f"{hardened(pairs, 'conv_id', 'answer', 'turn, prompt,')} SELECT conv_id, turn, "
+        "CASE WHEN len(types) > 0 THEN 'block' ELSE 'pass' END AS action, "
+        "CASE WHEN len(types) > 0 THEN 'high' ELSE 'low' END AS severity, sha256(prompt) AS redacted_fingerprint, "
+        "CASE WHEN coalesce(raw, '') = '' THEN 'not-run' WHEN len(types) > 0 THEN "
+        "'contains_detection:' || array_to_string(types, ',') ELSE 'clean' END AS moderation FROM s"
+    )
     # streaming results equal the batch ones
     out["stream_scan"] = (
         out["scan_decisions"].replace("SELECT *, severity = 'high' AS block, types <> '' AS redact, ", "SELECT *, ")

@@ -23,7 +23,6 @@ AS_OF = dt.datetime(2024, 1, 31)  # the day after the last event
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SINGLE_VIEW = ("base",)
 ABSENT = ["us_ssn", "voter_id", "passport", "gst", "aws_key", "jwt", "anthropic_key", "bearer_token"]
 
 
@@ -188,9 +187,16 @@ def encoded_first10(spark, sf_dir):
 
 @query
 def encoded_runs(spark, sf_dir):
-    """Base64 runs per text and how many decode to enough text."""
+    """Base64 runs per text and how many are padded."""
     d = texts(spark, sf_dir).select("doc_id", scan.base_text(F.col("text"), PROFILES["standard"]).alias("base"))
-    return d.select("doc_id", *encoded.run_counts("base", PROFILES["standard"].min_decoded))
+    return d.select("doc_id", *encoded.run_counts("base"))
+
+
+@query
+def encoded_readable(spark, sf_dir):
+    """Base64 runs per text that decode to enough text to be scanned."""
+    d = texts(spark, sf_dir).select("doc_id", scan.base_text(F.col("text"), PROFILES["standard"]).alias("base"))
+    return d.select("doc_id", encoded.readable("base", PROFILES["standard"].min_decoded).alias("readable"))
 
 
 @query
@@ -798,7 +804,12 @@ def _stream_requests(e: DataFrame) -> DataFrame:
 @query
 def stream_scan(spark, sf_dir):
     """The document stream scanned in append mode."""
-    build = lambda d: stream.scan_stream(d).select("doc_id", F.array_join("detections", "|").alias("types"), "severity", "action")
+    cores = spark.sparkContext.defaultParallelism
+
+    def build(d):
+        scanned = stream.scan_stream(d.repartition(cores * 2))
+        return scanned.select("doc_id", F.array_join("detections", "|").alias("types"), "severity", "action")
+
     return _drain(spark, build, sf_dir, "scan", "documents.parquet")
 
 
