@@ -134,11 +134,12 @@ def slo_snapshot(
 
     The window is a top-k (``window`` rows), so the p95 sort is bounded whatever the log size.
     """
+    one = F.lit(1).alias("__one")
     newest = requests.orderBy(F.desc(ts), F.desc(tie)).limit(window).select(latency_ms)
-    totals = requests.agg(F.count("*").alias("__all"), F.count_if(F.col(is_error)).alias("__errors"))
-    sample = newest.agg(F.sort_array(F.collect_list(latency_ms)).alias("__v"))
+    totals = requests.agg(F.count("*").alias("__all"), F.count_if(F.col(is_error)).alias("__errors")).select("*", one)
+    sample = newest.agg(F.sort_array(F.collect_list(latency_ms)).alias("__v")).select("*", one)
     index = p95_rank(F.size("__v")).cast("int")
-    return sample.crossJoin(totals).select(  # one row each
+    return sample.join(F.broadcast(totals), "__one").select(  # one row on each side
         F.size("__v").cast("long").alias("window_size"),
         F.bround(F.coalesce(F.col("__errors") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0)), 4).alias("detection_error_rate"),
         F.bround(F.coalesce(F.get("__v", index), F.lit(0.0)), 2).alias("p95_detection_ms"),
