@@ -33,11 +33,11 @@ REFERENCE_KEYS = [R.OPENAI_KEY, R.ANTHROPIC_KEY, R.BEARER, R.AWS_KEY, R.AWS_SECR
 HARDENED_CHAIN = [R.AADHAAR, R.PAN, R.CREDIT_CARD]
 # With full coverage the long shapes go first, so that a shorter pattern cannot take a part of
 # a card number or of an e-mail address and leave the rest.
-_CARD_LIKE = rf"(?<!\w)(?=[^\s]*\d){R.DIGIT_LIKE}(?:[\s\-_.:]?{R.DIGIT_LIKE}){{12,18}}(?!\w)"
+_CARD_LIKE = rf"(?<!\w)(?=[lI|OoSsgG\s\-_.:]{{0,40}}[0-9]){R.DIGIT_LIKE}(?:[\s\-_.:]?{R.DIGIT_LIKE}){{12,18}}(?!\w)"
 LEADING_CHAIN = [R.EMAIL, R.CREDIT_CARD, _CARD_LIKE]
 # Types the reference chain detects but leaves in place.
 COMPLETING_CHAIN = [
-    rf"(?<!\w)(?=[^\s]*\d)[2-9SsgG](?:[\s.-]?{R.DIGIT_LIKE}){{11}}(?!\w)",
+    rf"(?<!\w)(?=[lI|OoSsgG\s.-]{{0,24}}[0-9])[2-9SsgG](?:[\s.-]?{R.DIGIT_LIKE}){{11}}(?!\w)",
     rf"(?<!\w){R.PLAIN_LETTER}(?:[\s\-_.:]?{R.PLAIN_LETTER}){{4}}(?:[\s\-_.:]?{R.DIGIT_LIKE}){{4}}[\s\-_.:]?{R.PLAIN_LETTER}(?!\w)",
     R.AADHAAR_PREFIXED, R.AADHAAR_SPACED, R.PAN_REVERSED, R.PAN_LEET, R.PAN_SPLIT, R.PAN_OCR_TOKEN,
     R.GST, R.DRIVING_LICENSE, R.DRIVING_LICENSE_STATE, R.VOTER_ID, R.PASSPORT, R.SSN, R.EMAIL, R.UPI_ID,

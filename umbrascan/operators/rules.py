@@ -19,8 +19,12 @@ from ..functions import tables
 AADHAAR = r"\b[2-9]\d{3}[\s.-]?\d{4}[\s.-]?\d{4}\b"
 AADHAAR_PREFIXED = r"\b[a-zA-Z0][2-9]\d{3}[\s.-]?\d{4}[\s.-]?\d{4}\b"
 AADHAAR_SPACED = r"\b[2-9](?:\s+\d){11}\b"
-AADHAAR_FIRST_DIGITS = r"(?i)(?:aadhaar|aadhar)[^\n]*\b(?:starts|begins|first)[^\n]*?\b([2-9]\d{3})\b"
-AADHAAR_LAST_DIGITS = r"(?i)(?:aadhaar|aadhar)[^\n]*\b(?:ends|last)[^\n]*?\b(\d{4})\b"
+# A keyword, a cue and four digits in this order on one line.  The earliest keyword and cue
+# leave the most room, so atomic groups keep the search linear without losing a match.
+AADHAAR_FIRST_DIGITS = (
+    r"(?md)^(?>[^\n]*?(?i:aadhaar|aadhar))(?>[^\n]*?\b(?i:starts|begins|first))[^\n]*?\b([2-9]\d{3})\b"
+)
+AADHAAR_LAST_DIGITS = r"(?md)^(?>[^\n]*?(?i:aadhaar|aadhar))(?>[^\n]*?\b(?i:ends|last))[^\n]*?\b(\d{4})\b"
 PAN = r"(?<![a-zA-Z0-9])[\.]?[a-zA-Z]{5}[\.]?[0-9]{4}[\.]?[a-zA-Z]{1}[\.]?(?![a-zA-Z0-9])"
 CREDIT_CARD = r"\b(?:\d[\s-]*?){13,19}\b"
 VOTER_ID = r"\b[A-Z]{3}\d{7}\b"
@@ -58,7 +62,7 @@ BEARER_HARDENED = r"Bearer\s+[a-zA-Z0-9_\-\.]{20,}"
 AWS_KEY = r"AKIA[0-9A-Z]{12,16}"
 AWS_KEY_HARDENED = r"AKIA[0-9A-Z]{16}"
 AWS_SECRET = r"(?i)(?:aws_secret_access_key|aws_secret_key)\s*[=:]\s*[a-zA-Z0-9/+=]{40}"
-AWS_SECRET_BARE = r"\b(?=[A-Za-z0-9/+=]{40}\b)(?=[^\n]*[+/=])[A-Za-z0-9/+=]{40}\b"
+AWS_SECRET_BARE = r"\b(?=[A-Za-z0-9/+=]{40}\b)(?=[^\n]*?[+/=])[A-Za-z0-9/+=]{40}\b"
 API_KEY = r"(?i)(?:api[_-]?key|apikey)\s*[=:]\s*[a-zA-Z0-9\-_]{12,}"
 API_KEY_HARDENED = r"(?i)(?:api[_-]?key|apikey)\s*[=:]\s*[a-zA-Z0-9\-_]{16,}"
 SECRET = r"(?i)(?:client_secret|secret[_-]?key|secret|password|token|auth)\s*[=:]\s*\S{8,}"
