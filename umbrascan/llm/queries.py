@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbrascan.llm import bpe, chat, exact_topk, near_duplicates, neighbours, packing, token_counts, token_files
+from umbrascan.llm import bpe, chat, exact_topk, near_duplicates, neighbours, packing, token_counts, token_files, toxicity
 from umbrascan.llm.shared import table
 
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -123,6 +129,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_chat,
         op4_byte_bpe,
         op5_neighbours,

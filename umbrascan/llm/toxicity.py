@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 24, 12
 WIDTH, HIDDEN, ATTEND = 16, 8, 8
-GRAMS, VOCAB = 1 << 13, 20_000
+GRAMS, VOCAB = 1 << 16, 20_000
+#: what a parameter loses in each step that uses it
+DECAY = 3e-4
 #: bounds of the training sample: documents of each class, and bytes of a document
 TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 1200, 2400, 20_000
 #: word vectors that a worker keeps, and windows scored at a time
@@ -76,7 +78,9 @@ class Model:
 def new_model(vocab: dict[bytes, int], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     make = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    p = {"word": np.zeros((len(vocab) + 1, WIDTH), np.float32), "gram": np.concatenate([make(GRAMS, WIDTH) * 9, np.zeros((1, WIDTH), np.float32)])}
+    gram = rng.standard_normal((GRAMS + 1, WIDTH)).astype(np.float32) * 0.02
+    gram[GRAMS] = 0  # stands for no gram
+    p = {"word": np.zeros((len(vocab) + 1, WIDTH), np.float32), "gram": gram}
     for way in "fb":
         p |= {f"w{way}": make(WIDTH, 3 * HIDDEN), f"u{way}": make(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
     p |= {"a": make(2 * HIDDEN, ATTEND), "v": make(ATTEND), "o": make(2 * HIDDEN), "d": np.zeros(1, np.float32)}
@@ -120,8 +124,11 @@ def logits(p: dict, forward: np.ndarray, backward: np.ndarray, index: np.ndarray
     return (out, (h, e, weight, pooled, kf, kb)) if keep else out
 
 
-def gradients(m: Model, words: list[bytes], index: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the weighted log loss for windows over ``words``; the last row of ``index`` values is padding."""
+def gradients(m: Model, words: list[bytes], index: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> dict:
+    """Gradients of the weighted log loss for windows over ``words``, whose number stands for padding in ``index``.
+
+    Of the tables of words and grams, the rows that were used and their gradients.
+    """
     p = m.p
     x = np.concatenate([inputs(m, words), np.zeros((1, WIDTH), np.float32)])
     forward, backward = x @ p["wf"] + p["cf"], x @ p["wb"] + p["cb"]
@@ -152,17 +159,21 @@ def gradients(m: Model, words: list[bytes], index: np.ndarray, truth: np.ndarray
         g["u" + way], g["w" + way], g["c" + way] = du, x.T @ drows, drows.sum(axis=0)
         dx += drows @ p["w" + way].T
     ids = np.array([m.vocab.get(w, 0) for w in words])
-    g["word"] = np.zeros_like(p["word"])
-    np.add.at(g["word"], ids, dx[:-1])
-    g["word"][0] = 0
+    g["word"] = summed(ids, dx[:-1], 0)
     slots, starts = gram_slots(words)
     lengths = np.diff(np.append(starts, len(slots)))
-    g["gram"] = np.zeros_like(p["gram"])
-    np.add.at(g["gram"], slots, np.repeat(dx[:-1], lengths, axis=0))
-    g["gram"][-1] = 0
+    g["gram"] = summed(slots, np.repeat(dx[:-1], lengths, axis=0), GRAMS)
     return g
 
 
+def summed(rows: np.ndarray, values: np.ndarray, fixed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows but ``fixed``, and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    distinct, first = np.unique(rows[order], return_index=True)
+    sums = np.add.reduceat(values[order], first, axis=0)
+    return distinct[distinct != fixed], sums[distinct != fixed]
+
+
 def _signals(docs: list[list[bytes]], toxic: list[bool]) -> dict[bytes, float]:
     """Log odds of words and character grams that are much more frequent in toxic documents."""
     seen = {True: Counter(), False: Counter()}
@@ -173,13 +184,15 @@ def _signals(docs: list[list[bytes]], toxic: list[bool]) -> dict[bytes, float]:
             found.update(b"~" + w[i : i + 5] for i in range(len(w) - 4))
         seen[bad].update(found)
     n, c = sum(toxic), len(toxic) - sum(toxic)
-    odds = {s: np.log((k + 0.5) / (n + 1)) - np.log((seen[False][s] + 0.5) / (c + 1)) for s, k in seen[True].items() if k >= 4}
-    return {s: o for s, o in odds.items() if o > 2.5}
+    odds = {s: np.log((k + 0.5) / (n + 1)) - np.log((seen[False][s] + 0.5) / (c + 1)) for s, k in seen[True].items() if k >= max(5, n // 50)}
+    return {s: o for s, o in odds.items() if o > 3}
 
 
 def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int = 5) -> Model:
     """Fits the network on documents of known label."""
     rng = np.random.default_rng(seed)
+    first = {tuple(words): i for i, words in reversed(list(enumerate(docs)))}  # copies would pass for evidence
+    docs, toxic = [docs[i] for i in sorted(first.values())], [toxic[i] for i in sorted(first.values())]
     df = Counter(w for words in docs for w in set(words))
     m = new_model({w: i + 1 for i, (w, n) in enumerate(df.most_common(VOCAB)) if n >= 3}, seed)
     if not any(toxic) or all(toxic):
@@ -192,7 +205,7 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
         return max([signals.get(w, 0.0), *(signals.get(b"~" + x[i : i + 5], 0.0) for i in range(len(x) - 4))])
 
     strong = {w: s for w in df if (s := strength(w)) > 0}
-    positive, negative, unsure = [], [], []
+    positive, negative = [], []
     for words, bad in zip(docs, toxic):
         spans = [words[s : s + WINDOW] for s in windows_of(len(words)).tolist()]
         if not bad:
@@ -200,10 +213,8 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
             continue
         high = [max((strong.get(w, 0.0) for w in span), default=0.0) for span in spans]
         positive += [s for s, x in zip(spans, high) if x > 0]
-        if max(high) == 0:
-            unsure.append(spans)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items()}
-    step = 0
+    step, trained = 0, np.zeros(GRAMS + 1, bool)
 
     def fit(good: list[list[bytes]], bad: list[list[bytes]], rounds: int) -> None:
         nonlocal step
@@ -221,12 +232,15 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
                     index[row, : len(spans[i])] = [place[w] for w in spans[i]]
                 g = gradients(m, words, index, truth[pick], weight[pick])
                 step += 1
+                rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, x in g.items():
-                    first, second = moments[k]
-                    first += 0.1 * (x - first)
-                    second += 0.001 * (x * x - second)
-                    rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                    m.p[k] -= rate * first / (np.sqrt(second) + 1e-8)
+                    rows, x = x if isinstance(x, tuple) else (slice(None), x)
+                    first = moments[k][0][rows] * 0.9 + 0.1 * x
+                    second = moments[k][1][rows] * 0.999 + 0.001 * x * x
+                    moments[k][0][rows], moments[k][1][rows] = first, second
+                    m.p[k][rows] -= rate * first / (np.sqrt(second) + 1e-8) + DECAY * m.p[k][rows]
+                    if k == "gram":
+                        trained[rows] = True
 
     sample = lambda spans, n: [spans[i] for i in rng.permutation(len(spans))[:n]]
     positive = sample(positive, 12_000)
@@ -235,14 +249,14 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
         scorer = Scorer(m)
         alarms = [s for s, x in zip(negative, scorer.windows(negative)) if x > -2.0]
         fit(positive, sample(alarms, len(positive)) + sample(negative, len(positive)), 2)
-    scorer = Scorer(m)
-    tops = scorer.tops(docs)
+    m.p["gram"][~trained] = 0
+    tops = Scorer(m).tops(docs)
     truth = np.array(toxic)
-    order = np.argsort(tops)
-    good, bad = np.cumsum(~truth[order]), truth.sum() - np.cumsum(truth[order])
-    best = int(np.argmax(good / max(1, (~truth).sum()) + bad / max(1, truth.sum())))
-    # the cut lies halfway to the next score above the best place
-    m.cut = float((tops[order[best]] + tops[order[min(best + 1, len(order) - 1)]]) / 2)
+    places = np.sort(tops)
+    missed = np.searchsorted(np.sort(tops[truth]), places) / truth.sum()
+    alarms = 1 - np.searchsorted(np.sort(tops[~truth]), places) / (~truth).sum()
+    good = places[missed + 2 * alarms <= (missed + 2 * alarms).min() + 0.004]
+    m.cut = float((good.min() + good.max()) / 2)  # the middle of all cuts about as good as the best
     return m
 
 
