@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from umbrascan.llm.pretokens import Splitter, once
 from umbrascan.llm.shared import binaries, by_rows, strings
@@ -205,7 +206,7 @@ def encode(
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns but ``out``, and the bytes of the packed ids; null ids give empty bytes."""
     rest = df.drop(out)
-    schema = rest.schema.add(out, "binary")
+    schema = StructType([*rest.schema.fields, StructField(out, BinaryType())])
     at = rest.columns.index(ids)
 
     def work(batch: pa.RecordBatch):

@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW, STRIDE = 24, 12
 WIDTH, HIDDEN, ATTEND = 16, 8, 8
 GRAMS, VOCAB = 1 << 16, 20_000
 #: what a parameter loses in each step that uses it
 DECAY = 3e-4
-#: bounds of the training sample: documents of each class, and bytes of a document
-TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 1200, 2400, 20_000
+#: bounds of the training sample: documents of each class, bytes of a document, toxic windows
+TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES, WINDOWS = 1000, 2000, 20_000, 4000
 #: word vectors that a worker keeps, and windows scored at a time
 KEPT_WORDS, AT_ONCE = 200_000, 4096
 #: letters stay, other ASCII becomes a space
@@ -188,7 +189,7 @@ def _signals(docs: list[list[bytes]], toxic: list[bool]) -> dict[bytes, float]:
     return {s: o for s, o in odds.items() if o > 3}
 
 
-def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int = 5) -> Model:
+def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 4, seed: int = 5) -> Model:
     """Fits the network on documents of known label."""
     rng = np.random.default_rng(seed)
     first = {tuple(words): i for i, words in reversed(list(enumerate(docs)))}  # copies would pass for evidence
@@ -243,7 +244,7 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
                         trained[rows] = True
 
     sample = lambda spans, n: [spans[i] for i in rng.permutation(len(spans))[:n]]
-    positive = sample(positive, 12_000)
+    positive = sample(positive, WINDOWS)
     fit(positive, sample(negative, 2 * len(positive)), epochs)
     for _ in range(2):
         scorer = Scorer(m)
@@ -255,7 +256,7 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 5, seed: int
     places = np.sort(tops)
     missed = np.searchsorted(np.sort(tops[truth]), places) / truth.sum()
     alarms = 1 - np.searchsorted(np.sort(tops[~truth]), places) / (~truth).sum()
-    good = places[missed + 2 * alarms <= (missed + 2 * alarms).min() + 0.004]
+    good = places[missed + 2 * alarms <= (missed + 2 * alarms).min() + 0.0005]
     m.cut = float((good.min() + good.max()) / 2)  # the middle of all cuts about as good as the best
     return m
 
@@ -355,5 +356,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 found = held["toxicity"].scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "score"])
 
-    scored = rest.mapInArrow(work, rest.schema.add("score", "double"))
+    scored = rest.mapInArrow(work, StructType([*rest.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
