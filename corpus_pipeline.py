@@ -1,22 +1,51 @@
-"""The corpus pipeline: STAGES run one after the other, each on all rows the one before it kept."""
+"""The corpus pipeline: STAGES run one after the other, each on all rows the one before it kept.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns of documents.  Null and empty texts, very
+long texts, repeated rows and further columns go through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbrascan.llm import packing
+from umbrascan.llm import near_duplicates, packing, substrings, toxicity
 from umbrascan.llm.shared import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on the labels, doesn't call toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near copies, by five-word shingles at 0.8; null ids stay."""
+    gone = near_duplicates.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that a smaller doc_id holds; texts that lose nothing stay as they are."""
+    done = substrings.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    size = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return done.withColumns(size | {"text": text}).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: one row per piece with its sequence and offset."""
+    """One row per piece with its sequence and offset."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
     ("packing", pack),
 ]
+#: a trained model decides, which SQL can't express
 ORACLE_SQL = None
 
 

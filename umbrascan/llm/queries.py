@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbrascan.llm import bpe, chat, exact_topk, near_duplicates, neighbours, packing, token_counts, token_files, toxicity
+from umbrascan.llm import bpe, chat, exact_topk, near_duplicates, neighbours, packing, substrings, token_counts, token_files, toxicity
 from umbrascan.llm.shared import table
 
 PATTERN = public_tokenizers.PATTERN
@@ -55,6 +55,32 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50
+), h AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS win FROM s
+), f AS (SELECT win, min(doc_id) AS first FROM h GROUP BY win
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN f USING (win) WHERE first < doc_id
+), k AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+), o AS (
+  SELECT k.doc_id, count(*) AS n_words, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY k.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN o USING (doc_id)
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     done = bpe.encode(table(spark, sf_dir, "documents"), path, PATTERN, decoded="decoded")
@@ -131,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity,
         op2_chat,
+        op3_substrings,
         op4_byte_bpe,
         op5_neighbours,
         op6_token_files,
@@ -144,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_chat": CHAT_SQL, "op8_near_duplicates": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
+    return {"op2_chat": CHAT_SQL, "op3_substrings": SUBSTRING_SQL, "op8_near_duplicates": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
