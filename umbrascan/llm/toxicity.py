@@ -343,13 +343,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     rest = docs.drop("score", "predicted")
     at = rest.columns.index(text)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, of bounded size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vars(sys).setdefault("llm_worker_objects", {})
-        model = shipped.value
-        if "toxicity" not in held or held["toxicity"].m.name != model.name:
-            held["toxicity"] = Scorer(model)
+        if "toxicity" not in held or held["toxicity"].m.name != shipped.value["name"]:
+            held["toxicity"] = Scorer(Model(**shipped.value))
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
