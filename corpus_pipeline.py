@@ -17,7 +17,7 @@ from umbrascan.llm.shared import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels, doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, out="__score", predicted="__toxic").filter("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that a smaller doc_id holds; texts that lose nothing stay as they are."""
-    done = substrings.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    done = substrings.remove_repeats(docs, out=("__words", "__removed", "__kept"))
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
     size = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return done.withColumns(size | {"text": text}).select(*docs.columns)
 

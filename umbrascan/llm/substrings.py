@@ -230,21 +230,23 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int) -> DataF
     return copies.union(edges.select("doc", "version", F.col("at") + F.col("o"), F.lit(1).cast("long")))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs``, and n_words, n_removed and kept, the words that stay joined by one space.
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, out: tuple[str, str, str] = ("n_words", "n_removed", "kept")
+) -> DataFrame:
+    """All columns of ``docs``, and three more, ``out``: numbers of words, of removed words, and the words that stay, joined by one space.
 
     Words are runs of characters other than ASCII white space, unchanged.  A word goes if a window of ``window``
     consecutive words covers it that, as a whole, also starts in a document with a smaller key; windows are judged on
     the input, not on what is left.  A null or empty text has no words.  Rows of a null key neither lose words nor serve
-    as reference; rows that repeat a key are no reference for each other.  Columns called n_words, n_removed or kept are
-    replaced.  Keys must be integers.
+    as reference; rows that repeat a key are no reference for each other.  Columns that have the names of
+    ``out`` are replaced.  Keys must be integers.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs = docs.drop(*out)
     found = repeated_windows(docs, key, text, window)
     spans = found.groupBy("doc", "version").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
     marked = docs.withColumn("__doc", F.col(key).cast("long")).withColumn("__version", F.xxhash64(text))
     spans = spans.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "__spans")
     joined = marked.join(spans, ["__doc", "__version"], "left").select(*[marked[c] for c in docs.columns], "__spans")
-    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    added = [StructField(name, kind) for name, kind in zip(out, (LongType(), LongType(), StringType()))]
     schema = StructType([*docs.schema.fields, *added])
     return joined.mapInArrow(_cut(docs.columns.index(text), window, schema.names), schema)

@@ -214,6 +214,9 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 4, seed: int
             continue
         high = [max((strong.get(w, 0.0) for w in span), default=0.0) for span in spans]
         positive += [s for s, x in zip(spans, high) if x > 0]
+    if not positive or not negative:  # the labels show nothing to learn from
+        m.cut = 1e3
+        return m
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items()}
     step, trained = 0, np.zeros(GRAMS + 1, bool)
 
@@ -336,12 +339,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([words_of(r["t"]) for r in rows], [bool(r["bad"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but score and predicted, and these two: score in 0 to 1, predicted 1 from 0.5 on.
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All columns of ``docs``, and two more: ``out`` in 0 to 1, and ``predicted``, 1 from 0.5 on.
 
-    Every window of every whole text is scored; an empty or null text is one window of padding.
+    Columns that have these names are replaced.  Every window of every whole text is scored; an empty or null text is
+    one window of padding; repeated rows are scored alike.
     """
-    rest = docs.drop("score", "predicted")
+    rest = docs.drop(out, predicted)
     at = rest.columns.index(text)
     shipped = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, of bounded size
 
@@ -353,7 +357,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 found = held["toxicity"].scores(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, out])
 
-    scored = rest.mapInArrow(work, StructType([*rest.schema.fields, StructField("score", DoubleType())]))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = rest.mapInArrow(work, StructType([*rest.schema.fields, StructField(out, DoubleType())]))
+    return scored.withColumn(predicted, (F.col(out) >= 0.5).cast("int"))
