@@ -43,7 +43,7 @@ def test_upper_median(spark, requests):
     assert metrics.upper_median(df, "latency_ms").first().median == sorted(r[3] for r in rows)[len(rows) // 2]
     four = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "latency_ms double")
     assert metrics.upper_median(four, "latency_ms").first().median == 3.0
-    assert metrics.upper_median(four.limit(0), "latency_ms").count() == 0
+    assert metrics.upper_median(four.limit(0), "latency_ms").first().median == 0
 
 
 def test_health_and_empty_log(spark):

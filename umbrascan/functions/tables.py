@@ -43,23 +43,24 @@ OCR = {
 # Number words, zero to nine.
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 
-# Alphabet folding of the span profile: source letters and their Latin readings, in order.
-CYRILLIC_SMALL = (
-    "абвгдежзийклмнопрстуфхцчшщъыьэюя",
-    "a b v g d e zh z i y k l m n o p r c t y f x ts ch sh shch soft y soft e yu ya",
-)
-CYRILLIC_CAPITAL = (
-    "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
-    "A B B G D E Zh Z I Y K L M H O P P C T Y F X Ts Ch Sh Shch Hard Y Soft E Yu Ya",
-)
-GREEK_SMALL = (
-    "αβγδεζηθικλμνξοπρςστυφχψω",
-    "a b g d e z h th i k l m n x o p r s s t u ph ch ps o",
-)
-GREEK_CAPITAL = (
-    "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-    "A B G D E Z H Th I K L M N X O P P S T Y Ph X Ps O",
-)
+# Alphabet folding of the span profile: each letter and its Latin reading.
+SPAN_LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z",
+    "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "c", "т": "t", "у": "y", "ф": "f", "х": "x", "ц": "ts", "ч": "ch",
+    "ш": "sh", "щ": "shch", "ъ": "soft", "ы": "y", "ь": "soft", "э": "e", "ю": "yu", "я": "ya",
+    "А": "A", "Б": "B", "В": "B", "Г": "G", "Д": "D", "Е": "E", "Ж": "Zh", "З": "Z",
+    "И": "I", "Й": "Y", "К": "K", "Л": "L", "М": "M", "Н": "H", "О": "O", "П": "P",
+    "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ф": "F", "Х": "X", "Ц": "Ts", "Ч": "Ch",
+    "Ш": "Sh", "Щ": "Shch", "Ъ": "Hard", "Ы": "Y", "Ь": "Soft", "Э": "E", "Ю": "Yu", "Я": "Ya",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "h", "θ": "th",
+    "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "ch", "ψ": "ps",
+    "ω": "o",
+    "Α": "A", "Β": "B", "Γ": "G", "Δ": "D", "Ε": "E", "Ζ": "Z", "Η": "H", "Θ": "Th",
+    "Ι": "I", "Κ": "K", "Λ": "L", "Μ": "M", "Ν": "N", "Ξ": "X", "Ο": "O", "Π": "P",
+    "Ρ": "P", "Σ": "S", "Τ": "T", "Υ": "Y", "Φ": "Ph", "Χ": "X", "Ψ": "Ps", "Ω": "O",
+}
 LATIN_LIKE = {
     "ɑ": "a", "ɡ": "g", "ʅ": "r", "ʜ": "H", "ı": "i",
     "ſ": "s", "ℓ": "l", "№": "N",
@@ -101,9 +102,7 @@ def compatibility_chars() -> dict[str, str]:
 @lru_cache(maxsize=None)
 def span_alphabet() -> dict[str, str]:
     """Alphabet folding of the span profile; a few letters expand to 2-5 characters."""
-    table: dict[str, str] = {}
-    for letters, readings in (CYRILLIC_SMALL, CYRILLIC_CAPITAL, GREEK_SMALL, GREEK_CAPITAL):
-        table.update(zip(letters, readings.split(" "), strict=True))
+    table = dict(SPAN_LETTERS)
     for first, last, ascii_first in ((0xFF10, 0xFF19, "0"), (0xFF21, 0xFF3A, "A"), (0xFF41, 0xFF5A, "a")):
         for cp in range(first, last + 1):
             table[chr(cp)] = chr(ord(ascii_first) + cp - first)

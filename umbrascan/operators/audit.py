@@ -154,15 +154,16 @@ def query(
     severity: str | None = None,
     user_id: str | None = None,
     tenant_id: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     offset: int = 0,
     tie: str = "id",
 ) -> DataFrame:
-    """Optional equality filters, newest first, one page."""
+    """Optional equality filters, newest first; all rows, or the page that ``limit`` and ``offset`` name."""
     for column, wanted in (("severity", severity), ("user_id", user_id), ("tenant_id", tenant_id)):
         if wanted:
             log = log.filter(F.col(column) == wanted)
-    return log.orderBy(F.desc("timestamp"), F.asc(tie)).offset(offset).limit(limit)
+    ordered = log.orderBy(F.desc("timestamp"), F.asc(tie)).offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def purge(log: DataFrame, as_of: dt.datetime, days: int = 90) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,11 @@ def encoded_findings(
     return rows.withColumn("depth", depth.cast("int"))
 
 
+def union_runs(*runs: DataFrame) -> DataFrame:
+    """O1: the findings of several runs, each once."""
+    return reduce(DataFrame.unionByName, runs).distinct()
+
+
 def with_severity(found: DataFrame, policy: DataFrame) -> DataFrame:
     """Findings joined to the severity policy (a fixed lookup of a few dozen rows)."""
     return found.join(F.broadcast(policy), "type", "left")

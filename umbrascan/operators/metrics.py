@@ -67,7 +67,11 @@ def rank_pick(
 
 def upper_median(log: DataFrame, value: str, by: list[str] | None = None, out_col: str = "median") -> DataFrame:
     """The element at floor(n/2) of the sorted values (not the interpolated median)."""
-    return rank_pick(log, value, lambda n: F.floor(n / 2), out_col, by)
+    found = rank_pick(log, value, lambda n: F.floor(n / 2), out_col, by)
+    if by:
+        return found
+    kind = log.schema[value].dataType
+    return found.agg(F.coalesce(F.max(out_col), F.lit(0).cast(kind)).alias(out_col))  # an empty log has the median 0
 
 
 def p95_rank(n: Column) -> Column:
@@ -157,6 +161,11 @@ def counters(requests: DataFrame, is_error: str = "is_error", by: list[str] | No
     )
 
 
+def breach_counter(judged: DataFrame, breach: str = "breach", by: list[str] | None = None) -> DataFrame:
+    """Requests after which the service level was breached."""
+    return judged.groupBy(*(by or [])).agg(F.count_if(F.col(breach)).alias("breaches"))
+
+
 def latency_histogram(requests: DataFrame, latency_ms: str = "latency_ms", bounds=LATENCY_BOUNDS_MS) -> DataFrame:
     """Rows per latency bucket, by upper bound (infinity for the last)."""
     upper = F.lit(float("inf"))

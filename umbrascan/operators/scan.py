@@ -20,12 +20,6 @@ VIEW_COLUMNS = [BASE, LEET, OCR, PACKED, KEYWORD, DIGIT]
 MAX_DEPTH = 3
 ANY_DIGIT = r"\p{Nd}"
 
-# A decoded text shorter than ten characters can only hit a rule if it shows one of these.
-SHORT_SIGNS = (
-    r"(?U)@|::|\d(?:\D*\d){3}|\s[A-Z][a-z]|[A-Za-z0-9+/]{8}"
-    r"|(?i:road|street|flat|london|chennai|visited|live in|new york|residency|bengaluru)"
-)
-
 
 def base_text(text: Column, profile: Profile, nfkc: bool = False) -> Column:
     base = V.base_view(text, profile.name, nfkc)
@@ -94,17 +88,12 @@ def decode_run(run: Column) -> Column:
     return F.replace(text, F.lit("�"), F.lit(""))
 
 
-def decoded_children(text: Column, profile: Profile, max_runs: int | None, plausible_only: bool = True) -> Column:
-    """Base views of the texts encoded in ``text`` that could hold a finding."""
+def decoded_children(text: Column, profile: Profile, max_runs: int | None) -> Column:
+    """Base views of the texts encoded in ``text``, of at least the profile's least length."""
     runs = F.regexp_extract_all(text, F.lit(ENCODED_RUN), F.lit(0))
     if max_runs is not None:
         runs = F.slice(runs, 1, max_runs)
-    texts = F.transform(runs, decode_run)
-    if plausible_only:
-        worth = lambda t: (F.length(t) >= 10) | t.rlike(SHORT_SIGNS) | t.rlike(V.FOREIGN)
-        texts = F.filter(texts, lambda t: (F.length(t) >= profile.min_decoded) & worth(t))
-    else:
-        texts = F.filter(texts, lambda t: F.length(t) >= profile.min_decoded)
+    texts = F.filter(F.transform(runs, decode_run), lambda t: F.length(t) >= profile.min_decoded)
     return F.transform(texts, lambda t: base_text(t, profile, False))
 
 
@@ -122,6 +111,16 @@ def encoded_levels(
     return df, names
 
 
+def deeper_levels(df: DataFrame, text_col: str = "text", profile: str | Profile = "standard", column: str = "more_levels") -> DataFrame:
+    """Add whether base64 content goes on below the ``MAX_DEPTH`` levels that a scan opens, as in the reference."""
+    profile = profile_of(profile)
+    base = f"{BASE}_depth"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out, levels = encoded_levels(df.withColumn(base, base_text(text, profile)), profile, base=base)
+    more = F.exists(levels[-1], lambda t: F.size(decoded_children(t, profile, None)) > 0)
+    return out.withColumn(column, more).drop(base, *levels)
+
+
 def _encoded_views(profile: Profile, depth: int, base: Column) -> Column:
     if _base_only(profile):
         return F.struct(F.lit(depth).alias("depth"), base.alias("base"))

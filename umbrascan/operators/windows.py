@@ -59,16 +59,12 @@ def quota_counts(requests: DataFrame, *, key: str, ts: str = "timestamp", quota:
     )
 
 
-def with_policy(requests: DataFrame, policy: DataFrame, key: str, default_quota: int = QUOTA,
-                broadcast_rows: int = 100_000) -> DataFrame:
+def with_policy(requests: DataFrame, policy: DataFrame, key: str, default_quota: int = QUOTA) -> DataFrame:
     """Add each key's quota, with a default for keys without a policy row.
 
-    The policy table is broadcast only after a bounded count shows it is small; a larger one
-    is joined by shuffle, where the planner's skew handling applies.
+    How to join is left to the planner, which sees the policy table's size at run time.
     """
-    small = policy.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(policy) if small else policy
-    return requests.join(side, key, "left").withColumn("quota", F.coalesce("quota", F.lit(default_quota)))
+    return requests.join(policy, key, "left").withColumn("quota", F.coalesce("quota", F.lit(default_quota)))
 
 
 def alert_rule(

@@ -72,8 +72,11 @@ def request_log(prompts: DataFrame, *, text_col: str, api_key: Column, timestamp
 
 
 def scan_to_tables(texts: DataFrame, timestamp: Column, audit_path: str, quarantine_path: str, *,
-                   text_col: str = "text", key_col: str = "doc_id", profile: str | Profile = "standard") -> None:
-    """Validate, scan, append the audit table; rejected inputs go to a quarantine table."""
+                   text_col: str = "text", key_col: str = "doc_id", profile: str | Profile = "standard",
+                   reject: bool = False) -> None:
+    """Scan every text and append the audit table.  Texts that fail the validation are also listed, with the reason,
+    in a second table; with ``reject`` they are listed only."""
     valid, rejected = readers.validate(texts, text_col)
     rejected.write.mode("append").parquet(quarantine_path)
-    writers.append_audit(detect_job(valid, timestamp, text_col=text_col, key_col=key_col, profile=profile), audit_path)
+    scanned = valid if reject else texts
+    writers.append_audit(detect_job(scanned, timestamp, text_col=text_col, key_col=key_col, profile=profile), audit_path)

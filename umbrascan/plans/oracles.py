@@ -416,6 +416,9 @@ def build() -> dict[str, str]:
         "ocr_view": f"WITH v AS (SELECT doc_id, {base_sql('text')} AS b FROM documents), "
         f"w AS (SELECT doc_id, b, {ocr_sql('b')} AS o FROM v) SELECT doc_id, md5(o) AS ocr, o <> b AS changed FROM w",
         "span_findings": _spans_sql(),
+        "span_severities": "SELECT CASE WHEN type IN ('AADHAAR', 'PAN', 'PASSPORT_IN', 'CREDIT_CARD', 'API_KEY') THEN 'critical' "
+        "WHEN type IN ('DRIVING_LICENSE', 'GSTIN') THEN 'high' WHEN type IN ('UPI', 'PHONE_IN') THEN 'medium' ELSE 'low' END AS level, "
+        f"type IN ('AADHAAR', 'PAN', 'PASSPORT_IN', 'CREDIT_CARD', 'API_KEY') AS blocks, count(*) AS n FROM ({_spans_sql()}) GROUP BY ALL",
         # redaction
         "redact_documents": f"{scanned()} SELECT doc_id, len(types) > 0 AS redact, "
         f"md5(CASE WHEN len(types) > 0 THEN {redact_chain('base', FULL)} ELSE raw END) AS redacted_md5 FROM s",
@@ -443,6 +446,12 @@ def build() -> dict[str, str]:
         "WHERE severity = 'high' ORDER BY timestamp DESC, id LIMIT 25 OFFSET 50",
         "audit_newest_100": f"WITH {REQ} SELECT epoch_us(timestamp) AS ts_us, id, user_id::VARCHAR AS user_id, severity FROM r "
         "ORDER BY timestamp DESC, id LIMIT 100",
+        "audit_tenant_newest_100": f"WITH {REQ} SELECT epoch_us(timestamp) AS ts_us, id, 't1' AS tenant_id, severity FROM r "
+        "WHERE user_id % 3 = 1 ORDER BY timestamp DESC, id LIMIT 100",
+        "audit_newest_500": f"WITH {REQ} SELECT epoch_us(timestamp) AS ts_us, id, user_id::VARCHAR AS user_id, severity FROM r "
+        "ORDER BY timestamp DESC, id LIMIT 500",
+        "late_requests": f"WITH {REQ}, n AS (SELECT *, max(timestamp) OVER (PARTITION BY strftime(timestamp, '%Y-%m-%d')) AS newest FROM r) "
+        "SELECT status, count(*) AS late FROM n WHERE timestamp < newest - INTERVAL 12 HOUR GROUP BY 1",
         "audit_user_filter": f"WITH {REQ} SELECT epoch_us(timestamp) AS ts_us, id, severity FROM r WHERE user_id = 7 "
         "ORDER BY timestamp DESC, id LIMIT 20",
         "audit_latest_per_user": f"WITH {REQ} SELECT epoch_us(timestamp) AS ts_us, id, user_id::VARCHAR AS user_id FROM r "
@@ -552,12 +561,16 @@ def build() -> dict[str, str]:
         "SELECT section, a.total AS total_before, a.actual AS actual_before, a.actual AS correct_before, b.total AS total_after, "
         "b.actual AS actual_after, b.actual AS correct_after, b.total - a.total AS total_delta, b.actual - a.actual AS actual_delta, "
         "b.actual - a.actual AS correct_delta FROM a JOIN b USING (section)",
-        "bypass_rate": f"{scanned()}, c AS (SELECT count(*) AS total, count(*) FILTER (list_contains(types, 'EMAIL_ADDRESS')) AS passed, "
-        "count(*) FILTER (len(types) = 0) AS bypassed FROM s WHERE contains(raw, '@')) SELECT *, "
+        "bypass_rate": f"{scanned()}, c AS (SELECT count(*) AS total, "
+        "count(*) FILTER (CASE WHEN contains(raw, '@') THEN list_contains(types, 'EMAIL_ADDRESS') ELSE len(types) = 0 END) AS passed, "
+        "count(*) FILTER (contains(raw, '@') AND len(types) = 0) AS bypassed FROM s) SELECT *, "
         "coalesce(round_even(passed / nullif(total, 0), 4), 0) AS success_rate, coalesce(round_even(bypassed / nullif(total, 0), 4), 0) AS bypass_rate FROM c",
         "run_regressions": f"{scanned()}, b AS (SELECT doc_id, unnest(types) AS type FROM s), "
         f"a AS (SELECT doc_id, unnest(types) AS type FROM ({hardened()} SELECT doc_id, types FROM s)) "
         "SELECT type, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1",
+        "findings_over_runs": f"{scanned()}, b AS (SELECT doc_id, unnest(types) AS type FROM s), "
+        f"a AS (SELECT doc_id, unnest(types) AS type FROM ({hardened()} SELECT doc_id, types FROM s)) "
+        "SELECT type, count(*) AS n FROM (SELECT * FROM b UNION SELECT * FROM a) GROUP BY 1",
         "response_redaction": f"{scanned()}, d AS (SELECT {SEVERITY} AS severity FROM s) SELECT severity, count(*) AS n, "
         "count(*) FILTER (severity <> 'high') AS shown FROM d GROUP BY 1",
         "intercepted_flows": f"{scanned(extra='lang,')}, d AS (SELECT CASE WHEN {SEVERITY} = 'high' THEN 'block' WHEN len(types) > 0 "
@@ -613,5 +626,6 @@ def build() -> dict[str, str]:
         out["scan_decisions"].replace("SELECT *, severity = 'high' AS block, types <> '' AS redact, ", "SELECT *, ")
     )
     out["stream_quota_counts"] = out["quota_counts"]
+    out["slo_breach_count"] = f"SELECT count(*) FILTER (breach) AS breaches FROM ({out['slo_breaches']})"
     out["stream_exact_alerts"] = out["alert_rule"].replace("SELECT id, violations FROM k", "SELECT id FROM k")
     return out

@@ -43,7 +43,7 @@ def texts(spark, sf_dir):
 def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Raise parallelism only when the input has fewer splits than the cluster has cores."""
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
 def requests(spark, sf_dir):
@@ -179,12 +179,6 @@ def encoded_findings(spark, sf_dir):
     return findings.encoded_findings(texts(spark, sf_dir), ["doc_id"])
 
 
-@query
-def encoded_first10(spark, sf_dir):
-    """L4: the service's limit of ten base64 runs per text."""
-    return findings.encoded_findings(texts(spark, sf_dir), ["doc_id"], max_runs=10)
-
-
 @query
 def encoded_runs(spark, sf_dir):
     """Base64 runs per text and how many are padded."""
@@ -269,6 +263,13 @@ def span_findings(spark, sf_dir):
     return found.select("doc_id", "type", "value", F.col("start").cast("long").alias("start"))
 
 
+@query
+def span_severities(spark, sf_dir):
+    """Findings of the span profile by severity level."""
+    policy = decide.severity_policy(spark, "spans")
+    return findings.with_severity(span_findings(spark, sf_dir), policy).groupBy("level", "blocks").agg(F.count("*").alias("n"))
+
+
 @query
 def span_decisions(spark, sf_dir):
     s = spans.scan_spans(texts(spark, sf_dir))
@@ -369,7 +370,8 @@ def new_anti(spark, sf_dir):
 def _audit(spark, sf_dir):
     r = requests(spark, sf_dir)
     return r.select(
-        "id", "timestamp", F.col("user_id").cast("string").alias("user_id"), "severity", "action",
+        "id", "timestamp", F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), "severity", "action",
         F.col("types").alias("detection_types"), F.to_date("timestamp").alias("dt"),
     )
 
@@ -386,7 +388,19 @@ def audit_newest_page(spark, sf_dir):
 
 @query
 def audit_newest_100(spark, sf_dir):
-    return _stamped(audit.query(_audit(spark, sf_dir)), "id", "user_id", "severity")
+    return _stamped(audit.query(_audit(spark, sf_dir), limit=100), "id", "user_id", "severity")
+
+
+@query
+def audit_tenant_newest_100(spark, sf_dir):
+    """The newest 100 rows of one tenant."""
+    return _stamped(audit.query(_audit(spark, sf_dir), tenant_id="t1", limit=100), "id", "tenant_id", "severity")
+
+
+@query
+def audit_newest_500(spark, sf_dir):
+    """The client's log keeps the newest 500 rows."""
+    return _stamped(audit.query(_audit(spark, sf_dir), limit=500), "id", "user_id", "severity")
 
 
 @query
@@ -568,6 +582,11 @@ def slo_breaches(spark, sf_dir):
     return out.select("id", F.col("samples").cast("long").alias("samples"), "error_rate", "p95_over", "breach")
 
 
+@query
+def slo_breach_count(spark, sf_dir):
+    return metrics.breach_counter(windows.slo_breaches(requests(spark, sf_dir), window=200))
+
+
 @query
 def slo_breaches_by_status(spark, sf_dir):
     out = windows.slo_breaches(requests(spark, sf_dir), by=["status"])
@@ -757,13 +776,13 @@ def run_comparison(spark, sf_dir):
 
 @query
 def bypass_rate(spark, sf_dir):
-    """Documents with a card-like number or an address sign should be found."""
+    """Documents with an address sign should be found as e-mail, all others should be clean."""
     s = _predicted(spark, sf_dir).select("doc_id", "detections")
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.contains("text", F.lit("@")).alias("should_detect"),
         F.when(F.contains("text", F.lit("@")), F.array(F.lit("EMAIL_ADDRESS"))).alias("expected_types"),
     )
-    return evaluate.bypass_rate(evaluate.bypasses(s.join(d, "doc_id").filter("should_detect")))
+    return evaluate.bypass_rate(evaluate.bypasses(s.join(d, "doc_id")))
 
 
 @query
@@ -775,14 +794,39 @@ def run_regressions(spark, sf_dir):
     return evaluate.regressions(before, after).groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query
+def findings_over_runs(spark, sf_dir):
+    """O1: what either profile reports, each document and type once."""
+    d = texts(spark, sf_dir)
+    runs = [findings.findings(d, ["doc_id"], profile=p).select("doc_id", "type") for p in ("standard", "hardened")]
+    return findings.union_runs(*runs).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def late_requests(spark, sf_dir):
+    """Requests more than half a day behind the newest of their day, by status."""
+    r = requests(spark, sf_dir).withColumn("day", F.to_date("timestamp"))
+    newest = r.groupBy("day").agg(F.max("timestamp").alias("newest"))
+    return stream.late_rows(r.join(newest, "day"), F.col("newest"), minutes=720).groupBy("status").agg(F.count("*").alias("late"))
+
+
 # --- streaming: file sources drained with availableNow ---------------------------------------
 
 
-def _drain(spark, build, sf_dir, name, glob, mode="append", stateful=False):
-    root = stream.checkpoint_root(spark, tempfile.gettempdir())
+def _drain(spark, build, sf_dir, name, table_name, mode="append", stateful=False, latest=()):
+    """Streams a table, a file or a folder of files, and reads what the stream has written.
+
+    In complete mode the last micro-batch holds the result; in update mode the newest row of each ``latest`` key does.
+    """
+    local = spark.sparkContext.master.startswith("local[")
+    root = stream.checkpoint_root(spark, tempfile.gettempdir() if local else None)
     run = f"{root}/umbrascan-{name}-{uuid.uuid4().hex}"
-    source = spark.read.parquet(f"{sf_dir}/{glob}")
-    streamed = spark.readStream.schema(source.schema).option("pathGlobFilter", glob).parquet(sf_dir)
+    source = table(spark, sf_dir, table_name)
+    one = source.select("_metadata.file_path").limit(1).collect()
+    if one and one[0][0].endswith(f"/{table_name}.parquet"):  # the table is a single file
+        streamed = spark.readStream.schema(source.schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf_dir)
+    else:
+        streamed = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/{table_name}.parquet")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     if stateful:
@@ -791,7 +835,13 @@ def _drain(spark, build, sf_dir, name, glob, mode="append", stateful=False):
         stream.run_available(build(streamed), f"{run}/checkpoint", stream.append_batches(f"{run}/out"), mode)
     finally:
         spark.conf.set(key, before)
-    return spark.read.parquet(f"{run}/out").drop("batch")
+    out = spark.read.parquet(f"{run}/out")
+    if mode == "complete":
+        return out.join(out.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+    if latest:
+        names = [c for c in out.columns if c not in latest]
+        out = out.groupBy(*latest).agg(F.max_by(F.struct(*names), "batch").alias("row")).select(*latest, "row.*")
+    return out.drop("batch")
 
 
 def _stream_requests(e: DataFrame) -> DataFrame:
@@ -810,14 +860,14 @@ def stream_scan(spark, sf_dir):
         scanned = stream.scan_stream(d.repartition(cores * 2))
         return scanned.select("doc_id", F.array_join("detections", "|").alias("types"), "severity", "action")
 
-    return _drain(spark, build, sf_dir, "scan", "documents.parquet")
+    return _drain(spark, build, sf_dir, "scan", "documents")
 
 
 @query
 def stream_quota_counts(spark, sf_dir):
     """T3 in complete mode: the last micro-batch holds every window."""
     build = lambda e: stream.quota_counts(_stream_requests(e), key="event_type", quota=2, window_s=3600)
-    out = _drain(spark, build, sf_dir, "quota", "events.parquet", mode="complete")
+    out = _drain(spark, build, sf_dir, "quota", "events", mode="complete")
     return out.withColumnRenamed("event_type", "status")
 
 
@@ -827,14 +877,14 @@ def stream_exact_alerts(spark, sf_dir):
     build = lambda e: stream.exact_alerts(
         _stream_requests(e), key="event_type", violation=F.col("latency_ms") > 20, window_s=1800
     )
-    return _drain(spark, build, sf_dir, "alerts", "events.parquet", stateful=True).select("id")
+    return _drain(spark, build, sf_dir, "alerts", "events", stateful=True).select("id")
 
 
 @query
 def stream_slo_monitor(spark, sf_dir):
     """T5: status per event type after the drain."""
     build = lambda e: stream.slo_monitor(_stream_requests(e), service=F.col("event_type"))
-    return _drain(spark, build, sf_dir, "slo", "events.parquet", mode="update", stateful=True)
+    return _drain(spark, build, sf_dir, "slo", "events", mode="update", stateful=True, latest=["service"])
 
 
 @query
@@ -843,4 +893,4 @@ def stream_alert_suppression(spark, sf_dir):
     build = lambda e: stream.suppress_alerts(
         _stream_requests(e).withColumnRenamed("timestamp", "ts"), recipient="event_type", limit=2
     )
-    return _drain(spark, build, sf_dir, "suppress", "events.parquet", stateful=True).select("recipient", "id", "sent")
+    return _drain(spark, build, sf_dir, "suppress", "events", stateful=True).select("recipient", "id", "sent")

@@ -15,16 +15,14 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Append to the date-partitioned table.  Rows of one date go to a bounded number of
-    files: they are spread by date and id, so a busy date is not one task."""
-    spread = rows.repartition("dt", F.pmod(F.xxhash64("id"), F.lit(16)))
-    spread.write.mode("append").partitionBy("dt").parquet(path)
+    """Append to the date-partitioned table.  Rows meet by date, and a busy date is split by size, so its number
+    of tasks and files follows its rows."""
+    rows.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def replace_dates(rows: DataFrame, path: str) -> None:
     """Overwrite only the dates present in ``rows`` (key rotation, boundary-date purge)."""
-    spread = rows.repartition("dt", F.pmod(F.xxhash64("id"), F.lit(16)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    rows.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
 
 def purge_to(rows: DataFrame, as_of: dt.datetime, path: str, days: int = 90) -> None:
