@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,27 @@ def test_sliding_alerts_cover_exact_ones(spark, log):
 def test_checkpoint_root(spark, tmp_path):
     assert stream.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scan.MAX_DEPTH == 3
+
+
+def test_late_violations_are_handed_on_not_judged():
+    class Cell:
+        rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    alerts = stream.ExactAlerts("key", 2, 60.0)
+    alerts.recent = Cell()
+
+    def feed(*seconds):
+        batch = pd.DataFrame({"id": range(len(seconds)), "seconds": [float(s) for s in seconds]})
+        out = list(alerts.handleInputRows(("k",), iter([batch]), None))
+        return [(s, bool(late)) for f in out for s, late in zip(f["seconds"], f["late"])]
+
+    assert feed(1000, 1002, 1001) == [(1002.0, False)]
+    assert feed(500) == [(500.0, True)]
+    assert alerts.recent.rows == [(1001.0,), (1002.0,)]
+    assert feed(1003, 400) == [(400.0, True), (1003.0, False)]

@@ -877,7 +877,7 @@ def stream_exact_alerts(spark, sf_dir):
     build = lambda e: stream.exact_alerts(
         _stream_requests(e), key="event_type", violation=F.col("latency_ms") > 20, window_s=1800
     )
-    return _drain(spark, build, sf_dir, "alerts", "events", stateful=True).select("id")
+    return _drain(spark, build, sf_dir, "alerts", "events", stateful=True).filter("NOT late").select("id")
 
 
 @query

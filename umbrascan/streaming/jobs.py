@@ -92,7 +92,11 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class ExactAlerts(StatefulProcessor):
-    """T4, exact: state is the last ``threshold`` violation times of the key."""
+    """T4, exact: state is the last ``threshold`` violation times of the key, in order.
+
+    A violation older than the newest one judged in an earlier micro-batch comes too late to be judged; it is handed on
+    with ``late`` set, for the side metric (T8), and leaves the state as it is.
+    """
 
     def __init__(self, key: str, threshold: int, span_s: float):
         self.key, self.threshold, self.span_s = key, threshold, span_s
@@ -103,15 +107,19 @@ class ExactAlerts(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["seconds", "id"])
         times = [t for (t,) in self.recent.get()]
-        fired = []
+        newest = times[-1] if times else float("-inf")
+        late, shown = [], []
         for t in batch["seconds"]:
+            late.append(t < newest)
             # more than ``threshold`` in the span: the threshold-th earlier one is inside it
-            fired.append(len(times) == self.threshold and t - times[0] < self.span_s)
-            times = [*times, t][-self.threshold:]
+            shown.append(late[-1] or (len(times) == self.threshold and t - times[0] < self.span_s))
+            if not late[-1]:
+                times = [*times, t][-self.threshold:]
         self.recent.put([(float(t),) for t in times])
-        hits = batch[pd.Series(fired, index=batch.index, dtype=bool)]
+        batch["late"] = late
+        hits = batch[pd.Series(shown, index=batch.index, dtype=bool)]
         if len(hits):
-            yield pd.DataFrame({self.key: str(key[0]), "id": hits["id"], "seconds": hits["seconds"]})
+            yield pd.DataFrame({self.key: str(key[0]), "id": hits["id"], "seconds": hits["seconds"], "late": hits["late"]})
 
     def close(self) -> None:
         pass
@@ -120,13 +128,16 @@ class ExactAlerts(StatefulProcessor):
 def exact_alerts(requests: DataFrame, *, key: str, violation: Column, ts: str = "timestamp", id_col: str = "id",
                  threshold: int = windows.ALERT_THRESHOLD, window_s: int = windows.ALERT_WINDOW_S,
                  watermark: str = WATERMARK) -> DataFrame:
-    """T4, exact: violations at which a key exceeds the rule.  Only key, id and time are shuffled."""
+    """T4, exact: violations at which a key exceeds the rule, and (``late``) those that came too late to be judged.
+
+    Only key, id and time are shuffled.
+    """
     narrow = requests.withWatermark(ts, watermark).filter(violation).select(
         F.col(key).cast("string").alias(key), F.col(id_col).cast("long").alias("id"),
         (F.unix_micros(ts) / 1e6).alias("seconds"),
     )
     return narrow.groupBy(key).transformWithStateInPandas(
-        ExactAlerts(key, threshold, window_s), f"{key} string, id long, seconds double", "Append", "None"
+        ExactAlerts(key, threshold, window_s), f"{key} string, id long, seconds double, late boolean", "Append", "None"
     )
 
 
