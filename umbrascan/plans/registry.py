@@ -720,15 +720,19 @@ def response_redaction(spark, sf_dir):
 # --- evaluation ---------------------------------------------------------------------------------
 
 
-def _predicted(spark, sf_dir):
-    s = decide.with_decision(scan.scan_types(texts(spark, sf_dir)), "standard")
+def _predicted(spark, sf_dir, labelled=False):
+    """Scanned documents; only those with a label, if no other is looked at afterwards."""
+    d = texts(spark, sf_dir)
+    if labelled:
+        d = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    s = decide.with_decision(scan.scan_types(d), "standard")
     return s.select("doc_id", "source", "detections", "redact", "severity")
 
 
 @query
 def label_confusion(spark, sf_dir):
     return evaluate.confusion(
-        _predicted(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1, F.col("redact")
+        _predicted(spark, sf_dir, True), table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1, F.col("redact")
     )
 
 
@@ -736,7 +740,7 @@ def label_confusion(spark, sf_dir):
 def label_precision_recall(spark, sf_dir):
     return evaluate.quality(
         evaluate.confusion(
-            _predicted(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 0, F.col("redact")
+            _predicted(spark, sf_dir, True), table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 0, F.col("redact")
         )
     )
 
@@ -748,7 +752,7 @@ def case_precision_recall(spark, sf_dir):
         "doc_id",
         F.when(F.col("toxic") == 1, "adversarial").when(F.col("quality") == 1, "negative").otherwise("positive").alias("label"),
     )
-    judged = _predicted(spark, sf_dir).select("doc_id", "detections").join(facts, "doc_id")
+    judged = _predicted(spark, sf_dir, True).select("doc_id", "detections").join(facts, "doc_id")
     return evaluate.precision_recall(judged)
 
 
