@@ -7,8 +7,9 @@ similarity; pairs six deviations below the threshold are given up, the others ar
 
 Documents of equal sets are one class from the start.  In a first round every class is tried with the smallest class of
 each of its bands, which joins a group of copies in as many pairs as it has members.  In a second round bands that still
-hold several components compare all classes across components, in blocks of bounded size inside tasks that report
-only likely pairs.
+hold several components compare all classes across components, in blocks of bounded size: a first pass over registers
+names the classes of a block that have a likely partner there, a second one confirms on their full sets and reports only
+the links that join components.  No pass makes a row per pair.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
-BLOCK = 2048
+BLOCK = 1024
 #: expected equal registers of two unrelated sets, as a share of 2**BUCKET_BITS / 2**MANTISSA
 COLLISION = 0.169919487159739
 
@@ -75,6 +76,12 @@ def _sketch(words: int):
     return run
 
 
+def _salted(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """One number for a band and its registers."""
+    h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + band.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, regs) -> a row per band that isn't empty."""
     for batch in batches:
@@ -83,9 +90,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reps = np.asarray(part.column(0))
             keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64).reshape(len(reps), BANDS)
             row, band = np.nonzero(keys != -1)
-            salted = keys[row, band].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + band.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            salted = (salted ^ (salted >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield pa.RecordBatch.from_arrays([pa.array(salted.view(np.int64)), pa.array(reps[row])], ["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(_salted(keys[row, band], band)), pa.array(reps[row])], ["band", "rep"])
 
 
 def _estimated(least: float):
@@ -100,25 +105,105 @@ def _estimated(least: float):
     return run
 
 
-def _across(least: float):
-    """Likely pairs between a block of askers and a block of members of one band, of different components."""
+class Block:
+    """Askers and members of one band, with registers and perhaps full sets; ``both`` marks members that also ask."""
+
+    def __init__(self, t: pa.Table):
+        self.rep, self.comp, self.n, self.asks, self.both = (np.asarray(t[c]) for c in ("rep", "component", "n_shingles", "asks", "both"))
+        self.regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        self.keys = self.regs.view(np.int64)
+        salted = _salted(self.keys[0], np.arange(BANDS))
+        self.slot = int(np.flatnonzero(salted == t["band"][0].as_py())[0])
 
-    def run(table):
-        rep, comp, n, asks = (np.asarray(table[c]) for c in ("rep", "component", "n_shingles", "asks"))
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        members = np.flatnonzero(~asks)
-        a, b = [], []
-        for i in np.flatnonzero(asks).tolist():
-            others = members[comp[members] != comp[i]]
-            hit = others[likely(regs[others], regs[i], n[others], n[i], least)]
-            a.append(np.maximum(rep[hit], rep[i]))
-            b.append(np.minimum(rep[hit], rep[i]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+    def likely(self, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Askers and their likely partners of other components.  A pair is taken in the first band that it shares, and
+        of two askers by the smaller."""
+        members = np.flatnonzero(~self.asks)
+        for i in np.flatnonzero(self.asks).tolist():
+            near = np.minimum(self.n[members], self.n[i]) >= least * np.maximum(self.n[members], self.n[i])
+            near &= (self.comp[members] != self.comp[i]) & ~(self.both[members] & (self.rep[members] < self.rep[i]))
+            others = members[near]
+            others = others[likely(self.regs[others], self.regs[i], self.n[others], self.n[i], least)]
+            shared = (self.keys[others] == self.keys[i]) & (self.keys[i] != -1)
+            others = others[shared.argmax(axis=1) == self.slot]
+            if len(others):
+                yield i, others
+
+
+def _by_block(work, names: list[str], kinds: list[pa.DataType]):
+    """Rows in order of (band, i, j) -> ``work`` on each such block, which has at most ``2 * BLOCK`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marks(t: pa.Table) -> np.ndarray:
+            keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in ("band", "i", "j")])
+            return np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+
+        def solved(t: pa.Table):
+            edges = [0, *marks(t).tolist(), t.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                columns = work(t.slice(x, y - x))
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                t = pa.Table.from_batches([batch.slice(at, BLOCK)])
+                held = pa.concat_tables([held, t]) if held is not None else t
+                if len(ends := marks(held)):  # the last block may go on in the next batch
+                    yield from solved(held.slice(0, int(ends[-1])))
+                    held = held.slice(int(ends[-1]))
+        if held is not None and held.num_rows:
+            yield from solved(held)
 
     return run
 
 
+def _involved(least: float):
+    """The rows of a block that have a likely partner there."""
+
+    def work(t: pa.Table):
+        used = np.zeros(t.num_rows, bool)
+        for i, others in Block(t).likely(least):
+            used[i] = True
+            used[others] = True
+        kept = t.filter(pa.array(used))
+        return [kept[c].combine_chunks() for c in ("band", "i", "j", "rep", "component", "asks", "both")]
+
+    return work
+
+
+def _joining(least: float, percent: int):
+    """Links of a block, confirmed on full sets, that join components of it."""
+
+    def work(t: pa.Table):
+        block, lists = Block(t), t["hashes"].combine_chunks()
+        ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        sets = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        home: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while home.get(x, x) != x:
+                x = home[x]
+            return x
+
+        u, v = [], []
+        for i, others in block.likely(least):
+            sizes = np.array([len(sets[o]) for o in others])
+            joined = np.concatenate([sets[o] for o in others])
+            at = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+            for o in others[both * 100 >= percent * (sizes + len(sets[i]) - both)].tolist():
+                x, y = root(int(block.comp[i])), root(int(block.comp[o]))
+                if x != y:
+                    home[max(x, y)] = min(x, y)
+                    u.append(int(block.rep[i]))
+                    v.append(int(block.rep[o]))
+        return [u, v]
+
+    return work
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,18 +211,22 @@ def _sets(words: int):
                 part = batch.slice(at, 256)
                 sets = [shingle_set((raw or b"").lower().split(), words) for raw in part.column(1).to_pylist()]
                 marks = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                lists = pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), binaries(marks), lists], ["rep", "mark", "hashes"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough, as links (u, v)."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "mark"), "rep")
+def _full_sets(reps: DataFrame, texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes) of the classes in ``reps``."""
+    wanted = reps.distinct().join(classes.select("rep", "mark"), "rep")
     raw = texts.join(wanted.select(F.col("rep").alias("doc")), "doc", "left_semi")
     sets = raw.mapInArrow(_sets(words), "rep long, mark binary, hashes array<long>")
-    sets = stored(sets.join(wanted, ["rep", "mark"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
+    return stored(sets.join(wanted, ["rep", "mark"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough, as links (u, v)."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
@@ -169,7 +258,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     known = pairs.join(side("a", "x", "p"), "a").join(side("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q")
     stars = stored(known.mapInArrow(_estimated(least), "a long, b long"), "pairs")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("raw"))
-    links = stored(_confirmed(stars, texts, classes, words, percent), "links")
+    sets = _full_sets(stars.select(F.col("a").alias("rep")).union(stars.select("b")), texts, classes, words)
+    links = stored(_confirmed(stars, sets, percent), "links")
     joined = components(links)
 
     # second round: bands whose classes are still of several components
@@ -177,21 +267,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     main = joined.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
     labelled = labelled.join(main, "pivot", "left").withColumn("asks", F.col("component") != F.coalesce("main", "pivot"))
-    still = labelled.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("asks").cast("long")).alias("askers")).filter("askers > 0")
+    still = labelled.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("asks").cast("long")).alias("askers")).filter("askers > 0 AND size > 2")  # a pair was tried with its pivot
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     split = stored(labelled.select("band", "rep", "component", "asks").join(still, "band"), "open-bands")
     place = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    askers = split.filter("asks").select("band", "rep", "component", F.lit(True).alias("asks"), place("askers").alias("i"), "size")
-    askers = askers.select("band", "rep", "component", "asks", "i", every("size").alias("j"))
-    members = split.select("band", "rep", "component", F.lit(False).alias("asks"), place("size").alias("j"), "askers")
-    members = members.select("band", "rep", "component", "asks", every("askers").alias("i"), "j")
-    meeting = askers.unionByName(members).join(classes.select("rep", "regs", "n_shingles"), "rep")
-    more = meeting.groupBy("band", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
-    more = stored(more.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, texts, classes, words, percent))
-        joined = components(links)
+    askers = split.filter("asks").withColumns({"both": F.lit(False), "i": place("askers"), "j": every("size")})
+    members = split.withColumns({"both": F.col("asks"), "i": every("askers"), "j": place("size")}).withColumn("asks", F.lit(False))
+    shape = ["band", "i", "j", "rep", "component", "asks", "both"]
+    sketch = classes.select("rep", "regs", "n_shingles")
+    in_blocks = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    meeting = in_blocks(askers.select(shape).union(members.select(shape)).join(sketch, "rep"))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    schema = "band long, i int, j int, rep long, component long, asks boolean, both boolean"
+    involved = stored(meeting.mapInArrow(_by_block(_involved(least), shape, kinds), schema), "involved")
+    if not involved.isEmpty():
+        sets = _full_sets(involved.select("rep"), texts, classes, words)
+        full = in_blocks(involved.join(sketch, "rep").join(sets, "rep"))
+        more = full.mapInArrow(_by_block(_joining(least, percent), ["u", "v"], [pa.int64(), pa.int64()]), "u long, v long")
+        joined = components(links.union(more))
 
     found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("mark", F.coalesce("component", "rep").alias("component"))
