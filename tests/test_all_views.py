@@ -86,3 +86,37 @@ def sql_rows(name, sf):
 def test_direct_folded_spans_are_the_sql(spark, sf):
     got = registry.QUERIES["span_findings"](spark, sf).filter(F.col("start").isNotNull() & (F.col("view") == "folded"))
     assert sorted(map(tuple, got.drop("view").collect())) == sql_rows("span_findings", sf)
+
+
+VALUES = {
+    "phone_findings": [
+        ("call +91 98765 43210 now", {("phone_country_code", "+91 98765 43210", 5, "base")}),
+        ("call 9876543210 now", {("phone_in", "9876543210", 5, "base"), ("phone_us", "9876543210", 5, "base")}),
+        ("call 6876l432lO now", {("phone_in", "6876143210", None, "ocr")}),
+        ("call 2l25551234 now", {("phone_us", "2125551234", None, "ocr")}),
+        ("call (415) 555-0123", {("phone_us", "(415) 555-0123", 5, "base")}),
+    ],
+    "ipv4_findings": [("at 10.0.0.1 or so", {("ipv4", "10.0.0.1", 3, "base")}), ("at 1O.0.0.l2 or so", {("ipv4", "10.0.0.12", None, "ocr")})],
+    "secret_findings": [("p4ssw0rd=hunterhunter", {("generic_secret", "password=hunterhunter", None, "leet")})],
+    "title_name_findings": [("for J0hn D0e, please", {("name_title_case", "John Doe", None, "leet")})],
+    "card_luhn_findings": [("card 4lll 1111 1111 11l1 now", {("credit_card", "4111 1111 1111 1111", None, "ocr")})],
+    "email_findings": [("to ann@example.com, ann@example.com", {("email", "ann@example.com", 3, "base")})],
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_values_of_every_view_and_rule(spark, tmp_path, name):
+    path = documents(spark, tmp_path, [t for t, _ in VALUES[name]])
+    rows = registry.QUERIES[name](spark, path).collect()
+    got = {(r.doc_id, r.rule_id, r.value, r.start, r.view) for r in rows}
+    assert len(rows) == len(got)
+    # a derived view repeats the values that it leaves as they are
+    missing = {(i, *v) for i, (_, want) in enumerate(VALUES[name]) for v in want} - got
+    assert not missing
+    assert {(i, value) for i, _, value, *_ in got} == {(i, v[1]) for i, (_, want) in enumerate(VALUES[name]) for v in want}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_base_values_are_the_sql(spark, sf, name):
+    got = registry.QUERIES[name](spark, sf).filter("view = 'base' AND rule_id NOT IN ('phone_in', 'phone_country_code')")
+    assert sorted(map(tuple, got.drop("rule_id", "view").collect())) == sql_rows(name, sf)

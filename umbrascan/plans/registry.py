@@ -130,8 +130,9 @@ def absent_type_counts(spark, sf_dir):
 
 
 def _values(spark, sf_dir, *rule_ids):
+    """One row per rule, view and value; a value of a derived view has no start."""
     found = findings.findings(texts(spark, sf_dir), ["doc_id"], rule_ids=list(rule_ids))
-    return found.filter("view = 'base'").select("doc_id", "type", "value", F.col("start").cast("long").alias("start"))
+    return found.select("doc_id", "type", "value", F.col("start").cast("long").alias("start"), "rule_id", "view")
 
 
 @query
@@ -141,7 +142,7 @@ def email_findings(spark, sf_dir):
 
 @query
 def phone_findings(spark, sf_dir):
-    return _values(spark, sf_dir, "phone_us")
+    return _values(spark, sf_dir, "phone_country_code", "phone_in", "phone_us")
 
 
 @query
