@@ -6,8 +6,10 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamReader
 
 from umbrascan.operators import scan, windows
+from umbrascan.plans import registry
 from umbrascan.streaming import jobs as stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -132,3 +134,48 @@ def test_late_violations_are_handed_on_not_judged():
     assert feed(500) == [(500.0, True)]
     assert alerts.recent.rows == [(1001.0,), (1002.0,)]
     assert feed(1003, 400) == [(400.0, True), (1003.0, False)]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """Events in files of mixed order: two sources up to five minutes out of step, ties, and 20 days without a pause."""
+    rng = random.Random(8)
+    folder = tmp_path_factory.mktemp("mixed")
+    t, rows = 0.0, []
+    for i in range(600):
+        t += rng.choice([0, 0, 20, 200, 400, 900])
+        rows.append((t + (300 if rng.random() < 0.5 else 0), i, t))
+    rows.sort()  # in order of arrival
+    for at in range(0, len(rows), 60):
+        part = [(i, T0 + dt.timedelta(seconds=t), rng.choice("aab"), 40.0 * rng.random()) for _, i, t in rows[at : at + 60]]
+        df = spark.createDataFrame(part, "event_id long, ts timestamp, event_type string, value double")
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def one_file_per_batch(monkeypatch):
+    schema = DataStreamReader.schema
+    monkeypatch.setattr(DataStreamReader, "schema", lambda self, s: schema(self, s).option("maxFilesPerTrigger", 1))
+
+
+def wanted(spark, folder):
+    log = spark.read.parquet(f"{folder}/events.parquet")
+    rule = windows.alert_rule(log, key="event_type", violation=F.col("value") > 20, ts="ts", window_s=1800)
+    return sorted(r.event_id for r in rule.collect())
+
+
+def test_alerts_of_micro_batches_in_mixed_order(spark, mixed, monkeypatch):
+    one_file_per_batch(monkeypatch)
+    got = [r.id for r in registry.QUERIES["stream_exact_alerts"](spark, mixed).collect()]
+    assert sorted(got) == wanted(spark, mixed) != []
+
+
+def test_only_violations_behind_the_watermark_are_late(spark, tmp_path, rocksdb):
+    path = str(tmp_path / "in")
+    for n, seconds in enumerate([[5000, 5010], [4405, 4400, 5011], [9000], [8399, 8400]]):
+        rows = [(100 * n + i, T0 + dt.timedelta(seconds=s), "a") for i, s in enumerate(seconds)]
+        spark.createDataFrame(rows, "id long, timestamp timestamp, key string").coalesce(1).write.mode("append").parquet(path)
+    build = lambda d: stream.exact_alerts(d, key="key", violation=F.lit(True), threshold=2, window_s=700)
+    got = sorted((r.id, r.late) for r in drain(spark, path, build, tmp_path).collect())
+    # watermarks: none, 4410, 4411, 8400; 5000 s and 5010 s plus 5011 s make three
+    assert got == [(100, True), (101, True), (102, False), (300, True)]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..operators import audit, decide, metrics, scan, windows
 
@@ -92,10 +93,10 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class ExactAlerts(StatefulProcessor):
-    """T4, exact: state is the last ``threshold`` violation times of the key, in order.
+    """T4 for streams without a watermark: state is the last ``threshold`` violation times of the key, in order.
 
     A violation older than the newest one judged in an earlier micro-batch comes too late to be judged; it is handed on
-    with ``late`` set, for the side metric (T8), and leaves the state as it is.
+    with ``late`` set, for the side metric (T8), and leaves the state as it is.  It is exact if every key comes in order.
     """
 
     def __init__(self, key: str, threshold: int, span_s: float):
@@ -125,20 +126,85 @@ class ExactAlerts(StatefulProcessor):
         pass
 
 
+class WatermarkAlerts(StatefulProcessor):
+    """T4, exact: state is the violations from the watermark on and the last ``threshold`` ones before it, in order.
+
+    A violation that comes out of order takes its place and may complete the alerts of later ones that are there already.
+    It only ever adds to their counts, so an alert is given at once, in the micro-batch that completes it, and never
+    again or withdrawn; nothing is left waiting when the stream ends.  Only a violation behind the watermark (or without
+    a time) is late: it is handed on with ``late`` set, for the side metric (T8).  A timer shortens the state of a key
+    that falls silent.
+    """
+
+    def __init__(self, key: str, threshold: int, span_us: int):
+        self.key, self.threshold, self.span_us = key, threshold, span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [StructField("us", LongType()), StructField("id", LongType()), StructField("told", BooleanType())]
+        self.held = handle.getListState("held", StructType(fields))
+
+    def _keep(self, held: pd.DataFrame, horizon: int) -> None:
+        """Nothing before the horizon changes any more: later ones need the ``threshold`` times before it."""
+        settled = int(np.searchsorted(held["us"], horizon))
+        self.held.put(list(held.iloc[max(0, settled - self.threshold):].itertuples(index=False, name=None)))
+
+    def _stored(self) -> pd.DataFrame:
+        held = pd.DataFrame(list(self.held.get()), columns=["us", "id", "told"])
+        return held.astype({"us": "int64", "told": "bool"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _ordered(rows, ["us", "id"])
+        horizon = _horizon(timerValues)
+        late = batch["us"].isna() | (batch["us"] < horizon)
+        held = self._stored()
+        if not late.all():
+            fresh = batch.loc[~late, ["us", "id"]].assign(told=False).astype({"us": "int64"})
+            held = pd.concat([held, fresh], ignore_index=True).sort_values(["us", "id"], kind="stable", ignore_index=True)
+        us = held["us"].to_numpy()
+        violations = np.searchsorted(us, us, "right") - np.searchsorted(us, us - self.span_us, "right")
+        alerts = (violations > self.threshold) & ~held["told"].to_numpy()
+        held["told"] |= alerts
+        if len(held):
+            self._keep(held, horizon)
+            if (expiry := int(us[-1]) // 1000 + 1) > horizon // 1000:
+                self.handle.registerTimer(expiry)
+        hits = pd.concat([held.loc[alerts, ["us", "id"]].assign(late=False), batch.loc[late, ["us", "id"]].assign(late=True)])
+        if len(hits):
+            yield pd.DataFrame({self.key: str(key[0]), "id": hits["id"], "seconds": hits["us"] / 1e6, "late": hits["late"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._stored(), _horizon(timerValues))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _horizon(timers) -> int:
+    """The watermark in microseconds; before the first one, nothing is behind it."""
+    ms = timers.getCurrentWatermarkInMs()
+    return ms * 1000 if ms > 0 else np.iinfo(np.int64).min
+
+
 def exact_alerts(requests: DataFrame, *, key: str, violation: Column, ts: str = "timestamp", id_col: str = "id",
                  threshold: int = windows.ALERT_THRESHOLD, window_s: int = windows.ALERT_WINDOW_S,
-                 watermark: str = WATERMARK) -> DataFrame:
+                 watermark: str | None = WATERMARK) -> DataFrame:
     """T4, exact: violations at which a key exceeds the rule, and (``late``) those that came too late to be judged.
 
-    Only key, id and time are shuffled.
+    Only key, id and time are shuffled.  Without a watermark the micro-batches must come in order of time.
     """
-    narrow = requests.withWatermark(ts, watermark).filter(violation).select(
-        F.col(key).cast("string").alias(key), F.col(id_col).cast("long").alias("id"),
-        (F.unix_micros(ts) / 1e6).alias("seconds"),
-    )
-    return narrow.groupBy(key).transformWithStateInPandas(
-        ExactAlerts(key, threshold, window_s), f"{key} string, id long, seconds double, late boolean", "Append", "None"
+    marked = requests if watermark is None else requests.withWatermark(ts, watermark)
+    # the handler sees late rows as well: the shuffled columns don't carry the watermark, so Spark drops none
+    narrow = marked.filter(violation).select(
+        F.col(key).cast("string").alias(key), F.col(id_col).cast("long").alias("id"), F.unix_micros(ts).alias("us"),
     )
+    schema = f"{key} string, id long, seconds double, late boolean"
+    if watermark is None:
+        timed = narrow.withColumn("seconds", F.col("us") / 1e6)
+        return timed.groupBy(key).transformWithStateInPandas(ExactAlerts(key, threshold, window_s), schema, "Append", "None")
+    alerts = WatermarkAlerts(key, threshold, window_s * 1_000_000)
+    return narrow.groupBy(key).transformWithStateInPandas(alerts, schema, "Append", "EventTime")
 
 
 class SloMonitor(StatefulProcessor):
