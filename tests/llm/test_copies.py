@@ -1,6 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from umbrascan.llm import components, near_duplicates, substrings
 
 from . import brute
@@ -63,6 +66,21 @@ def test_chains_are_found_in_blocks(spark, monkeypatch):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_texts_that_share_a_key(spark):
+    """Two texts of one key are documents of their own, in the operator and in the pipeline's stage."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (5, near), (5, text("b")), (7, text("b")), (8, text("c")), (8, text("c")), (8, text("d"))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    numbered = df.coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    got = {r["n"]: (r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(numbered, row="n").collect()}
+    assert {n: got[n][0] for n in got} == {0: 1, 1: 1, 2: 5, 3: 5, 4: 8, 5: 8, 6: 8}
+    assert [got[n][1] for n in (0, 1, 2, 3, 6)] == [True, False, True, False, True] and got[4][1] != got[5][1]
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, text("a")), (5, text("b")), (8, text("c")), (8, text("d"))]
+    assert kept.columns == df.columns
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(1, None)]

@@ -65,13 +65,13 @@ def _sketch(words: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sizes, marks, regs = [], [], []
-                for raw in part.column(1).to_pylist():
+                for raw in part.column(2).to_pylist():
                     hashes = shingle_set((raw or b"").lower().split(), words)
                     sizes.append(len(hashes))
                     marks.append(xxhash.xxh128_digest(hashes.tobytes()) if len(hashes) else None)
                     regs.append(registers(hashes).tobytes() if len(hashes) else None)
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(regs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "mark", "regs"])
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "n_shingles", "mark", "regs"])
 
     return run
 
@@ -212,17 +212,17 @@ def _sets(words: int):
                 sets = [shingle_set((raw or b"").lower().split(), words) for raw in part.column(1).to_pylist()]
                 marks = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
                 lists = pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), binaries(marks), lists], ["rep", "mark", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries(marks), lists], ["doc", "mark", "hashes"])
 
     return run
 
 
 def _full_sets(reps: DataFrame, texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(rep, hashes) of the classes in ``reps``."""
-    wanted = reps.distinct().join(classes.select("rep", "mark"), "rep")
-    raw = texts.join(wanted.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    sets = raw.mapInArrow(_sets(words), "rep long, mark binary, hashes array<long>")
-    return stored(sets.join(wanted, ["rep", "mark"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
+    wanted = reps.distinct().join(classes.select("rep", "doc", "mark"), "rep")
+    raw = texts.join(wanted.select("doc"), "doc", "left_semi")
+    sets = raw.mapInArrow(_sets(words), "doc long, mark binary, hashes array<long>")
+    return stored(sets.join(wanted, ["doc", "mark"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,22 +233,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, row: str | None = None
+) -> DataFrame:
     """One row per document: ``key``, n_shingles, component_id (smallest key reachable over links) and kept.
 
     Documents are linked if their sets of ``words``-word shingles, of words between ASCII white space with A-Z lowered,
     have a Jaccard similarity of ``percent`` per cent or more.  A document of fewer words is one shingle; one without
     words, or with a null text, is linked with nothing.  Rows of a null key take no part: they have a null component and
-    are kept.  Rows that repeat a key count as documents of their own.  Keys must be integers; other columns are not
-    carried.
+    are kept.  Rows that repeat a key count as documents of their own: each has the component of its own text, and of a
+    component's rows of its smallest key one is kept.  Keys must be integers; other columns are not carried, but for
+    ``row``, a column of distinct integers to tell rows of one key apart.
     """
     least = percent / 100
-    raw = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("raw"))
-    sketched = stored(raw.mapInArrow(_sketch(words), "doc long, n_shingles long, mark binary, regs binary"), "sketches")
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    raw = docs.select(number.alias("row"), F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("raw"))
+    sketched = stored(raw.mapInArrow(_sketch(words), "row long, doc long, n_shingles long, mark binary, regs binary"), "sketches")
     part = sketched.filter("doc IS NOT NULL AND mark IS NOT NULL")
-    classes = part.groupBy("mark").agg(F.min("doc").alias("rep"))
-    first = part.select("mark", F.col("doc").alias("rep"), "n_shingles", "regs")
-    classes = stored(first.join(classes, ["mark", "rep"]).dropDuplicates(["mark", "rep"]), "classes")
+    firsts = part.groupBy("mark").agg(F.min(F.struct("doc", "row")).alias("first")).select("mark", "first.*")
+    classes = part.join(firsts, ["mark", "doc", "row"])  # a class has a number of its own: one key may begin several
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     rows = classes.select("rep", "regs").mapInArrow(_bands, "band long, rep long")
     shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
@@ -288,9 +292,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         joined = components(links.union(more))
 
     found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = found.select("mark", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc", "n_shingles", "mark").join(found, "mark", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return out.select(
-        F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept")
-    )
+    found = found.select("mark", F.coalesce("component", "rep").alias("component"), F.struct("doc", "row").alias("first"))
+    least = found.groupBy("component").agg(F.min("first").alias("least"))
+    found = found.join(least, "component").select("mark", "least")
+    out = sketched.select("row", "doc", "n_shingles", "mark").join(found, "mark", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("least.doc", "doc"))
+    kept = F.col("doc").isNull() | F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.lit(True))
+    shown = [F.col("doc").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept")]
+    return out.select(*shown, *([F.col("row").alias(row)] if row else []))
