@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -107,6 +108,18 @@ def test_token_files(spark, table, tmp_path):
     assert keys == sorted(keys) and len(got) == table.count()
 
 
+def test_another_frequency_table_fails(spark, table, tmp_path):
+    token_files.write(table, f"{tmp_path}/a", P.path("byte_bpe_50k.json"), P.PATTERN, 2, block=500)
+    counts = json.loads(spark.read.parquet(f"{tmp_path}/a/tables").first()["counts"])
+    last = max(counts, key=int)
+    counts[str(int(last) + 1)] = counts.pop(last)  # as many slots in the same order, for another id
+    spark.read.parquet(f"{tmp_path}/a/blocks").write.parquet(f"{tmp_path}/b/blocks")
+    spark.createDataFrame([(json.dumps(counts),)], "counts string").write.parquet(f"{tmp_path}/b/tables")
+    assert token_files.read(spark, f"{tmp_path}/a").count() == table.count()
+    with pytest.raises(Exception, match="decodes to other ids"):
+        token_files.read(spark, f"{tmp_path}/b").collect()
+
+
 def test_token_files_of_nothing(spark, table, tmp_path):
     token_files.write(table.limit(0), str(tmp_path), P.path("byte_bpe_50k.json"), P.PATTERN, 2)
     assert token_files.read(spark, str(tmp_path)).count() == 0

@@ -148,10 +148,12 @@ def _blocks(tables: Tables, kind: str, block: int):
         part, number, keys, sizes, held, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            payload = encode_block(np.concatenate(held), tables)
-            cells = [[part], [number], [n], [payload], [zlib.crc32(payload)], [keys], [sizes]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(key_kind), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["part", "block", "n", "payload", "crc", "keys", "sizes"])
+            ids = np.concatenate(held)
+            payload = encode_block(ids, tables)
+            cells = [[part], [number], [n], [payload], [zlib.crc32(payload)], [zlib.crc32(ids.astype("<u4"))], [keys], [sizes]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(key_kind), pa.list_(pa.int64())]
+            names = ["part", "block", "n", "payload", "crc", "ids_crc", "keys", "sizes"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names)
 
         for batch in batches:
             key_kind = batch.schema.field(0).type
@@ -183,7 +185,7 @@ def write(
     counts = count_ids(tokens, kind)
     ordered = tokens.repartitionByRange(key, "tie", "row").sortWithinPartitions(key, "tie", "row").select(key, "ids")
     key_type = docs.schema[key].dataType.simpleString()
-    schema = f"part int, block int, n long, payload binary, crc long, keys array<{key_type}>, sizes array<long>"
+    schema = f"part int, block int, n long, payload binary, crc long, ids_crc long, keys array<{key_type}>, sizes array<long>"
     blocks = ordered.mapInArrow(_blocks(Tables(counts), kind, block), schema)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     spark = docs.sparkSession
@@ -200,7 +202,7 @@ def _vocab(path: str) -> int:
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """One row per document of a file set: key, start, n_tokens, ids_crc32, and the packed ids.
 
-    Blocks are decoded in parallel; a damaged payload fails the job.
+    Blocks are decoded in parallel; a damaged payload, or a frequency table that gives other ids, fails the job.
     """
     counts = {int(k): v for k, v in json.loads(spark.read.parquet(f"{folder}/tables").first()["counts"]).items()}
     tables = Tables(counts)
@@ -210,10 +212,12 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, number, payload, crc, keys, sizes = (batch.column(c)[i].as_py() for c in range(6))
+                part, number, payload, crc, ids_crc, keys, sizes = (batch.column(c)[i].as_py() for c in range(7))
                 if zlib.crc32(payload) != crc:
                     raise ValueError(f"block {number} of part {part} is damaged")
                 ids = decode_block(payload, tables).astype("<u4")
+                if zlib.crc32(ids) != ids_crc:
+                    raise ValueError(f"block {number} of part {part} decodes to other ids than were written")
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 cells = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
@@ -221,14 +225,14 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                     some = cells[at : at + 1000]
                     n = len(some)
                     columns = [
-                        pa.array(keys[at : at + n], batch.schema.field(4).type.value_type), pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()),
+                        pa.array(keys[at : at + n], batch.schema.field(5).type.value_type), pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()),
                         pa.array(starts[at : at + n], pa.int64()), pa.array(sizes[at : at + n], pa.int64()),
                         pa.array([zlib.crc32(c) for c in some], pa.int64()), binaries(some),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [key, "part", "block", "at", "n_tokens", "ids_crc32", "ids"])
 
     schema = f"`{key}` {kind}, part int, block int, at long, n_tokens long, ids_crc32 long, ids binary"
-    decoded = blocks.select("part", "block", "payload", "crc", "keys", "sizes").mapInArrow(run, schema)
+    decoded = blocks.select("part", "block", "payload", "crc", "ids_crc", "keys", "sizes").mapInArrow(run, schema)
     sizes = blocks.select("part", "block", "n")
     inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ahead = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
