@@ -162,6 +162,14 @@ def test_packing(spark, table):
     assert packing.pack(table.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_packing_mixes_lengths_that_follow_the_layout(spark):
+    text = lambda n: F.repeat(F.lit(" a"), n - 1)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, text(55)).otherwise(text(45)).alias("text"))
+    rows = packing.pack(docs.repartitionByRange(4, "doc_id"), P.path("byte_bpe_50k.json"), P.PATTERN, capacity=100).cache()
+    assert {r["length"] for r in rows.select("length").distinct().collect()} == {45, 55}
+    assert rows.select("sequence_id").distinct().count() <= 240  # 200 at best; sorted by length, 300
+
+
 def test_packing_tree_joins_small_partitions(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).repartition(100)
     rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, capacity=64)

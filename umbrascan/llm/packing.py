@@ -1,6 +1,7 @@
 """Hierarchical residual packing of token pieces into sequences.
 
-Each partition packs its pieces best-fit, longest first, and emits all bins but its emptiest few: at most ``KEPT`` bins
+The piece rows, without texts, are dealt over the partitions by a hash, so that each sees the whole mix of lengths however
+the files lie.  Each partition packs its pieces best-fit, longest first, and emits all bins but its emptiest few: at most ``KEPT`` bins
 with more than a sixteenth of the capacity free.  These become items of the next round, in which groups of ``FAN_IN``
 partitions are packed best-fit again, and so on up a tree until one group is left.  A task of a round handles at most
 ``FAN_IN * KEPT`` items, whatever the input's size, and no piece is moved: a piece's place is its bin's place plus its
@@ -67,14 +68,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def _local(path: str, pattern: str, end_id: int, capacity: int):
+def _pieces(path: str, pattern: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = once(("ids", path), lambda: LibraryIds(path, pattern))
         end = np.array([end_id], library.kind).tobytes()
-        docs, pieces, starts, lengths, sums = [], [], [], [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                docs, pieces, starts, lengths, sums = [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), strings(part.column(1))):
                     ids = np.frombuffer(library.packed(text) + end, library.kind).astype("<u4")
                     for i, (start, size) in enumerate(cut(len(ids), capacity)):
@@ -83,14 +84,23 @@ def _local(path: str, pattern: str, end_id: int, capacity: int):
                         starts.append(start)
                         lengths.append(size)
                         sums.append(zlib.crc32(ids[start : start + size]))
-        if not docs:
+                kinds = [part.schema.field(0).type, pa.int32(), *[pa.int64()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([docs, pieces, starts, lengths, sums], kinds)], PIECE)
+
+    return run
+
+
+def _local(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
             return
-        bins, offsets, fills = best_fit(np.array(lengths, np.int64), capacity)
+        whole = pa.Table.from_batches(held)
+        bins, offsets, fills = best_fit(np.asarray(whole["length"]), capacity)
         base = TaskContext.get().partitionId() << 32
-        columns = [docs, pieces, starts, lengths, sums, bins + base, offsets, fills[bins], underfull(fills, capacity)[bins]]
-        kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 6, pa.bool_()]
-        names = [*PIECE, "bin", "place", "fill", "open"]
-        whole = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        more = {"bin": bins + base, "place": offsets, "fill": fills[bins], "open": underfull(fills, capacity)[bins]}
+        for name, column in more.items():
+            whole = whole.append_column(name, pa.array(column))
         yield from whole.to_batches(max_chunksize=10_000)
 
     return run
@@ -120,8 +130,11 @@ def pack(
     carried.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long, open boolean"
-    placed = stored(docs.select(F.col(key), F.col(text)).mapInArrow(_local(path, pattern, end_id, capacity), schema), "pieces")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    pieces = docs.select(F.col(key), F.col(text)).mapInArrow(_pieces(path, pattern, end_id, capacity), schema)
+    # the row's number deals repeated rows and null keys apart
+    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())).select(PIECE)
+    placed = stored(dealt.mapInArrow(_local(capacity), f"{schema}, bin long, place long, fill long, open boolean"), "pieces")
 
     items = placed.filter("open").select("bin", "fill").distinct()
     moves = stored(items.selectExpr("bin", "bin AS into", "0L AS shift", "fill AS total", "true AS open"), "residues")
