@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbrascan.llm import bpe, chat, exact_topk, near_duplicates, neighbours, packing, substrings, token_counts, token_files, toxicity
+from umbrascan.llm import (
+    bpe,
+    chat,
+    collocations,
+    exact_topk,
+    main_text,
+    near_duplicates,
+    neighbours,
+    packing,
+    prefix_trie,
+    substrings,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from umbrascan.llm.shared import table
 
 PATTERN = public_tokenizers.PATTERN
@@ -153,6 +167,104 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(rows))
+
+
+TRIE_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)[:32]) AS turns
+  FROM r GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, turns, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: 0::BIGINT)),
+                          lambda u, v: xor(u >> 1, 3988292384::BIGINT * (u & 1))))) % 4 AS h
+  FROM own
+), built AS (
+  SELECT c.conv_id, coalesce(b.turns[1 : c.h], []) || c.turns[c.h + 1 :] AS turns
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), p AS (
+  SELECT conv_id, len(turns) AS l, turns, unnest(range(0, len(turns) + 1)) AS d FROM built
+), q AS (
+  SELECT conv_id, l, d, turns[1 : d] AS node, CASE WHEN d > 0 THEN turns[1 : d - 1] END AS above, CASE WHEN d > 0 THEN turns[d].text ELSE '' END AS last FROM p
+), n AS (
+  SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+         len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE l = d), '')) AS ends_sha256
+  FROM q GROUP BY node, d
+), k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY above
+), m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)
+), up AS (
+  SELECT node[1 : a] AS node, n_children, n_convs, words FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m)
+), s AS (
+  SELECT node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM up GROUP BY node
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, x.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (node) LEFT JOIN m x ON x.node = m.above
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), n AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(words) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100
+), c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1
+), u AS (SELECT *, unnest(range(1, k)) AS cut FROM c
+), s AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, x.a AS l, y.a AS r, n.n,
+         (1000 * u.a::HUGEINT * n.n) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM u JOIN n USING (lang)
+  JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.words[1 : u.cut], ' ')
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.words[u.cut + 1 :], ' ')
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_spans AS (
+  SELECT lang, a AS f, array_to_string(words[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))
+), lost AS (
+  SELECT DISTINCT low.lang, low.phrase FROM low JOIN inner_spans i ON i.lang = low.lang AND i.phrase = low.phrase AND 100 * i.f >= 100 * low.a
+), ranked AS (
+  SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM low ANTI JOIN lost USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+PAGE_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS inside FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(inside, '</?(p|h1)>', chr(1), 'g'), chr(1)), lambda x:
+    replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', chr(1)), '&amp', chr(1))) AS blocks
+  FROM a
+), c AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(x, chr(1), '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM c
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -166,10 +278,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_packing,
         op10_exact_topk,
+        op11_prefix_trie,
+        op12_collocations,
+        op13_main_text,
     )
 }
 
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_chat": CHAT_SQL, "op3_substrings": SUBSTRING_SQL, "op8_near_duplicates": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
+    return {"op2_chat": CHAT_SQL, "op3_substrings": SUBSTRING_SQL, "op8_near_duplicates": NEAR_SQL, "op10_exact_topk": TOPK_SQL, "op11_prefix_trie": TRIE_SQL, "op12_collocations": PHRASE_SQL, "op13_main_text": PAGE_SQL}
