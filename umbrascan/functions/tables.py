@@ -111,7 +111,8 @@ def span_alphabet() -> dict[str, str]:
     return table
 
 
-def _ranges(points) -> str:
+def ranges(points) -> str:
+    """Code points as the inside of a character class."""
     points = sorted(set(points))
     parts, i = [], 0
     while i < len(points):
@@ -134,4 +135,4 @@ def char_class(chars) -> str:
     blocks = ((0, 0x20), (0x20, 0x80), (0x80, 0x100), (0x100, 0x110000))
     parts = [[p for p in points if low <= p < high] for low, high in blocks]
     hull = "".join(f"\\x{{{min(part):X}}}-\\x{{{max(part):X}}}" for part in parts if part)
-    return f"[[{hull}]&&[{_ranges(points)}]]"
+    return f"[[{hull}]&&[{ranges(points)}]]"

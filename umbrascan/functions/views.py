@@ -18,6 +18,8 @@ NUL = "\u0000"
 LEET_TOKEN = r"(?<!\S)[^\s@431057$]*+[@431057$]\S*+"
 OCR_RUN = r"(?U)(?<!\w)[\d\s\-_.lIoOsSgGB|]{6,}(?!\w)"
 FOREIGN = r"[^\x00-\x7f]"
+#: white space as ``without_space`` sees it, as the inside of a character class
+SPACE = r"\p{IsWhite_Space}"
 SPAN_TOKEN = r"^[A-Za-z0-9+/=]{12,}$"
 # What the span profile counts as printable text after decoding.
 PRINTABLE = r"^[\x20-\x7e\s\x{A0}]+$"
@@ -164,24 +166,30 @@ def collapse_space(col: Column) -> Column:
     return F.regexp_replace(plain, r"\s+", " ")
 
 
+#: a base64 token between blanks, once white space is collapsed
+TOKEN = r"(?<![^ ])[A-Za-z0-9+/=]{12,}+(?![^ ])"
+
+
+def token_pieces(text: Column) -> Column:
+    """Base64 tokens and the text around them, in turn.  With white space collapsed a line feed is free to mark them."""
+    return F.split(F.regexp_replace(text, TOKEN, "\n$0\n"), "\n")
+
+
+def decode_tokens(text: Column) -> Column:
+    """``text``, whose white space is collapsed, with every readable base64 token replaced by its text."""
+    done = F.transform(token_pieces(text), lambda p, i: F.when(i % 2 == 1, F.coalesce(decode_token(p), p)).otherwise(p))
+    return F.when(text.rlike(TOKEN), F.array_join(done, "")).otherwise(text)
+
+
 def decoded_view(col: Column, rounds: int = 3) -> Column:
     """Replace base64 tokens by their text, up to three rounds; white space collapses.
 
-    A round runs only if the one before decoded something.  With white space collapsed a
-    line feed is free to mark the tokens.
+    A round runs only if the one before decoded something.
     """
-    token = r"(?<![^ ])[A-Za-z0-9+/=]{12,}+(?![^ ])"
-
-    def decode(text: Column) -> Column:
-        pieces = F.split(F.regexp_replace(text, token, "\n$0\n"), "\n")
-        return F.array_join(
-            F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(decode_token(p), p)).otherwise(p)), ""
-        )
 
     def one_round(state: Column) -> Column:
         def after(text: Column) -> Column:
-            done = F.when(text.rlike(token), decode(text)).otherwise(text)
-            return _bound(done, lambda d: F.struct(d.alias("text"), (d != text).alias("changed")))
+            return _bound(decode_tokens(text), lambda d: F.struct(d.alias("text"), (d != text).alias("changed")))
 
         return F.when(state["changed"], _bound(collapse_space(state["text"]), after)).otherwise(state)
 

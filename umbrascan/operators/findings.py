@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import positions
+from ..functions import views as V
 from . import decide, scan
 from .rules import Profile, profile_of, quote
 
@@ -42,11 +44,42 @@ def findings(
     rule_ids: list[str] | None = None,
     types: list[str] | None = None,
 ) -> DataFrame:
-    """One row per distinct (rule, view, value) with the first offset in the base view.
+    """One row per distinct (rule, view, value) with its first place in the raw text.
 
-    ``value`` is null for detectors that judge the whole text; ``start`` is null for values
-    that exist only in a derived view.  ``rule_ids`` or ``types`` compile only those rules.
+    ``start`` and ``end`` count code points of the raw text, whatever view the value was found in; of a place that
+    a view wrote as one, such as an expanded letter, the whole counts.  ``value`` and the place are null for detectors
+    that judge the whole text.  ``rule_ids`` or ``types`` compile only those rules.
     """
+    out, found = _placed(df, keys, text_col, profile, rule_ids, types)
+    rows = out.select(*keys, F.explode(scan.settled(found)).alias("f")).select(*keys, "f.*")
+    return rows if types is None else rows.filter(F.col("type").isin(types))
+
+
+def merged_findings(
+    df: DataFrame,
+    keys: list[str],
+    text_col: str = "text",
+    profile: str | Profile = "standard",
+    *,
+    rule_ids: list[str] | None = None,
+    types: list[str] | None = None,
+) -> DataFrame:
+    """One row per place: overlapping findings of a type, of all rules and views, as (type, start, end, rules, views, text).
+
+    All places of a value count, not only the first; ``text`` is the place in the raw text.  Detectors that judge the
+    whole text have no place and no row.
+    """
+    out, found = _placed(df, keys, text_col, profile, rule_ids, types, every=True)
+    wanted = found if types is None else F.filter(found, lambda f: f["type"].isin(types))
+    rows = out.select(*keys, text_col, F.explode(scan.settled(positions.merged(wanted))).alias("m"))
+    raw = F.substring(F.col(text_col), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
+    return rows.select(*keys, "m.*", raw.alias("text"))
+
+
+def _placed(
+    df: DataFrame, keys: list[str], text_col: str, profile: str | Profile, rule_ids, types, every: bool = False
+) -> tuple[DataFrame, Column]:
+    """The texts with their views, and the array of distinct findings with their first place, or with every place of a value."""
     profile = profile_of(profile)
     wanted = [
         r for r in profile.rules
@@ -57,10 +90,36 @@ def findings(
     refs = scan.view_refs(out)
     parts = [_rule_findings(r, v, refs) for r in wanted for v in r.views if v in refs]
     found = F.expr(f"array_distinct(concat({', '.join(parts)}))")
-    rows = out.select(*keys, scan.BASE, F.explode(scan.settled(found)).alias("f"))
-    first = F.when(F.col("f.view") == "base", F.expr(f"nullif(instr({scan.BASE}, f.value), 0) - 1"))
-    rows = rows.select(*keys, "f.*", first.alias("start"))
-    return rows if types is None else rows.filter(F.col("type").isin(types))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = F.col(scan.BASE)
+
+    def view_of(f: Column) -> Column:
+        if scan.PACKED not in out.columns:
+            return base
+        view = F.when(f["view"] == "leet", F.col(scan.LEET)).when(f["view"] == "ocr", F.col(scan.OCR))
+        return view.when(f["view"] == "packed", F.col(scan.PACKED)).otherwise(base)
+
+    def in_raw(f: Column, at: Column) -> Column:
+        """Leet and OCR repair write one character for one, so only packed places need a way back to the base view."""
+        packed = positions.source_place(positions.dropped(base, V.SPACE), at)
+        in_base = F.when(f["view"] == "packed", packed).otherwise(at)
+        return positions.bound(in_base, lambda p: positions.in_raw(raw, p, profile.name))
+
+    def with_place(f: Column, p: Column) -> Column:
+        names = ["rule_id", "type", "view", "value"]
+        return F.struct(*[f[c].alias(c) for c in names], p["start"].alias("start"), p["end"].alias("end"))
+
+    def first(f: Column) -> Column:
+        at = positions.bound(positions.found_at(view_of(f), f["value"]), lambda at: F.when(at.isNotNull(), in_raw(f, at)))
+        return positions.bound(at, lambda p: with_place(f, p))
+
+    def all_places(f: Column) -> Column:
+        places = positions.bound(view_of(f), lambda v: positions.all_found(v, f["value"]))
+        return F.transform(places, lambda at: positions.bound(in_raw(f, at), lambda p: with_place(f, p)))
+
+    if every:
+        return out, F.flatten(F.transform(F.filter(found, lambda f: f["value"].isNotNull()), all_places))
+    return out, F.transform(found, first)
 
 
 def encoded_findings(

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import positions
 from ..functions import views as V
 from . import decide
 from .rules import quote
@@ -155,8 +156,13 @@ def with_steps(df: DataFrame, text_col: str, out_col: str = "steps") -> DataFram
     return out.withColumn(out_col, F.array(*steps)).drop("__stripped", *[f"__{v}" for v in VIEWS])
 
 
-def with_hits(df: DataFrame, text_col: str) -> DataFrame:
-    """Add ``hits``: distinct (type, value) with the offset of the first match, if direct."""
+def with_hits(df: DataFrame, text_col: str, every: bool = False) -> DataFrame:
+    """Add ``hits``: distinct (type, value) with the first place in the raw text.
+
+    A hit of a derived view is traced back to the raw text; inside a decoded token the whole token is its place.  A value
+    that only a reduced text holds (``reduced``) stands from its first to its last character.  With ``every``, all direct
+    matches of all views are kept, so a value has a hit per place.
+    """
     out = with_span_views(df, text_col)
     # A view equal to the one before has the same hits; null skips it.
     sources = {
@@ -175,18 +181,87 @@ def with_hits(df: DataFrame, text_col: str) -> DataFrame:
         out = out.withColumn(f"__f{n}", F.expr(_fallback_hits(column, f"__h{n}", base + 50)))
     everything = ", ".join(f"__h{n}, __f{n}" for n in range(len(VIEWS)))
     # Sorting brings equal (type, value) together, earliest first; keep the first of each.
-    ordered = f"transform(array(array_sort(concat({everything}))), s -> filter(s, (h, i) -> i = 0 or not " \
-        "(get(s, i - 1).type = h.type and get(s, i - 1).value = h.value)))[0]"
+    ordered = f"concat({everything})" if every else f"transform(array(array_sort(concat({everything}))), s -> filter(s, " \
+        "(h, i) -> i = 0 or not (get(s, i - 1).type = h.type and get(s, i - 1).value = h.value)))[0]"
     names = "array(" + ", ".join(quote(v) for v in VIEWS) + ")"
-    placed = (
+    listed = (
         f"transform(array_sort(transform({ordered}, h -> named_struct('ord', h.ord, 'start', h.start, 'hit', h))), "
         f"x -> named_struct('type', x.hit.type, 'value', x.hit.value, 'start', x.hit.start, 'end', x.hit.end, "
-        f"'view', get({names}, cast(x.ord div 100 as int))))"
+        f"'view', get({names}, cast(x.ord div 100 as int)), 'reduced', x.hit.start is null))"
     )
-    out = out.withColumn("hits", settled(F.expr(placed)))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = out.withColumn("hits", settled(F.transform(F.expr(listed), lambda h: _with_place(raw, h))))
     return out.drop(*[f"__{k}{n}" for k in "hfv" for n in range(4)], *[f"__v{n}_digit{s}" for n in range(4) for s in ("", "s")])
 
 
+def _with_place(raw: Column, h: Column) -> Column:
+    """The hit with its place in the raw text instead of the one in its view."""
+    at = positions.bound(_place_in_view(h), lambda at: _place_in_raw(raw, h["view"], at))
+    kept = [h[c].alias(c) for c in ("type", "value", "view", "reduced")]
+    return positions.bound(at, lambda p: F.struct(*kept[:2], p["start"].alias("start"), p["end"].alias("end"), *kept[2:]))
+
+
+def _view(name: Column) -> Column:
+    out = F.col(f"__{VIEWS[-1]}")
+    for v in reversed(VIEWS[:-1]):
+        out = F.when(name == v, F.col(f"__{v}")).otherwise(out)
+    return out
+
+
+def _place_in_view(h: Column) -> Column:
+    """Where a hit stands in its view.  A reduced value stands from its first to its last character."""
+    within = lambda gone: lambda v: positions.bound(
+        positions.found_at(F.regexp_replace(v, f"[{gone}]+", ""), h["value"]),
+        lambda at: F.when(at.isNotNull(), positions.source_place(positions.dropped(v, gone), at)),
+    )
+    gapped = lambda pattern: lambda v: positions.found_at(v, F.regexp_extract(v, pattern, 0))
+    ways = {
+        "AADHAAR": within("^0-9"),
+        "PAN": gapped(GAPPED_PAN),
+        "PHONE_IN": within("^0-9"),
+        "DRIVING_LICENSE": gapped(GAPPED_LICENCE),
+        "EMAIL": within(V.WIDE_SPACE[1:-1]),
+    }
+
+    def reduced(v: Column) -> Column:
+        out = F.lit(None).cast(positions.NOWHERE)
+        for type_, way in ways.items():
+            out = F.when(h["type"] == type_, way(v)).otherwise(out)
+        return out
+
+    return F.when(h["reduced"], positions.bound(_view(h["view"]), reduced)).otherwise(positions.place(h["start"], h["end"]))
+
+
+def _place_in_raw(raw: Column, view: Column, at: Column) -> Column:
+    """A place of a view in the raw text: back through the compact view, the decoding rounds and the folding."""
+    nowhere = F.lit(None).cast(positions.NOWHERE)
+    back = lambda steps, p: F.when(p.isNotNull(), positions.source_place(steps, p)).otherwise(nowhere)
+    in_decoded = F.when(view == "compact", back(positions.dropped(F.col("__decoded"), "^A-Za-z0-9_"), at)).otherwise(at)
+
+    def round_back(text: Column, rounds: int, p: Column) -> Column:
+        """A place after ``rounds`` rounds of decoding, in the text before them."""
+        if rounds == 0:
+            return p
+        blanks = V.collapse_space(text)
+        later = lambda c: V.decode_tokens(c)
+        return positions.bound(
+            blanks,
+            lambda c: positions.bound(
+                round_back_of(later(c), rounds - 1, p), lambda q: positions.bound(back(positions.opened(c), q), lambda r: back(positions.collapsed(text), r))
+            ),
+        )
+
+    def round_back_of(text: Column, rounds: int, p: Column) -> Column:
+        return positions.bound(text, lambda t: round_back(t, rounds, p))
+
+    decoded = view.isin("decoded", "compact")
+    unchanged = F.col("__decoded") == F.col("__leet")
+    in_leet = positions.bound(
+        in_decoded, lambda p: F.when(decoded & ~unchanged, round_back(F.col("__leet"), 3, p)).otherwise(p)
+    )
+    return positions.bound(in_leet, lambda p: F.when(p.isNotNull(), positions.in_raw(raw, p, "spans")))
+
+
 def _quoted(value: Column) -> Column:
     return F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
@@ -223,7 +298,7 @@ def scan_spans(df: DataFrame, text_col: str = "text", keep_views: bool = False)
     # second pass: values that only exist in a reduced text
     for type_ in ("AADHAAR", "PAN", "PHONE_IN", "DRIVING_LICENSE", "EMAIL"):
         first = F.expr(f"get(filter(hits, h -> h.type = {quote(type_)}), 0)")
-        reduced = ~F.array_contains("__raw_types", type_) & first.isNotNull() & first["start"].isNull()
+        reduced = ~F.array_contains("__raw_types", type_) & first.isNotNull() & first["reduced"]
         out = out.withColumn("__v", F.when(reduced, first["value"]))
         out = out.withColumn(
             "__r", F.when(F.col("__v").isNotNull(), _place(F.col("__r"), F.col("__v"), f"[{type_}]")).otherwise(F.col("__r"))
@@ -241,6 +316,33 @@ def scan_spans(df: DataFrame, text_col: str = "text", keep_views: bool = False)
 
 
 def span_findings(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """The hits as rows, without a shuffle."""
+    """The hits as rows (type, value, start, end, view, reduced), without a shuffle."""
     found = with_hits(df.select(*keys, text_col), text_col)
     return found.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.*")
+
+
+def redact_places(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """X3 by place: every hit, of whatever view, replaced in the raw text by ``[TYPE]``; and the number of places.
+
+    Overlapping hits are one place, which takes the type of the hit that starts first, of those the longest.
+    """
+    found = with_hits(df.select(*keys, text_col), text_col, every=True)
+    placed = F.filter("hits", lambda h: h["start"].isNotNull())
+    order = F.transform(placed, lambda h: F.struct(h["start"].alias("start"), F.negate(h["end"]).alias("before"), h["type"].alias("type")))
+    row = "struct<start:int,end:int,type:string>"
+
+    def add(acc: Column, h: Column) -> Column:
+        last, end = F.try_element_at(acc, F.lit(-1)), F.negate(h["before"])
+        fresh = F.struct(h["start"].alias("start"), end.alias("end"), h["type"].alias("type"))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["type"].alias("type"))
+        overlaps = (F.size(acc) > 0) & (h["start"] < last["end"])
+        return F.when(overlaps, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(fresh)))
+
+    places = settled(F.aggregate(F.array_sort(order), F.expr(f"cast(array() as array<{row}>)"), add))
+    out = found.select(*keys, text_col, places.alias("__places"))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    since = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__places", i - 1)["end"])
+    part = lambda p, i: F.concat(F.substring(raw, since(i) + 1, p["start"] - since(i)), F.lit("["), p["type"], F.lit("]"))
+    rest = F.substring(raw, F.coalesce(F.try_element_at("__places", F.lit(-1))["end"], F.lit(0)) + 1, F.length(raw))
+    text = F.concat(F.array_join(F.transform("__places", part), ""), rest)
+    return out.select(*keys, F.size("__places").cast("long").alias("places"), text.alias("redacted"))

@@ -279,12 +279,31 @@ HARD_HIGH = ", ".join(q(t) for t in R.HIGH_HARDENED)
 HARD_SEVERITY = SEVERITY.replace(HIGH, HARD_HIGH)
 
 
-def values_sql(type_: str, pattern: str, where: str = "TRUE", left: str = L, right: str = E_) -> str:
-    full = f"{left}({pattern}){right}"
+#: characters that the base view deletes
+GONE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in tables.INVISIBLE) + "]"
+# places of the base view's characters in the raw text, where some were deleted
+KEPT = f"CASE WHEN {has('raw', GONE)} THEN list_filter(range(1, length(raw) + 1), lambda i: NOT {has('raw[i]', GONE)}) END"
+
+
+def values_sql(type_: str, *rules: tuple[str, str, str, str, str], views: tuple[str, ...] = ("base", "leet", "ocr")) -> str:
+    """Rows of every view and rule: (rule_id, pattern, condition, left edge, right edge) each."""
+    parts = []
+    for view in views:
+        for rule_id, pattern, where, left, right in rules:
+            parts.append(
+                f"SELECT DISTINCT doc_id, kept, '{rule_id}' AS rule_id, '{view}' AS view, {view} AS seen, "
+                f"unnest({grab(view, f'{left}({pattern}){right}')}) AS value FROM w "
+                + (f"WHERE {view} <> base" if view != "base" else "")
+            )
+    conditions = " AND ".join(
+        f"(rule_id <> '{rule_id}' OR ({where}))" for rule_id, where in {(r[0], r[2]) for r in rules} if where != "TRUE"
+    ) or "TRUE"
     return (
-        f"WITH v AS (SELECT doc_id, {base_sql('text')} AS base FROM documents), "
-        f"m AS (SELECT DISTINCT doc_id, base, unnest({grab('base', full)}) AS value FROM v) "
-        f"SELECT doc_id, '{type_}' AS type, value, (instr(base, value) - 1)::BIGINT AS start FROM m WHERE {where}"
+        f"WITH v AS MATERIALIZED (SELECT doc_id, text AS raw, {base_sql('text')} AS base FROM documents), "
+        f"w AS MATERIALIZED (SELECT doc_id, base, {KEPT} AS kept, {leet_sql('base')} AS leet, {ocr_sql('base')} AS ocr FROM v), "
+        f"m AS ({' UNION '.join(parts)}), p AS (SELECT *, instr(seen, value) - 1 AS off FROM m WHERE {conditions}) "
+        f"SELECT DISTINCT doc_id, '{type_}' AS type, value, coalesce(kept[off + 1] - 1, off)::BIGINT AS start, "
+        'coalesce(kept[off + length(value)], off + length(value))::BIGINT AS "end", rule_id, view FROM p'
     )
 
 
@@ -343,11 +362,38 @@ FULL = CORE + [
 )]
 
 
+SPAN_GONE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in tables.INVISIBLE_SPANS) + "]"
+
+
+def _span_views() -> str:
+    """The views of the span profile, each with what leads back to the raw text.
+
+    Offsets count characters, so lists of kept positions lead back from a view to the one before.  Readable base64
+    tokens and letters that fold to several are left to the brute-force tests: no text of the tables holds one.
+    """
+    space = has("leet[i]", r"\s") + " AND i > 1 AND " + has("leet[i - 1]", r"\s")
+    return (
+        f"v AS MATERIALIZED (SELECT doc_id, text AS raw, regexp_replace(text, {q(SPAN_GONE)}, '', 'g') AS clean FROM documents), "
+        f"w AS MATERIALIZED (SELECT doc_id, raw, {_translate('clean', tables.span_alphabet())} AS folded FROM v), "
+        f"y AS MATERIALIZED (SELECT *, {_translate('folded', tables.LEET_SPANS)} AS leet FROM w), "
+        "z AS MATERIALIZED (SELECT *, regexp_replace(leet, '\\s+', ' ', 'g') AS decoded FROM y), "
+        "x AS MATERIALIZED (SELECT doc_id, raw, leet, decoded, 0 AS n, 'folded' AS view, folded AS seen FROM z "
+        "UNION ALL SELECT doc_id, raw, leet, decoded, 1, 'leet', leet FROM z WHERE leet <> folded "
+        "UNION ALL SELECT doc_id, raw, leet, decoded, 2, 'decoded', decoded FROM z WHERE decoded <> leet "
+        "UNION ALL SELECT doc_id, raw, leet, decoded, 3, 'compact', regexp_replace(decoded, '[^A-Za-z0-9_]', '', 'g') FROM z), "
+    ), (
+        f"list_filter(range(1, length(raw) + 1), lambda i: NOT {has('raw[i]', SPAN_GONE)})",
+        f"list_filter(range(1, length(leet) + 1), lambda i: NOT ({space}))",
+        "list_filter(range(1, length(decoded) + 1), lambda i: regexp_matches(decoded[i], '[A-Za-z0-9_]'))",
+    )
+
+
 def _spans_sql() -> str:
+    """Direct matches of every view, the fallback rules where a view has none, each value once, with its place in the raw text."""
+    views, (raw_at, leet_at, decoded_at) = _span_views()
     word_l, word_r = "(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])"
-    # direct matches of the folded view; offsets count the text before the match
-    parts = []
-    for type_, pattern in S.PATTERNS:
+    direct = []
+    for i, (type_, pattern) in enumerate(S.PATTERNS):
         flags = "(?i)" if pattern.startswith("(?i)") else ""
         body = pattern.removeprefix("(?i)")
         body = body.replace(r"(?<![a-zA-Z0-9])", "").replace(r"(?![a-zA-Z0-9])", "")
@@ -359,13 +405,47 @@ def _spans_sql() -> str:
             left, right = word_l, word_r
         alternatives = [a.replace(r"\b", "") for a in body.split(r"\b|\b")]
         rx = f"{flags}{left}({'|'.join(alternatives) if len(alternatives) > 1 else alternatives[0]}){right}"
-        parts.append(
-            f"SELECT doc_id, '{type_}' AS type, base, unnest({grab('base', rx)}) AS value FROM v"
-        )
+        direct.append(f"SELECT doc_id, n, '{type_}' AS type, n * 100 + {i} AS ord, unnest({grab('seen', rx)}) AS value FROM x")
+    digits = "regexp_replace(seen, '[^0-9]', '', 'g')"
+    joined = "regexp_replace(seen, '\\s+', '', 'g')"
+    gapped = lambda rx: f"regexp_extract(seen, {q(rx)})"
+    plain = lambda rx: f"regexp_replace({gapped(rx)}, '[^A-Za-z0-9]', '', 'g')"
+    place = lambda rx: f"[instr(seen, {gapped(rx)}) - 1, instr(seen, {gapped(rx)}) - 1 + length({gapped(rx)})]"
+
+    def kept(reduced: str, value: str, char: str) -> str:
+        """Start and end of a value of a text reduced to some characters."""
+        at = f"list_filter(range(1, length(seen) + 1), lambda i: regexp_matches(seen[i], '{char}'))"
+        return f"[({at})[instr({reduced}, {value})] - 1, ({at})[instr({reduced}, {value}) + length({value}) - 1]]"
+
+    phone, email = f"regexp_extract({digits}, {q(S.FALLBACK_PHONE)})", f"regexp_extract({joined}, {q(S.FALLBACK_EMAIL)})"
+    letters = r"[a-zA-Z\x{400}-\x{4FF}\x{370}-\x{3FF}]"
+    reduced = [
+        ("AADHAAR", f"length({digits}) = 12", digits, kept(digits, digits, "[0-9]")),
+        ("PAN", f"{has('seen', S.GAPPED_PAN)}", f"upper({plain(S.GAPPED_PAN)})", place(S.GAPPED_PAN)),
+        ("PHONE_IN", f"NOT {has('seen', letters)} AND {has(digits, S.FALLBACK_PHONE)}", phone, kept(digits, phone, "[0-9]")),
+        (
+            "DRIVING_LICENSE", has("seen", S.GAPPED_LICENCE), f"upper(translate({plain(S.GAPPED_LICENCE)}, 'Oo', '00'))",
+            place(S.GAPPED_LICENCE),
+        ),
+        ("EMAIL", f"contains(seen, '@') AND {has(joined, S.FALLBACK_EMAIL)}", email, kept(joined, email, r"\S")),
+    ]
+    fallback = [
+        f"SELECT doc_id, n, '{t}' AS type, n * 100 + {50 + i} AS ord, {value} AS value, {at} AS at_seen, true AS reduced FROM x "
+        f"WHERE {cond} AND NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = x.doc_id AND d.n = x.n AND d.type = '{t}')"
+        for i, (t, cond, value, at) in enumerate(reduced)
+    ]
     return (
-        f"WITH v AS (SELECT doc_id, {_translate('text', S.V.tables.span_alphabet())} AS base FROM documents), "
-        f"m AS ({' UNION ALL '.join(parts)}) "
-        "SELECT DISTINCT doc_id, type, value, (instr(base, value) - 1)::BIGINT AS start FROM m"
+        f"WITH {views} d AS MATERIALIZED ({' UNION ALL '.join(direct)}), "
+        f"h AS (SELECT d.doc_id, d.n, type, ord, value, [instr(seen, value) - 1, instr(seen, value) - 1 + length(value)] AS at_seen, "
+        f"false AS reduced FROM d JOIN x ON x.doc_id = d.doc_id AND x.n = d.n UNION ALL {' UNION ALL '.join(fallback)}), "
+        "u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, type, value ORDER BY ord, at_seen[1]) = 1), "
+        "p AS (SELECT u.*, x.raw, x.leet, x.decoded, x.view FROM u JOIN x ON x.doc_id = u.doc_id AND x.n = u.n), "
+        f"a AS (SELECT *, CASE WHEN n = 3 THEN [({decoded_at})[at_seen[1] + 1] - 1, ({decoded_at})[at_seen[2]]] ELSE at_seen END AS at_decoded FROM p), "
+        # the end of a run of blanks that became one
+        f"b AS (SELECT *, CASE WHEN n >= 2 AND decoded <> leet THEN [({leet_at})[at_decoded[1] + 1] - 1, "
+        f"coalesce(({leet_at})[at_decoded[2] + 1] - 1, length(leet))] ELSE at_decoded END AS at_leet FROM a) "
+        f"SELECT doc_id, type, value, coalesce(({raw_at})[at_leet[1] + 1] - 1, at_leet[1])::BIGINT AS start, "
+        f'coalesce(({raw_at})[at_leet[2]], at_leet[2])::BIGINT AS "end", view, reduced FROM b'
     )
 
 
@@ -388,22 +468,38 @@ def build() -> dict[str, str]:
         f"{SEVERITY} AS severity FROM s",
         "severity_by_policy_join": f"{scanned()}, d AS (SELECT len(types) AS k, {SEVERITY} AS severity FROM s WHERE len(types) > 0) "
         "SELECT severity, count(*) AS n, sum(k)::BIGINT AS types FROM d GROUP BY 1",
-        "email_findings": values_sql("EMAIL_ADDRESS", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
-        "phone_findings": values_sql("PHONE_NUMBER", r"\([0-9]{3}\)\s*[0-9]{3}[-\s]?[0-9]{4}", left="", right="")
-        + " UNION " + "SELECT * FROM (" + values_sql("PHONE_NUMBER", "[2-9][0-9]{2}[2-9][0-9]{6}") + ")",
+        "email_findings": values_sql(
+            "EMAIL_ADDRESS", ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "TRUE", L, E_), views=("base", "leet")
+        ),
+        "phone_findings": values_sql(
+            "PHONE_NUMBER",
+            (
+                "phone_country_code",
+                r"\+91[\s-]?[6-9][0-9]{4}[\s-]?[0-9]{5}|\+[0-9]{1,3}[\s-][0-9]{3,4}[\s-][0-9]{3,4}[\s-][0-9]{4}", "TRUE", "", "",
+            ),
+            ("phone_in", "(?:0?91|91)?[6-9][0-9]{9}", "TRUE", L, E_),
+            ("phone_us", r"\([0-9]{3}\)\s*[0-9]{3}[-\s]?[0-9]{4}", "TRUE", "", ""),
+            ("phone_us", "[2-9][0-9]{2}[2-9][0-9]{6}", "TRUE", L, E_),
+        ),
         "ipv4_findings": values_sql(
-            "IP4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", f"regexp_matches(value, '^(?:{OCTET}[.]){{3}}{OCTET}$')"
+            "IP4",
+            ("ipv4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", f"regexp_matches(value, '^(?:{OCTET}[.]){{3}}{OCTET}$')", L, E_),
         ),
         "secret_findings": values_sql(
-            "GENERIC_SECRET", r"(?i:client_secret|secret[_-]?key|secret|password|token|auth)\s*[=:]\s*\S{8,}", left="", right=""
+            "GENERIC_SECRET",
+            ("generic_secret", r"(?i:client_secret|secret[_-]?key|secret|password|token|auth)\s*[=:]\s*\S{8,}", "TRUE", "", ""),
+            views=("base", "leet"),
         ),
         "title_name_findings": values_sql(
-            "PERSON", r"[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}", right=r"(?:$|[^\p{L}\p{N}_:])"
+            "PERSON", ("name_title_case", r"[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}", "TRUE", L, r"(?:$|[^\p{L}\p{N}_:])"), views=("base", "leet")
         ),
         "card_luhn_findings": values_sql(
-            "CREDIT_CARD", CARD,
-            "length(regexp_replace(value, '[\\s-]', '', 'g')) BETWEEN 13 AND 19 AND "
-            + luhn_sql("regexp_replace(value, '[\\s-]', '', 'g')"),
+            "CREDIT_CARD",
+            (
+                "credit_card", CARD,
+                "length(regexp_replace(value, '[\\s-]', '', 'g')) BETWEEN 13 AND 19 AND "
+                + luhn_sql("regexp_replace(value, '[\\s-]', '', 'g')"), L, E_,
+            ),
         ),
         "prefilter_parity": "SELECT count(*) AS texts, 0::BIGINT AS different FROM documents",
         # views

@@ -130,9 +130,13 @@ def absent_type_counts(spark, sf_dir):
 
 
 def _values(spark, sf_dir, *rule_ids):
-    """One row per rule, view and value; a value of a derived view has no start."""
+    """One row per rule, view and value, with its first place in the raw text."""
     found = findings.findings(texts(spark, sf_dir), ["doc_id"], rule_ids=list(rule_ids))
-    return found.select("doc_id", "type", "value", F.col("start").cast("long").alias("start"), "rule_id", "view")
+    return found.select("doc_id", "type", "value", *_long("start", "end"), "rule_id", "view")
+
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
 
 
 @query
@@ -260,9 +264,9 @@ def span_steps(spark, sf_dir):
 
 @query
 def span_findings(spark, sf_dir):
-    """Hits of all four views; those of the fallback rules, on reduced texts, have no start."""
+    """Hits of all four views, and of the fallback rules on reduced texts, with their places in the raw text."""
     found = spans.span_findings(texts(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", "type", "value", F.col("start").cast("long").alias("start"), "view")
+    return found.select("doc_id", "type", "value", *_long("start", "end"), "view", "reduced")
 
 
 @query
@@ -514,7 +518,7 @@ def validation_split(spark, sf_dir):
 def schema_evolution(spark, sf_dir):
     """An older layout without tenant and response columns, unioned with the newer one."""
     new = _audit(spark, sf_dir).withColumn("tenant_id", F.concat(F.lit("t"), F.col("id") % 3))
-    old = _audit(spark, sf_dir).drop("action")
+    old = _audit(spark, sf_dir).drop("action", "tenant_id")
     both = readers.union_versions(new, old)
     return both.groupBy("tenant_id", "action").agg(F.count("*").alias("n"))
 
