@@ -285,7 +285,7 @@ GONE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in tables.INVISIBLE) + "]"
 KEPT = f"CASE WHEN {has('raw', GONE)} THEN list_filter(range(1, length(raw) + 1), lambda i: NOT {has('raw[i]', GONE)}) END"
 
 
-def values_sql(type_: str, *rules: tuple[str, str, str, str, str], views: tuple[str, ...] = ("base", "leet", "ocr")) -> str:
+def values_sql(type_: str, *rules: tuple[str, str, str, str, str], views: tuple[str, ...] = ("base", "leet", "ocr"), every: bool = False) -> str:
     """Rows of every view and rule: (rule_id, pattern, condition, left edge, right edge) each."""
     parts = []
     for view in views:
@@ -298,15 +298,75 @@ def values_sql(type_: str, *rules: tuple[str, str, str, str, str], views: tuple[
     conditions = " AND ".join(
         f"(rule_id <> '{rule_id}' OR ({where}))" for rule_id, where in {(r[0], r[2]) for r in rules} if where != "TRUE"
     ) or "TRUE"
+    if every:  # all places of a value in its view: between the parts that it cuts the view into
+        off = (
+            "unnest(list_transform(range(1, len(string_split(seen, value))), lambda i: "
+            "(list_sum(list_transform(string_split(seen, value)[1:i], lambda x: length(x))) + (i - 1) * length(value))::BIGINT))"
+        )
+    else:
+        off = "instr(seen, value) - 1"
     return (
         f"WITH v AS MATERIALIZED (SELECT doc_id, text AS raw, {base_sql('text')} AS base FROM documents), "
         f"w AS MATERIALIZED (SELECT doc_id, base, {KEPT} AS kept, {leet_sql('base')} AS leet, {ocr_sql('base')} AS ocr FROM v), "
-        f"m AS ({' UNION '.join(parts)}), p AS (SELECT *, instr(seen, value) - 1 AS off FROM m WHERE {conditions}) "
+        f"m AS ({' UNION '.join(parts)}), p AS (SELECT *, {off} AS off FROM m WHERE {conditions}) "
         f"SELECT DISTINCT doc_id, '{type_}' AS type, value, coalesce(kept[off + 1] - 1, off)::BIGINT AS start, "
         'coalesce(kept[off + length(value)], off + length(value))::BIGINT AS "end", rule_id, view FROM p'
     )
 
 
+#: type -> rules as ``values_sql`` takes them, and the views that they read
+VALUE_RULES = {
+    "EMAIL_ADDRESS": ([("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "TRUE", L, E_)], ("base", "leet")),
+    "PHONE_NUMBER": (
+        [
+            (
+                "phone_country_code",
+                r"\+91[\s-]?[6-9][0-9]{4}[\s-]?[0-9]{5}|\+[0-9]{1,3}[\s-][0-9]{3,4}[\s-][0-9]{3,4}[\s-][0-9]{4}", "TRUE", "", "",
+            ),
+            ("phone_in", "(?:0?91|91)?[6-9][0-9]{9}", "TRUE", L, E_),
+            ("phone_us", r"\([0-9]{3}\)\s*[0-9]{3}[-\s]?[0-9]{4}", "TRUE", "", ""),
+            ("phone_us", "[2-9][0-9]{2}[2-9][0-9]{6}", "TRUE", L, E_),
+        ],
+        ("base", "leet", "ocr"),
+    ),
+    "IP4": (
+        [("ipv4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", f"regexp_matches(value, '^(?:{OCTET}[.]){{3}}{OCTET}$')", L, E_)],
+        ("base", "leet", "ocr"),
+    ),
+    "GENERIC_SECRET": (
+        [("generic_secret", r"(?i:client_secret|secret[_-]?key|secret|password|token|auth)\s*[=:]\s*\S{8,}", "TRUE", "", "")],
+        ("base", "leet"),
+    ),
+    "PERSON": ([("name_title_case", r"[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}", "TRUE", L, r"(?:$|[^\p{L}\p{N}_:])")], ("base", "leet")),
+    "CREDIT_CARD": (
+        [
+            (
+                "credit_card", CARD,
+                "length(regexp_replace(value, '[\\s-]', '', 'g')) BETWEEN 13 AND 19 AND "
+                + luhn_sql("regexp_replace(value, '[\\s-]', '', 'g')"), L, E_,
+            )
+        ],
+        ("base", "leet", "ocr"),
+    ),
+}
+
+
+def merged_sql() -> str:
+    """Unions of overlapping places of a type, of all rules and views."""
+    rows = " UNION ALL ".join(f"SELECT * FROM ({values_sql(t, *r, views=v, every=True)})" for t, (r, v) in VALUE_RULES.items())
+    return (
+        f"WITH r AS ({rows}), g AS (SELECT *, start >= max(\"end\") OVER (PARTITION BY doc_id, type ORDER BY start, \"end\", rule_id, view "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE AS fresh FROM r), "
+        "i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, type ORDER BY start, \"end\", rule_id, view "
+        "ROWS UNBOUNDED PRECEDING) AS island FROM g), "
+        "k AS (SELECT doc_id, type, island, min(start) AS start, max(\"end\") AS \"end\", "
+        "array_to_string(list_sort(list_distinct(list(rule_id))), '|') AS rules, "
+        "array_to_string(list_sort(list_distinct(list(view))), '|') AS views FROM i GROUP BY ALL) "
+        "SELECT k.doc_id, type, start, \"end\", rules, views, substr(text, start + 1, \"end\" - start) AS text "
+        "FROM k JOIN documents USING (doc_id)"
+    )
+
+
 REQ = (
     "r AS (SELECT event_id AS id, ts AS timestamp, user_id, event_type AS status, value AS latency_ms, "
     "event_type = 'error' AS is_error, "
@@ -468,39 +528,7 @@ def build() -> dict[str, str]:
         f"{SEVERITY} AS severity FROM s",
         "severity_by_policy_join": f"{scanned()}, d AS (SELECT len(types) AS k, {SEVERITY} AS severity FROM s WHERE len(types) > 0) "
         "SELECT severity, count(*) AS n, sum(k)::BIGINT AS types FROM d GROUP BY 1",
-        "email_findings": values_sql(
-            "EMAIL_ADDRESS", ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "TRUE", L, E_), views=("base", "leet")
-        ),
-        "phone_findings": values_sql(
-            "PHONE_NUMBER",
-            (
-                "phone_country_code",
-                r"\+91[\s-]?[6-9][0-9]{4}[\s-]?[0-9]{5}|\+[0-9]{1,3}[\s-][0-9]{3,4}[\s-][0-9]{3,4}[\s-][0-9]{4}", "TRUE", "", "",
-            ),
-            ("phone_in", "(?:0?91|91)?[6-9][0-9]{9}", "TRUE", L, E_),
-            ("phone_us", r"\([0-9]{3}\)\s*[0-9]{3}[-\s]?[0-9]{4}", "TRUE", "", ""),
-            ("phone_us", "[2-9][0-9]{2}[2-9][0-9]{6}", "TRUE", L, E_),
-        ),
-        "ipv4_findings": values_sql(
-            "IP4",
-            ("ipv4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", f"regexp_matches(value, '^(?:{OCTET}[.]){{3}}{OCTET}$')", L, E_),
-        ),
-        "secret_findings": values_sql(
-            "GENERIC_SECRET",
-            ("generic_secret", r"(?i:client_secret|secret[_-]?key|secret|password|token|auth)\s*[=:]\s*\S{8,}", "TRUE", "", ""),
-            views=("base", "leet"),
-        ),
-        "title_name_findings": values_sql(
-            "PERSON", ("name_title_case", r"[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}", "TRUE", L, r"(?:$|[^\p{L}\p{N}_:])"), views=("base", "leet")
-        ),
-        "card_luhn_findings": values_sql(
-            "CREDIT_CARD",
-            (
-                "credit_card", CARD,
-                "length(regexp_replace(value, '[\\s-]', '', 'g')) BETWEEN 13 AND 19 AND "
-                + luhn_sql("regexp_replace(value, '[\\s-]', '', 'g')"), L, E_,
-            ),
-        ),
+        "merged_places": merged_sql(),
         "prefilter_parity": "SELECT count(*) AS texts, 0::BIGINT AS different FROM documents",
         # views
         "normalization_views": f"WITH v AS (SELECT doc_id, {base_sql('text')} AS b FROM documents) SELECT doc_id, "
@@ -631,6 +659,11 @@ def build() -> dict[str, str]:
         "CASE WHEN len(types) > 0 THEN 'contains_detection:' || array_to_string(types, ',') ELSE 'clean' END AS reason, "
         f"{HARD_SEVERITY} = 'high' AS high_blocked FROM s",
     }
+    named = {
+        "email_findings": "EMAIL_ADDRESS", "phone_findings": "PHONE_NUMBER", "ipv4_findings": "IP4", "secret_findings": "GENERIC_SECRET",
+        "title_name_findings": "PERSON", "card_luhn_findings": "CREDIT_CARD",
+    }
+    out |= {n: values_sql(t, *VALUE_RULES[t][0], views=VALUE_RULES[t][1]) for n, t in named.items()}
     # evaluation, on the same scan
     confusion = (
         f"{scanned()}, j AS (SELECT len(types) > 0 AS predicted, quality, toxic, s.types FROM s JOIN labels l ON s.doc_id = l.doc_id)"

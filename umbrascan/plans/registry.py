@@ -169,6 +169,14 @@ def card_luhn_findings(spark, sf_dir):
     return _values(spark, sf_dir, "credit_card")
 
 
+@query
+def merged_places(spark, sf_dir):
+    """Overlapping values of a type, of whatever rule and view, as one place in the raw text."""
+    rules = ["email", "phone_country_code", "phone_in", "phone_us", "ipv4", "generic_secret", "name_title_case", "credit_card"]
+    found = findings.merged_findings(texts(spark, sf_dir), ["doc_id"], rule_ids=rules)
+    return found.select("doc_id", "type", *_long("start", "end"), joined("rules").alias("rules"), joined("views").alias("views"), "text")
+
+
 @query
 def prefilter_parity(spark, sf_dir):
     """Rows on which the gated and ungated scans differ (none)."""
@@ -276,6 +284,13 @@ def span_severities(spark, sf_dir):
     return findings.with_severity(span_findings(spark, sf_dir), policy).groupBy("level", "blocks").agg(F.count("*").alias("n"))
 
 
+@query
+def span_redactions(spark, sf_dir):
+    """X3 by place: the hits of all views replaced in the raw text."""
+    done = spans.redact_places(texts(spark, sf_dir), ["doc_id"])
+    return done.select("doc_id", "places", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"))
+
+
 @query
 def span_decisions(spark, sf_dir):
     s = spans.scan_spans(texts(spark, sf_dir))
