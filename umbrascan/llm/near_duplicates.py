@@ -7,7 +7,8 @@ similarity; pairs six deviations below the threshold are given up, the others ar
 
 Documents of equal sets are one class from the start.  In a first round every class is tried with the smallest class of
 each of its bands, which joins a group of copies in as many pairs as it has members.  In a second round bands that still
-hold several components compare all classes across components, in blocks of bounded size: a first pass over registers
+hold several components compare all classes across components, in blocks of bounded rows and bytes of shingle hashes (a single
+document beyond that is a block's only excess): a first pass over registers
 names the classes of a block that have a likely partner there, a second one confirms on their full sets and reports only
 the links that join components.  No pass makes a row per pair.
 """
@@ -30,7 +31,8 @@ BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
-BLOCK = 1024
+#: most rows, and expected bytes of shingle hashes, of each side of a block
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: expected equal registers of two unrelated sets, as a share of 2**BUCKET_BITS / 2**MANTISSA
 COLLISION = 0.169919487159739
 
@@ -83,14 +85,14 @@ def _salted(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, regs) -> a row per band that isn't empty."""
+    """(rep, regs, n) -> a row per band that isn't empty."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            reps = np.asarray(part.column(0))
+            reps, sizes = np.asarray(part.column(0)), np.asarray(part.column(2))
             keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64).reshape(len(reps), BANDS)
             row, band = np.nonzero(keys != -1)
-            yield pa.RecordBatch.from_arrays([pa.array(_salted(keys[row, band], band)), pa.array(reps[row])], ["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(_salted(keys[row, band], band)), pa.array(reps[row]), pa.array(sizes[row])], ["band", "rep", "n"])
 
 
 def _estimated(least: float):
@@ -131,7 +133,7 @@ class Block:
 
 
 def _by_block(work, names: list[str], kinds: list[pa.DataType]):
-    """Rows in order of (band, i, j) -> ``work`` on each such block, which has at most ``2 * BLOCK`` rows."""
+    """Rows in order of (band, i, j) -> ``work`` on each such block, which has some ``2 * BLOCK`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marks(t: pa.Table) -> np.ndarray:
@@ -147,8 +149,8 @@ def _by_block(work, names: list[str], kinds: list[pa.DataType]):
 
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                t = pa.Table.from_batches([batch.slice(at, BLOCK)])
+            for at in range(0, batch.num_rows, 256):
+                t = pa.Table.from_batches([batch.slice(at, 256)])
                 held = pa.concat_tables([held, t]) if held is not None else t
                 if len(ends := marks(held)):  # the last block may go on in the next batch
                     yield from solved(held.slice(0, int(ends[-1])))
@@ -254,8 +256,8 @@ def near_duplicates(
     classes = part.join(firsts, ["mark", "doc", "row"])  # a class has a number of its own: one key may begin several
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    rows = classes.select("rep", "regs").mapInArrow(_bands, "band long, rep long")
-    shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    rows = classes.select("rep", "regs", "n_shingles").mapInArrow(_bands, "band long, rep long, n long")
+    shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("reps")).filter("reps > 1").drop("reps")
     bands = stored(rows.join(shared, "band"), "bands")
     pairs = bands.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda name, regs, n: classes.select(F.col("rep").alias(name), F.col("regs").alias(regs), F.col("n_shingles").alias(n))
@@ -271,13 +273,19 @@ def near_duplicates(
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     main = joined.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
     labelled = labelled.join(main, "pivot", "left").withColumn("asks", F.col("component") != F.coalesce("main", "pivot"))
-    still = labelled.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("asks").cast("long")).alias("askers")).filter("askers > 0 AND size > 2")  # a pair was tried with its pivot
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    blocks = lambda n, hashes: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(hashes * 8 / BLOCK_BYTES)).cast("int")
+    still = labelled.groupBy("band").agg(
+        F.count("*").alias("size"),
+        F.count_if("asks").alias("askers"),
+        blocks(F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0))).alias("is"),
+        blocks(F.count("*"), F.sum("n")).alias("js"),
+    )
+    still = still.filter("askers > 0 AND size > 2").drop("askers", "size")  # a pair was tried with its pivot
     split = stored(labelled.select("band", "rep", "component", "asks").join(still, "band"), "open-bands")
-    place = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    askers = split.filter("asks").withColumns({"both": F.lit(False), "i": place("askers"), "j": every("size")})
-    members = split.withColumns({"both": F.col("asks"), "i": every("askers"), "j": place("size")}).withColumn("asks", F.lit(False))
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    askers = split.filter("asks").withColumns({"both": F.lit(False), "i": place("is"), "j": every("js")})
+    members = split.withColumns({"both": F.col("asks"), "i": every("is"), "j": place("js")}).withColumn("asks", F.lit(False))
     shape = ["band", "i", "j", "rep", "component", "asks", "both"]
     sketch = classes.select("rep", "regs", "n_shingles")
     in_blocks = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")

@@ -13,6 +13,8 @@ from array import array
 
 import regex
 
+#: bytes of a cache entry besides the characters of its key and value: two objects and their place in the table
+ENTRY = 110
 LATIN_END = "̀"
 
 
@@ -81,19 +83,24 @@ def spelled(piece: str) -> str:
 
 
 class Cache(dict):
-    """Values made by ``make(key)`` when first asked for; of two generations the older is dropped when the younger is full."""
+    """Values made by ``make(key)`` when first asked for; of two generations the older is dropped when the younger is full.
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.older = make, limit, {}
+    ``room`` bounds the bytes of a generation, so a cache holds at most twice as much.
+    """
+
+    def __init__(self, make, room: int):
+        self.make, self.room, self.left, self.older = make, room, room, {}
 
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.make(key)
             if len(key) > 64:
                 return value
-        if len(self) >= self.limit:
+        self.left -= ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.left < 0:
             self.older = dict(self)
             self.clear()
+            self.left = self.room
         self[key] = value
         return value
 
@@ -112,7 +119,7 @@ class LibraryIds:
     library does.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, room: int = 112 << 20):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -123,9 +130,9 @@ class LibraryIds:
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._latin = latin_pattern(pattern).findall
         self._pre, self._model = tok.pre_tokenizer, tok.model
-        self._raw = Cache(lambda p: self._merge(spelled(p)), limit)
-        self._other = Cache(self._merge, limit // 4)
-        self._chunks = Cache(self._chunk, limit)
+        self._raw = Cache(lambda p: self._merge(spelled(p)), room * 3 // 8)
+        self._other = Cache(self._merge, room // 8)
+        self._chunks = Cache(self._chunk, room // 2)
 
     def _merge(self, piece: str) -> bytes:
         return array(self.code, [t.id for t in self._model.tokenize(piece)]).tobytes()
@@ -156,8 +163,14 @@ class LibraryIds:
 
 
 def once(key, make):
-    """A worker's own object, made once in its life; kept outside this package, whose functions are sent by value."""
+    """A worker's own object, made when first asked for and kept for later tasks of the same operator.
+
+    Objects are kept outside this package, whose functions are sent by value.  ``key`` starts with the operator's name; the
+    first object of another operator drops all that are held, as a worker lives on through the stages of a job.
+    """
     held = vars(sys).setdefault("llm_worker_objects", {})
     if key not in held:
+        if any(k[0] != key[0] for k in held):
+            held.clear()
         held[key] = make()
     return held[key]

@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: rows and bytes of an Arrow batch while a table is written: batches are held twice by a task, in the JVM and in Python
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to a new folder below the shared one and read back: cut lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

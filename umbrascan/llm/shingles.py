@@ -12,7 +12,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; a worker remembers those of frequent words."""
-    known = once("words", lambda: Cache(xxhash.xxh64_intdigest, 300_000))
+    known = once(("words",), lambda: Cache(xxhash.xxh64_intdigest, 16 << 20))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -24,7 +24,7 @@ class WordCounter:
     Texts that hold a special string are counted by the library as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, room: int = 64 << 20):
         import json
 
         from tokenizers import Tokenizer
@@ -36,7 +36,7 @@ class WordCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._split = latin_pattern(pattern).findall
         proven, model = self.prove(spec), self.tok.model
-        self.counts = Cache(lambda p: proven.get(p) or len(model.tokenize(spelled(p))), limit + len(proven))
+        self.counts = Cache(lambda p: proven.get(p) or len(model.tokenize(spelled(p))), room)
         self.counts.update(proven)
 
     def prove(self, spec: dict) -> dict[str, int]:

@@ -9,7 +9,6 @@ and the windows that the network itself finds in toxic ones.
 
 from __future__ import annotations
 
-import sys
 import uuid
 import zlib
 from collections import Counter
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from umbrascan.llm.pretokens import once
+
 WINDOW, STRIDE = 24, 12
 WIDTH, HIDDEN, ATTEND = 16, 8, 8
 GRAMS, VOCAB = 1 << 16, 20_000
@@ -350,13 +351,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     shipped = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, of bounded size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = vars(sys).setdefault("llm_worker_objects", {})
-        if "toxicity" not in held or held["toxicity"].m.name != shipped.value["name"]:
-            held["toxicity"] = Scorer(Model(**shipped.value))
+        scorer = once(("toxicity", shipped.value["name"]), lambda: Scorer(Model(**shipped.value)))
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                found = held["toxicity"].scores(part.column(at).to_pylist())
+                found = scorer.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, out])
 
     scored = rest.mapInArrow(work, StructType([*rest.schema.fields, StructField(out, DoubleType())]))
