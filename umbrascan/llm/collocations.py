@@ -4,10 +4,11 @@ Every word position gives one window: the word and the next ones as lead columns
 longest windows are counted; ``ROLLUP`` over the columns then sums them into the counts of all shorter prefixes, so no
 length but the longest is ever taken from the texts.
 
-A window ends early before a pair of neighbours that cannot occur ``least`` times, as no counted phrase holds such a pair.
-Pairs and words are first counted in a hashed array of fixed size, whose cells are upper bounds: windows only lose words
-that no phrase needs, and the counts that are kept stay exact.  The array is ``2 ** CELLS`` saturating bytes a task and one
-bit a cell when shared, whatever the input; beyond some 2e9 words its cells fill up and windows are shuffled unshortened.
+A window ends early where a longer phrase from there cannot occur ``least`` times.  That is decided by hashed arrays of fixed
+size, whose cells are upper bounds: the first pass counts words and pairs of neighbours, the second one longer phrases all of
+whose pairs may be frequent.  Windows only lose words that no phrase needs, so the counts that are kept stay exact, whatever
+the arrays hold.  An array is ``2 ** CELLS`` saturating bytes a task and one bit a cell when shared, at any input.  Its
+cells fill up with rare pairs at some 1e10 words; from there on ever more windows travel at full length, with the same results.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import Window as W
 from umbrascan.llm.hot_joins import join_hot
 from umbrascan.llm.shared import stored
 
-CELLS, CHUNK = 24, 18
+CELLS, CHUNK = 26, 18
 #: words that a task holds before it sums them up
-HELD = 1 << 20
+HELD = 3 << 20
 #: marks the end of a piece; no byte of UTF-8 text
 BREAK = b"\xff"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
@@ -50,13 +51,30 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_BREAKS).replace(BREAK, b" \xff ").split()
 
 
-def _cells(left: np.ndarray, right: np.ndarray | None, lang: np.uint64) -> np.ndarray:
-    """Cells of words, or of pairs of neighbours."""
-    x = left * _WORD + lang if right is None else (left ^ (left >> np.uint64(29))) * _PAIR + right * _WORD + lang
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _cells(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
+def _longer(x: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word."""
+    return _mixed((x ^ (x >> np.uint64(29))) * _PAIR + word * _WORD)
+
+
+class Bits:
+    """Which cells may hold frequent phrases."""
+
+    def __init__(self, packed: bytes):
+        self.packed = np.frombuffer(packed, np.uint8)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        cells = _cells(x)
+        return (self.packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.uint64, list[bytes], np.ndarray, np.ndarray]]:
     """(lang, text) rows -> per language and at most some HELD words: the language, its hash, words, their hashes, codes in
     order with breaks between pieces.  A longer text is one run of its own."""
@@ -86,27 +104,68 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.uint64, l
         yield run(name)
 
 
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    """Positions whose word and next word belong to one piece."""
-    return np.flatnonzero((codes[:-1] != 0) & (codes[1:] != 0))
+def _starts(codes: np.ndarray, hashes: np.ndarray, lang: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of words, and the hashes of the words there."""
+    at = np.flatnonzero(codes)
+    return at, _mixed(hashes[codes[at]] * _WORD + lang)
+
 
+def _lengths(codes: np.ndarray, hashes: np.ndarray, lang: np.uint64, pairs: Bits, longer: Bits | None, longest: int, seen=None):
+    """Positions of words that may be frequent, and for each the length of the longest phrase from there that may be.
 
-def _sketch(least: int):
-    """(lang, text) -> words per language, and chunks of the task's cells, each at most ``least``."""
+    Without ``longer`` only pairs are looked at; ``seen`` is then called with the hashes of all phrases of three words and
+    more whose pairs may be frequent.
+    """
+    at, x = _starts(codes, hashes, lang)
+    length = np.zeros(len(codes) + 1, np.int8)
+    often = pairs.of(x)
+    length[at[often]] = 1
+    joined = np.zeros(len(codes) + 1, bool)
+    two = at[codes[np.minimum(at + 1, len(codes) - 1)] != 0]
+    joined[two] = pairs.of(_longer(x[np.searchsorted(at, two)], hashes[codes[two + 1]]))
+    on, x = at[often], x[often]
+    for k in range(2, longest + 1):
+        keep = joined[on + k - 2]
+        on, x = on[keep], _longer(x[keep], hashes[codes[on[keep] + k - 1]])
+        if k > 2:
+            if seen is not None:
+                seen(x)
+            else:
+                keep = longer.of(x)
+                on, x = on[keep], x[keep]
+        length[on] = k
+    for _ in range(longest - 1):  # the rest of a frequent phrase is frequent
+        length[:-1] = np.minimum(length[:-1], length[1:] + 1)
+    return np.flatnonzero(length[:-1]), length
+
+
+def _added(total: np.ndarray, x: np.ndarray, least: int) -> None:
+    cells = _cells(x)
+    cells.sort()
+    edges = np.flatnonzero(np.diff(cells, prepend=-1))
+    counts = np.diff(edges, append=len(cells))
+    total[cells[edges]] = np.minimum(least, total[cells[edges]] + counts)
+
+
+def _sketch(least: int, longest: int, pairs: bytes | None):
+    """(lang, text) -> words per language, and chunks of the task's cells, each at most ``least``.
+
+    The first pass counts words and pairs; with their bits, ``pairs``, the second one counts longer phrases.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELLS, np.uint8)
         n: dict[str, int] = {}
+        bits = Bits(pairs) if pairs else None
         for lang, salt, _, hashes, codes in _runs(batches):
-            at = _pairs(codes)
-            h = hashes[codes]
-            words = codes != 0
-            n[lang] = n.get(lang, 0) + int(words.sum())
-            for cells in (_cells(h[words], None, salt), _cells(h[at], h[at + 1], salt)):
-                cells.sort()
-                edges = np.flatnonzero(np.diff(cells, prepend=-1))
-                counts = np.diff(edges, append=len(cells))
-                total[cells[edges]] = np.minimum(least, total[cells[edges]] + counts)
+            if bits:
+                _lengths(codes, hashes, salt, bits, None, longest, lambda x: _added(total, x, least))
+                continue
+            at, x = _starts(codes, hashes, salt)
+            n[lang] = n.get(lang, 0) + len(at)
+            _added(total, x, least)
+            two = codes[at + 1] != 0
+            _added(total, _longer(x[two], hashes[codes[at[two] + 1]]), least)
         names, kinds = ["lang", "n", "chunk", "cells"], [pa.string(), pa.int64(), pa.int32(), pa.binary()]
         rows = [(k, v, None, None) for k, v in n.items()]
         for i in range(1 << (CELLS - CHUNK)):
@@ -141,31 +200,19 @@ def _summed(least: int):
     return run
 
 
-def _windows(frequent: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(pairs: bytes, longer: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, text) -> distinct windows of a run with their counts; lead columns are empty where a window is padded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent, np.uint8)
-        often = lambda cells: (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+        two, more = Bits(pairs), Bits(longer)
         names = ["lang", *(f"w{i + 1}" for i in range(longest)), "n"]
         for lang, salt, words, hashes, codes in _runs(batches):
-            h = hashes[codes]
-            at = _pairs(codes)
-            joined = np.zeros(len(codes) + longest, bool)
-            joined[at] = often(_cells(h[at], h[at + 1], salt))
-            start = np.flatnonzero(codes)
-            start = start[often(_cells(h[start], None, salt)) | joined[start]]
-            lead = np.zeros((longest, len(start)), np.int32)
-            lead[0] = codes[start]
-            on = np.ones(len(start), bool)
-            padded = np.concatenate([codes, np.zeros(longest, codes.dtype)])
-            for i in range(1, longest):
-                on &= joined[start + i - 1]
-                lead[i] = np.where(on, padded[start + i], 0)
+            start, length = _lengths(codes, hashes, salt, two, more, longest)
             if not len(start):
                 continue
-            order = np.lexsort(lead[::-1])
-            lead = lead[:, order]
+            padded = np.concatenate([codes, np.zeros(longest, codes.dtype)])
+            lead = np.stack([np.where(length[start] > i, padded[start + i], 0) for i in range(longest)])
+            lead = lead[:, np.lexsort(lead[::-1])]
             edges = np.flatnonzero(np.concatenate([[True], (np.diff(lead, axis=1) != 0).any(axis=0)]))
             counts = np.diff(edges, append=lead.shape[1])
             names_of = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
@@ -178,17 +225,25 @@ def _windows(frequent: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def phrase_counts(texts: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, text as bytes) -> (lang, phrase, k, a) of 1 to ``longest`` words with a >= ``least``, and (lang, n)."""
-    sketched = stored(texts.mapInArrow(_sketch(least), "lang string, n long, chunk int, cells binary"), "sketch")
-    totals = sketched.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+def _bits(sketched: DataFrame, least: int) -> bytes:
+    """One bit a cell, at any size of the input."""
     chunks = sketched.filter("chunk IS NOT NULL").select("chunk", "cells").repartition("chunk").sortWithinPartitions("chunk")
     frequent = np.zeros((1 << (CELLS - CHUNK), 1 << (CHUNK - 3)), np.uint8)
-    for row in chunks.mapInArrow(_summed(least), "chunk int, bits binary").collect():  # one bit a cell, at any size
+    for row in chunks.mapInArrow(_summed(least), "chunk int, bits binary").toLocalIterator():
         frequent[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return frequent.tobytes()
+
+
+def phrase_counts(texts: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, text as bytes) -> (lang, phrase, k, a) of 1 to ``longest`` words with a >= ``least``, and (lang, n)."""
+    shape = "lang string, n long, chunk int, cells binary"
+    sketched = stored(texts.mapInArrow(_sketch(least, longest, None), shape), "sketch")
+    totals = sketched.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    pairs = _bits(sketched, least)
+    longer = _bits(stored(texts.mapInArrow(_sketch(least, longest, pairs), shape), "sketch"), least)
     columns = [f"w{i + 1}" for i in range(longest)]
     schema = "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n long"
-    windows = texts.mapInArrow(_windows(frequent.tobytes(), longest), schema)
+    windows = texts.mapInArrow(_windows(pairs, longer, longest), schema)
     counted = windows.groupBy("lang", *columns).agg(F.sum("n").alias("n"))
     level = (F.lit(longest) - F.bit_count(F.grouping_id())).cast("int")
     rolled = counted.rollup("lang", *columns).agg(level.alias("k"), F.sum("n").alias("a")).filter(F.col("a") >= least)
