@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import views as V
 from . import decide, redact
-from .rules import ENCODED_RUN, ID_KEYWORD, Profile, profile_of, quote
+from .rules import ENCODED_RUN_FAST, ID_KEYWORD, MAYBE_FOUR_DIGITS, Profile, profile_of, quote
 
 BASE, LEET, OCR, PACKED = "__base", "__leet", "__ocr", "__packed"
-KEYWORD, DIGIT = "__id_keyword", "__digit"  # row flags
-VIEW_COLUMNS = [BASE, LEET, OCR, PACKED, KEYWORD, DIGIT]
+LOW_BASE, LOW_LEET = "__low_base", "__low_leet"  # in small letters, for gates
+KEYWORD, DIGIT, REPAIRABLE = "__id_keyword", "__digit", "__repairable"  # row flags
+VIEW_COLUMNS = [BASE, LEET, OCR, PACKED, LOW_BASE, LOW_LEET, KEYWORD, DIGIT, REPAIRABLE]
 MAX_DEPTH = 3
 ANY_DIGIT = r"\p{Nd}"
 
@@ -26,10 +27,10 @@ def base_text(text: Column, profile: Profile, nfkc: bool = False) -> Column:
     return V.dot_to_dash(base) if profile.name == "hardened" else base
 
 
-def _derived(base: Column) -> dict[str, Column]:
-    """Views that are null whenever they would equal the base view."""
+def _derived(base: Column, repairable: Column) -> dict[str, Column]:
+    """Views that are null whenever they would equal the base view; the OCR view also where it can hold no number."""
     leet = F.when(base.rlike("[@431057$]"), F.nullif(V.leet_fold(base), base))
-    ocr = F.when(base.rlike(V.OCR_RUN), F.nullif(V.ocr_fold(base), base))
+    ocr = F.when(repairable & base.rlike(V.OCR_RUN), F.nullif(V.ocr_fold(base), base))
     packed = F.when(F.contains(base, F.lit("=")), V.without_space(base))
     return {"leet": leet, "ocr": ocr, "packed": packed}
 
@@ -38,8 +39,12 @@ def _base_only(profile: Profile) -> bool:
     return all(r.views == ("base",) for r in profile.rules)
 
 
-def _id_keyword(base: Column, leet: Column) -> Column:
-    return base.rlike(ID_KEYWORD) | F.coalesce(leet.rlike(ID_KEYWORD), F.lit(False))
+def _id_keyword(base: Column, leet: Column, low_base: Column, low_leet: Column) -> Column:
+    def named(view: Column, low: Column) -> Column:
+        gate = F.contains(low, F.lit("aadha")) | F.contains(low, F.lit("uidai"))
+        return F.coalesce(gate & view.rlike(ID_KEYWORD), F.lit(False))
+
+    return named(base, low_base) | named(leet, low_leet)
 
 
 def with_views(df: DataFrame, text_col: str, profile: str | Profile = "standard", nfkc: bool = False) -> DataFrame:
@@ -49,18 +54,23 @@ def with_views(df: DataFrame, text_col: str, profile: str | Profile = "standard"
     out = df.withColumn(BASE, base_text(text, profile, nfkc))
     if _base_only(profile):
         return out.withColumn(DIGIT, F.col(BASE).rlike(ANY_DIGIT))
-    derived = _derived(F.col(BASE))
+    out = out.withColumn(REPAIRABLE, F.col(BASE).rlike(MAYBE_FOUR_DIGITS))
+    derived = _derived(F.col(BASE), F.col(REPAIRABLE))
     out = out.withColumns({LEET: derived["leet"], OCR: derived["ocr"], PACKED: derived["packed"]})
+    out = out.withColumns({LOW_BASE: F.lower(BASE), LOW_LEET: F.lower(LEET)})
     return out.withColumns(
         {
-            KEYWORD: _id_keyword(F.col(BASE), F.col(LEET)),
+            KEYWORD: _id_keyword(F.col(BASE), F.col(LEET), F.col(LOW_BASE), F.col(LOW_LEET)),
             DIGIT: F.col(BASE).rlike(ANY_DIGIT) | F.col(OCR).isNotNull(),
         }
     )
 
 
 def view_refs(df: DataFrame) -> dict[str, str]:
-    names = {"base": BASE, "leet": LEET, "ocr": OCR, "packed": PACKED, "id_keyword": KEYWORD, "digit": DIGIT}
+    names = {
+        "base": BASE, "leet": LEET, "ocr": OCR, "packed": PACKED, "low_base": LOW_BASE, "low_leet": LOW_LEET,
+        "id_keyword": KEYWORD, "digit": DIGIT, "repairable": REPAIRABLE,
+    }
     return {k: c for k, c in names.items() if c in df.columns}
 
 
@@ -88,13 +98,23 @@ def decode_run(run: Column) -> Column:
     return F.replace(text, F.lit("�"), F.lit(""))
 
 
-def decoded_children(text: Column, profile: Profile, max_runs: int | None) -> Column:
-    """Base views of the texts encoded in ``text``, of at least the profile's least length."""
-    runs = F.regexp_extract_all(text, F.lit(ENCODED_RUN), F.lit(0))
+def decoded_children(text: Column, profile: Profile, max_runs: int | None, every: bool = False) -> Column:
+    """Base views of the texts encoded in ``text``, of at least the profile's least length.
+
+    Unless ``every`` is set, texts are left out in which no rule can fire and which hold no further run: few runs decode to
+    anything else.
+    """
+    runs = F.regexp_extract_all(text, F.lit(ENCODED_RUN_FAST), F.lit(0))
     if max_runs is not None:
         runs = F.slice(runs, 1, max_runs)
     texts = F.filter(F.transform(runs, decode_run), lambda t: F.length(t) >= profile.min_decoded)
-    return F.transform(texts, lambda t: base_text(t, profile, False))
+    bases = F.transform(texts, lambda t: base_text(t, profile, False))
+    worth = None if every else profile.worth_scanning
+    return bases if worth is None else F.filter(bases, lambda t: t.rlike(f"{worth}|{ENCODED_RUN_FAST}"))
+
+
+def _with_runs(texts: Column) -> Column:
+    return F.filter(texts, lambda t: (F.length(t) >= 8) & t.rlike(ENCODED_RUN_FAST))
 
 
 def encoded_levels(
@@ -106,7 +126,7 @@ def encoded_levels(
     for parent, child in zip(names, names[1:], strict=False):
         df = df.withColumn(
             child,
-            F.flatten(F.transform(F.col(parent), lambda t: decoded_children(t, profile, max_runs))),
+            F.flatten(F.transform(_with_runs(F.col(parent)), lambda t: decoded_children(t, profile, max_runs))),
         )
     return df, names
 
@@ -117,26 +137,28 @@ def deeper_levels(df: DataFrame, text_col: str = "text", profile: str | Profile
     base = f"{BASE}_depth"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out, levels = encoded_levels(df.withColumn(base, base_text(text, profile)), profile, base=base)
-    more = F.exists(levels[-1], lambda t: F.size(decoded_children(t, profile, None)) > 0)
+    more = F.exists(levels[-1], lambda t: F.size(decoded_children(t, profile, None, every=True)) > 0)
     return out.withColumn(column, more).drop(base, *levels)
 
 
 def _encoded_views(profile: Profile, depth: int, base: Column) -> Column:
     if _base_only(profile):
         return F.struct(F.lit(depth).alias("depth"), base.alias("base"))
-    derived = _derived(base)
+    derived = _derived(base, base.rlike(MAYBE_FOUR_DIGITS))
     return F.struct(
         F.lit(depth).alias("depth"),
         base.alias("base"),
         derived["leet"].alias("leet"),
         derived["ocr"].alias("ocr"),
         derived["packed"].alias("packed"),
-        _id_keyword(base, derived["leet"]).alias("id_keyword"),
+        _id_keyword(base, derived["leet"], F.lower(base), F.lower(derived["leet"])).alias("id_keyword"),
     )
 
 
 def _staged(profile: Profile, depth: int, level: str) -> Column:
-    return F.transform(level, lambda base: _encoded_views(profile, depth, base))
+    worth = profile.worth_scanning
+    texts = F.col(level) if worth is None else F.filter(level, lambda t: t.rlike(worth))
+    return F.transform(texts, lambda base: _encoded_views(profile, depth, base))
 
 
 def with_encoded_types(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import blocks, metrics
 
 # --- fixed values -----------------------------------------------------------
 QUOTA = 60
@@ -18,6 +18,9 @@ ALERT_THRESHOLD = 3
 ALERT_WINDOW_S = 60
 MAX_ALERTS_PER_HOUR = 10
 ALERT_SPAN_S = 3600
+# ------------------------------------------------------------------------------
+#: times in one row of a suppression walk
+PACKED = 1 << 16
 
 
 def window_start(ts: Column, seconds: int) -> Column:
@@ -78,9 +81,8 @@ def alert_rule(
 ) -> DataFrame:
     """Violations at which one key has more than ``threshold`` of them in under ``window_s``.
 
-    "More than k in a span" holds exactly if the k-th violation before this one lies inside
-    the span, so one lag over the violations replaces a range frame.  Keys are cut into time
-    slices with a carried-over edge, so a hot key is not one task.
+    Violations are counted over a range frame of the span.  Keys are cut into time slices of an hour with a carried-over
+    edge, so a hot key is not one task.
     """
     bad = requests.filter(violation).withColumn("__us", F.unix_micros(F.col(ts)))
     slice_us = 3_600 * 1_000_000
@@ -102,10 +104,10 @@ def alert_triggers(log: DataFrame) -> DataFrame:
     return log.filter(F.col("severity") == "high")
 
 
-def sent_flags(times: np.ndarray, history: list[float], limit: int, span_s: float) -> tuple[np.ndarray, list[float]]:
+def sent_flags(times: np.ndarray, history: list, limit: int, span: float) -> tuple[np.ndarray, list]:
     """Greedy trailing cap over ordered times, continuing from ``history`` (sent times).
 
-    An alert is sent while fewer than ``limit`` sent alerts are younger than ``span_s``.  The
+    An alert is sent while fewer than ``limit`` sent alerts are younger than ``span``.  The
     walk jumps from one sent alert to the next, so its cost follows the alerts sent, which
     the cap bounds, not the alerts raised.
     """
@@ -113,11 +115,11 @@ def sent_flags(times: np.ndarray, history: list[float], limit: int, span_s: floa
     at = 0
     while at < len(times):
         if len(history) >= limit:
-            at += int(np.searchsorted(times[at:], history[-limit] + span_s, side="left"))
+            at += int(np.searchsorted(times[at:], history[-limit] + span, side="left"))
             if at >= len(times):
                 break
         flags[at] = True
-        history = [*history, float(times[at])][-limit:]
+        history = [*history, times[at].item()][-limit:]
         at += 1
     return flags, history
 
@@ -133,39 +135,46 @@ def suppress_alerts(
 ) -> DataFrame:
     """``recipient, ts, tie`` plus ``sent``: at most ``limit`` sent alerts in any trailing span.
 
-    Whether an alert is sent depends on the earlier ones, so a recipient is walked in time
-    order.  Two things keep that small: a recipient's timeline is cut wherever a whole span
-    passed without alerts (the cap forgets everything there), and only three narrow columns
-    travel, in Arrow batches, with ``limit`` times as the whole state.
+    Whether an alert is sent depends on the ones sent before, so a recipient's alerts must be walked in order.  The walk
+    jumps from sent alert to sent alert and needs nothing of the others but their times.  So the alerts are written in
+    balanced blocks, and only packed times travel to a recipient's walk: one row per PACKED alerts, read as they come, with
+    ``limit`` times as the whole state.  What the walk returns, the numbers of the sent alerts, is joined to the blocks
+    again by number.  A recipient with most of all alerts is spread over blocks before and after the walk, and costs the
+    walk itself eight bytes and no work per alert that is not sent.  Alerts without a time are not sent.
     """
-    rows = alerts.select(recipient, ts, tie)
-    rows = rows.withColumn("__slot", F.floor(F.unix_micros(F.col(ts)) / (span_s * 1_000_000)))
-    slots = rows.select(recipient, "__slot").distinct()
-    order = Window.partitionBy(recipient).orderBy("__slot")
-    fresh = F.coalesce(F.col("__slot") - F.lag("__slot").over(order) > 1, F.lit(True))
-    runs = slots.withColumn("__fresh", fresh.cast("int"))
-    runs = runs.withColumn("__run", F.sum("__fresh").over(order)).drop("__fresh")
-    placed = rows.join(runs, [recipient, "__slot"]).drop("__slot")
-    placed = placed.withColumn("__us", F.unix_micros(F.col(ts)))
-    schema = placed.select(recipient, ts, tie).schema.add("sent", "boolean")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, history = None, []
+    us = F.unix_micros(F.col(ts)).alias("__us")
+    rows = blocks.in_blocks(alerts.select(recipient, ts, tie, us), [recipient, "__us", tie], "alerts")
+    order = Window.partitionBy(recipient, blocks.BLOCK).orderBy("__us", tie)
+    rows = rows.withColumn("__row", F.row_number().over(order) - 1)
+    rows = rows.withColumns({"__part": F.floor(F.col("__row") / PACKED), "__at": F.pmod("__row", F.lit(PACKED)).cast("int")})
+    timed = rows.filter("__us IS NOT NULL")
+    packed = timed.groupBy(recipient, blocks.BLOCK, "__part").agg(F.sort_array(F.collect_list(F.struct("__at", "__us"))).alias("times"))
+    packed = packed.select(recipient, blocks.BLOCK, "__part", F.col("times.__at").alias("ats"), F.col("times.__us").alias("times"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, history = (), []
         for batch in batches:
-            batch = batch.reset_index(drop=True)
-            sent = np.zeros(len(batch), dtype=bool)
-            group = (batch[recipient] != batch[recipient].shift()) | (batch["__run"] != batch["__run"].shift())
-            starts = [*np.flatnonzero(group.to_numpy()), len(batch)]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                name = (batch[recipient].iat[lo], batch["__run"].iat[lo])
-                if name != current:
-                    current, history = name, []
-                seconds = batch["__us"].to_numpy()[lo:hi] / 1e6
-                sent[lo:hi], history = sent_flags(seconds, history, limit, span_s)
-            yield batch[[recipient, ts, tie]].assign(sent=sent)
-
-    ordered = placed.repartition(recipient, "__run").sortWithinPartitions(recipient, "__run", "__us", tie)
-    return ordered.mapInPandas(walk, schema)
+            places: list[list] = [[], [], [], []]
+            for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py()
+                if (name,) != current:
+                    current, history = (name,), []
+                times = np.asarray(batch.column(4)[i].values)
+                flags, history = sent_flags(times, history, limit, span_s * 1_000_000)
+                sent = np.asarray(batch.column(3)[i].values)[flags].tolist()
+                for column, value in zip(places, (name, batch.column(1)[i].as_py(), batch.column(2)[i].as_py())):
+                    column.extend([value] * len(sent))
+                places[3].extend(sent)
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32()]
+            names = [recipient, blocks.BLOCK, "__part", "__at"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(places, kinds)], names)
+
+    kind = rows.schema[recipient].dataType.simpleString()
+    ordered = packed.repartition(recipient).sortWithinPartitions(recipient, blocks.BLOCK, "__part")
+    sent = ordered.mapInArrow(walk, f"`{recipient}` {kind}, {blocks.BLOCK} int, __part long, __at int").withColumn("sent", F.lit(True))
+    place = [recipient, blocks.BLOCK, "__part", "__at"]
+    flagged = rows.join(sent.withColumnsRenamed({c: f"{c}_s" for c in place}), [rows[c].eqNullSafe(F.col(f"{c}_s")) for c in place], "left")
+    return flagged.select(recipient, ts, tie, F.coalesce("sent", F.lit(False)).alias("sent"))
 
 
 def slo_breaches(
@@ -182,22 +191,20 @@ def slo_breaches(
 
     "p95 > target" is decided without sorting: with n samples the value at index
     floor(0.95 (n-1)) exceeds the target exactly if at least n - index of them do, so a
-    rolling count of slow samples is enough.  Running counts come from time slices, so
-    neither the whole log nor a hot key is ordered in one task.
+    rolling count of slow samples is enough.  The log is written once in balanced blocks; running counts take one row of
+    totals per block, and the rolling count takes each block with an edge of ``window`` rows: no join of the log with
+    itself, and neither a key nor an hour is one task.
     """
-    slow = (F.col(latency_ms) > metrics.SLO_P95_MS).cast("long")
-    bad = F.col(is_error).cast("long")
     keys = by or []
-    numbered = _running(requests, keys, ts, tie, slow, bad)
-    before = numbered.select(
-        *keys, (F.col("__seq") + window).alias("__seq"), F.col("__slow_sum").alias("__slow_before")
-    )
-    joined = numbered.join(before, [*keys, "__seq"], "left")
+    slow = F.coalesce((F.col(latency_ms) > metrics.SLO_P95_MS).cast("long"), F.lit(0))
+    bad = F.coalesce(F.col(is_error).cast("long"), F.lit(0))
+    ordered = blocks.in_blocks(requests.withColumns({"__slow": slow, "__bad": bad}), [*keys, ts, tie], "slo")
+    rows = blocks.numbered(ordered, keys, [ts, tie], {"__errors": F.col("__bad")})
+    rows = blocks.trailing(rows, keys, "__seq", "__slow", window, "__slow_in_window")
     size = F.least(F.col("__seq"), F.lit(window))
-    slow_in_window = F.col("__slow_sum") - F.coalesce("__slow_before", F.lit(0))
-    over_p95 = slow_in_window >= size - metrics.p95_rank(size)
-    rate = F.col("__err_sum") / F.col("__seq")
-    out = joined.withColumns(
+    over_p95 = F.col("__slow_in_window") >= size - metrics.p95_rank(size)
+    rate = F.col("__errors") / F.col("__seq")
+    out = rows.withColumns(
         {
             "samples": size,
             "error_rate": F.bround(rate, 4),
@@ -205,42 +212,7 @@ def slo_breaches(
             "breach": (size >= metrics.SLO_MIN_SAMPLES) & (over_p95 | (rate > metrics.SLO_ERROR_RATE)),
         }
     )
-    return out.drop("__seq", "__slow_sum", "__err_sum", "__slow_before")
-
-
-def _running(
-    requests: DataFrame, keys: list[str], ts: str, tie: str, slow: Column, bad: Column, slice_s: int = 3600
-) -> DataFrame:
-    """Sequence number and running sums per key (or over the whole log), computed per time slice.
-
-    Each slice is numbered on its own; the slice totals (one small row each) give offsets.
-    """
-    sliced = requests.withColumn("__slice", F.floor(F.unix_seconds(F.col(ts)) / slice_s))
-    order = Window.partitionBy(*keys, "__slice").orderBy(ts, tie)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumns(
-        {"__seq": F.row_number().over(order), "__slow_sum": F.sum(slow).over(run), "__err_sum": F.sum(bad).over(run)}
-    )
-    totals = sliced.groupBy(*keys, "__slice").agg(
-        F.count("*").alias("__n"), F.sum(slow).alias("__s"), F.sum(bad).alias("__e")
-    )
-    group = keys or [F.lit(1)]
-    earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "__slice",
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"),
-        F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s0"),
-        F.coalesce(F.sum("__e").over(earlier), F.lit(0)).alias("__e0"),
-    )
-    joined = local.join(offsets, [*keys, "__slice"])
-    return joined.withColumns(
-        {
-            "__seq": F.col("__seq") + F.col("__n0"),
-            "__slow_sum": F.col("__slow_sum") + F.col("__s0"),
-            "__err_sum": F.col("__err_sum") + F.col("__e0"),
-        }
-    ).drop("__slice", "__n0", "__s0", "__e0")
+    return out.drop("__seq", "__slow", "__bad", "__errors", "__slow_in_window")
 
 
 def last_user_turn(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:

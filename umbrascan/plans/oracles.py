@@ -8,6 +8,7 @@ from __future__ import annotations
 from ..functions import tables
 from ..operators import rules as R
 from ..operators import spans as S
+from . import plants
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 L = r"(?:^|[^\p{L}\p{N}_])"
@@ -80,6 +81,8 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KW = r"(?i)aadhaar|aadhar|uidai"
 AAD = r"[2-9][0-9]{3}[\s.-]?[0-9]{4}[\s.-]?[0-9]{4}"
 QUIET = r"(?:[^\s0-9\p{L}]|[lIoOsSgG])*"
+# a white-space delimited token that holds an ID and else no digits or letters, and after which no digits go on
+QUIET_AAD = rf"(?:^|\s)({QUIET}{AAD}{QUIET})(?:$|\s[\s.-]*(?:$|[^0-9\s.-]))"
 GAP = r"[\s\-_.:]*"
 LET, DIG = "[a-fh-km-np-rt-zA-FHJ-NP-RT-Z]", "[0-9lI|OoSsgG]"
 EDGE_L, EDGE_R = r"(?:^|[^\p{L}\p{N}\s\-_.:|])", r"(?:$|[^\p{L}\p{N}\s\-_.:|])"
@@ -87,6 +90,16 @@ PAN_CHAIN = f"{LET}(?:{GAP}{LET}){{4}}(?:{GAP}{DIG}){{4}}{GAP}{LET}"
 SP_L, SP_R = r"(?:^|\s)", r"(?:$|\s)"
 
 
+def unequal(match: str) -> str:
+    """Whether the digits of a match are not all the same."""
+    digits = f"regexp_replace({match}, '[^0-9]', '', 'g')"
+    return f"{digits} <> repeat({digits}[1], length({digits}))"
+
+
+_RUN = ("[A-Za-z0-9][A-Za-z0-9/+=]{38}", "[/+=][A-Za-z0-9/+=]{38}")
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def any_of(view: str, *patterns: str) -> str:
     return "(" + " OR ".join(has(view, p) for p in patterns) + ")"
 
@@ -127,8 +140,10 @@ def rule_sql() -> dict[str, list[str]]:
         f"AND {has('B', '[0-9][\\s\\-_.]+[0-9]')})))"
     return {
         "AADHAAR": [
-            f"({has('V', KW)} AND {has('V', word(AAD))})",
-            has("V", rf"(?:^|[^0-9\s.-][\s.-]*\s|^\s+){QUIET}{AAD}{QUIET}(?:$|\s*$|\s[^0-9])"),
+            f"len(list_filter({grab('V', word(AAD).replace('(?:' + AAD, '(' + AAD))}, lambda m: {unequal('m')})) > 0 AND {has('V', KW)}",
+            f"len(list_filter({grab('V', QUIET_AAD)}, lambda m: {unequal('m')} AND length(m) - length(replace(m, '.', '')) < 3)) > 0",
+            has("V", rf"(?m)^[^\n]*(?i:aadhaar|aadhar)[^\n]*(?:^|[^\p{{L}}\p{{N}}_\n])(?i:starts|begins|first)[^\n]*[^\p{{L}}\p{{N}}_\n][2-9][0-9]{{3}}{E_}"),
+            has("V", rf"(?m)^[^\n]*(?i:aadhaar|aadhar)[^\n]*(?:^|[^\p{{L}}\p{{N}}_\n])(?i:ends|last)[^\n]*[^\p{{L}}\p{{N}}_\n][0-9]{{4}}{E_}"),
             has("V", word("[a-zA-Z0]" + AAD)),
             has("V", word(r"[2-9](?:\s+[0-9]){11}")),
             f"({has('V', '(?i)aadhaar|aadhar')} AND {has('V', '[2-9][0-9]{11}')})",
@@ -189,9 +204,12 @@ def rule_sql() -> dict[str, list[str]]:
         "AWS_KEY": [has("V", R.AWS_KEY)],
         "AWS_SECRET": [
             has("V", R.AWS_SECRET),
-            f"len(list_filter({grab('V', L + '([A-Za-z0-9/+=]{40})' + E_)}, lambda m: regexp_matches(m, '[+/=]'))) > 0",
-            # the sign may also follow later on the same line
-            has("V", L + r"[A-Za-z0-9/+=]{40}(?:[^\p{L}\p{N}_\n][^\n]*)?[+/=]"),
+            # an edge lies between a word character and another one; the sign may also follow on the line
+            f"len(list_filter({grab('V', f'{L}({_RUN[0]}[A-Za-z0-9]){E_}')}, lambda m: regexp_matches(m, '[+/=]'))) > 0",
+            has("V", f"{L}{_RUN[0]}[A-Za-z0-9]" + r"(?:[^\p{L}\p{N}_\n][^\n]*)?[+/=]"),
+            has("V", f"{L}{_RUN[0]}[/+=]{_WORD}"),
+            has("V", f"{_WORD}{_RUN[1]}[A-Za-z0-9]{E_}"),
+            has("V", f"{_WORD}{_RUN[1]}[/+=]{_WORD}"),
         ],
         "GENERIC_API_KEY": [has("V", R.API_KEY)],
         "GENERIC_SECRET": [has("V", rf"(?i){label}\s*[=:]\s*\S{{8,}}")],
@@ -509,6 +527,72 @@ def _spans_sql() -> str:
     )
 
 
+# bytes of a well-formed character, as hexadecimal digits; anything else is one byte
+_TAIL = "[89ab][0-9a-f]"
+UTF8 = (
+    f"[0-7][0-9a-f]|(?:c[2-9a-f]|d[0-9a-f]){_TAIL}|e0[ab][0-9a-f]{_TAIL}|(?:e[1-9a-cef]){_TAIL}{_TAIL}|ed[89][0-9a-f]{_TAIL}|"
+    f"f0[9ab][0-9a-f]{_TAIL}{_TAIL}|f[1-3]{_TAIL}{_TAIL}{_TAIL}|f48[0-9a-f]{_TAIL}{_TAIL}"
+)
+
+
+def decoded_sql(run: str) -> str:
+    """The characters of a padded base64 run, as a list of hexadecimal bytes without malformed ones; null if it is not padded."""
+    core, pad = f"rtrim({run}, '=')", f"(length({run}) - length(rtrim({run}, '=')))"
+    padded = f"(length({core}) % 4 = 0 OR (length({core}) % 4 = 2 AND {pad} = 2) OR (length({core}) % 4 = 3 AND {pad} >= 1))"
+    whole = f"rpad({core}, (ceil(length({core}) / 4) * 4)::INT, '=')"
+    pieces = f"regexp_extract_all(lower(hex(from_base64({whole}))), '(?:{UTF8})|[0-9a-f]{{2}}')"
+    return f"CASE WHEN {padded} THEN list_filter({pieces}, lambda x: regexp_matches(x, '^(?:{UTF8})$') AND x <> 'efbfbd') END"
+
+
+def _kids(name: str, source: str, depth: int) -> str:
+    """Texts of the base64 runs of a table (doc_id, base)."""
+    text = "decode(unhex(array_to_string(list_filter(c, lambda x: x <> '00'), '')))"
+    return (
+        f"{name}_r AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(base, '[A-Za-z0-9+/]{{8,}}={{0,2}}')) AS r FROM {source}), "
+        f"{name}_c AS MATERIALIZED (SELECT doc_id, {decoded_sql('r')} AS c FROM {name}_r), "
+        f"{name}_t AS MATERIALIZED (SELECT doc_id, {text} AS t FROM {name}_c WHERE len(c) >= 4), "
+        f"{name} AS MATERIALIZED (SELECT doc_id, {depth} AS depth, {base_sql('t')} AS base FROM {name}_t), "
+    )
+
+
+def encoded_sql(table: str) -> str:
+    """CTEs that end in ``e`` (doc_id, type, depth): what the rules find in base64 content, three levels deep."""
+    return (
+        f"k0 AS MATERIALIZED (SELECT doc_id, {base_sql('text')} AS base FROM {table}), {_kids('k1', 'k0', 1)}{_kids('k2', 'k1', 2)}{_kids('k3', 'k2', 3)}"
+        "kids AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3), "
+        f"{views_cte('kids', 'doc_id', 'base', 'depth,')}, kt AS (SELECT doc_id, depth, unnest({types_sql()}) AS type FROM w), "
+        "e AS (SELECT DISTINCT doc_id, repeat('BASE64_', depth) || type AS type, depth FROM kt)"
+    )
+
+
+def planted_sql() -> str:
+    """The documents with their plants."""
+    names, values = (f"[{', '.join(q(p[i]) for p in plants.DOCUMENT_PLANTS)}]" for i in (0, 1))
+    n = len(plants.DOCUMENT_PLANTS)
+    plant, alone = f"({values})[doc_id % {n} + 1]", f"(doc_id // {n}) % 2 = 1"
+    return (
+        f"(SELECT doc_id, ({names})[doc_id % {n} + 1] AS plant, {alone} AS alone, "
+        f"CASE WHEN {alone} THEN {plant} ELSE text || chr(10) || {plant} END AS text FROM documents)"
+    )
+
+
+def planted_types_sql() -> str:
+    """CTEs that end in ``f`` (doc_id, plant, alone, types): direct and encoded findings of the planted documents."""
+    views = views_cte("planted", "doc_id", "text", "plant, alone,").replace("v AS", "pv AS").replace("w AS", "pw AS").replace("FROM v)", "FROM pv)")
+    return (
+        f"WITH planted AS MATERIALIZED {planted_sql()}, {views}, ps AS (SELECT doc_id, plant, alone, {types_sql()} AS types FROM pw), "
+        f"{encoded_sql('planted')}, el AS (SELECT doc_id, list(type) AS more FROM e GROUP BY 1), "
+        "f AS (SELECT doc_id, plant, alone, list_concat(types, coalesce(more, [])) AS types FROM ps LEFT JOIN el USING (doc_id))"
+    )
+
+
+def with_turn_plants(sql: str) -> str:
+    """A query on conversations, on those with plants."""
+    values = f"[{', '.join(q(p[1]) for p in plants.TURN_PLANTS)}]"
+    planted = f"planted_c AS MATERIALIZED (SELECT * REPLACE (text || ' ' || ({values})[conv_id % {len(plants.TURN_PLANTS)} + 1] AS text) FROM conversations)"
+    return f"WITH {planted}, " + sql.replace("conversations", "planted_c").removeprefix("WITH ")
+
+
 def build() -> dict[str, str]:
     md5 = lambda c: f"md5({c})"
     fold_all = _translate("b", tables.LEET_SPANS)
@@ -650,6 +734,12 @@ def build() -> dict[str, str]:
         "alert_rule": f"WITH {REQ}, k AS (SELECT id, count(*) OVER (PARTITION BY status ORDER BY epoch_us(timestamp) "
         "RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW) AS violations FROM r WHERE latency_ms > 20) "
         "SELECT id, violations FROM k WHERE violations > 3",
+        "alert_suppression": f"WITH RECURSIVE {REQ}, a AS (SELECT status AS recipient, id, epoch_us(timestamp) AS us, "
+        "row_number() OVER (PARTITION BY status ORDER BY timestamp, id) AS n FROM r), "
+        "w AS (SELECT recipient, n, id, true AS sent, [us] AS history FROM a WHERE n = 1 "
+        "UNION ALL SELECT recipient, n, id, fits, CASE WHEN fits THEN list_append(history, us)[-2:] ELSE history END "
+        "FROM (SELECT a.*, w.history, len(w.history) < 2 OR a.us - w.history[1] >= 3600000000 AS fits "
+        "FROM w JOIN a ON a.recipient = w.recipient AND a.n = w.n + 1)) SELECT recipient, id, sent FROM w",
         "alert_triggers": f"WITH {REQ} SELECT user_id, count(*) AS alerts FROM r WHERE severity = 'high' GROUP BY 1",
         # conversations
         "conversation_prompts": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS full_text FROM conversations "
@@ -750,11 +840,28 @@ def build() -> dict[str, str]:
         "CASE WHEN coalesce(raw, '') = '' THEN 'not-run' WHEN len(types) > 0 THEN "
         "'contains_detection:' || array_to_string(types, ',') ELSE 'clean' END AS moderation FROM s"
     )
+    # planted values
+    out["planted_types"] = f"{planted_types_sql()}, u AS (SELECT plant, alone, unnest(types) AS type FROM f) SELECT plant, alone, type, count(*) AS n FROM u GROUP BY ALL"
+    out["planted_decisions"] = (
+        f"{planted_types_sql()} SELECT plant, alone, {SEVERITY} AS severity, {SEVERITY} = 'high' AS block, count(*) AS n FROM f GROUP BY ALL"
+    )
+    out["planted_encoded_findings"] = f"WITH planted AS MATERIALIZED {planted_sql()}, {encoded_sql('planted')} SELECT * FROM e"
+    out["encoded_findings"] = f"WITH {encoded_sql('documents')} SELECT * FROM e"
+    out["encoded_readable"] = (
+        f"WITH b AS (SELECT doc_id, {base_sql('text')} AS base FROM documents), "
+        "r AS (SELECT doc_id, unnest(regexp_extract_all(base, '[A-Za-z0-9+/]{8,}={0,2}')) AS r FROM b), "
+        f"c AS (SELECT doc_id, count(*) AS readable FROM (SELECT doc_id, {decoded_sql('r')} AS c FROM r) WHERE len(c) >= 4 GROUP BY 1) "
+        "SELECT doc_id, coalesce(readable, 0) AS readable FROM documents LEFT JOIN c USING (doc_id)"
+    )
+    out["planted_moderation"] = with_turn_plants(out["moderated_turns"])
+    out["planted_conversations"] = with_turn_plants(out["redacted_conversations"])
+    out["planted_log_path"] = with_turn_plants(out["log_path"])
     # streaming results equal the batch ones
     out["stream_scan"] = (
         out["scan_decisions"].replace("SELECT *, severity = 'high' AS block, types <> '' AS redact, ", "SELECT *, ")
     )
     out["stream_quota_counts"] = out["quota_counts"]
+    out["stream_alert_suppression"] = out["alert_suppression"]  # the table is in order of time
     out["slo_breach_count"] = f"SELECT count(*) FILTER (breach) AS breaches FROM ({out['slo_breaches']})"
     out["stream_exact_alerts"] = out["alert_rule"].replace("SELECT id, violations FROM k", "SELECT id FROM k")
     return out

@@ -17,7 +17,7 @@ from ..operators import (
 from ..operators.rules import PROFILES
 from ..sources import readers, writers
 from ..streaming import jobs as stream
-from . import jobs
+from . import jobs, plants
 
 AS_OF = dt.datetime(2024, 1, 31)  # the day after the last event
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,30 @@ def scan_decisions_hardened(spark, sf_dir):
     return s.select("doc_id", F.array_join("detections", "|").alias("types"), "severity", "block", "redact")
 
 
+def _planted(spark, sf_dir):
+    return plants.with_plants(texts(spark, sf_dir)).select("doc_id", "plant", "alone", "text")
+
+
+@query
+def planted_types(spark, sf_dir):
+    """What the standard rules find of a sample of every rule, in a text and alone."""
+    s = scan.scan_types(_planted(spark, sf_dir))
+    return s.select("plant", "alone", F.explode("detections").alias("type")).groupBy("plant", "alone", "type").agg(F.count("*").alias("n"))
+
+
+@query
+def planted_decisions(spark, sf_dir):
+    """D1, D2 on the planted documents."""
+    s = decide.with_decision(scan.scan_types(_planted(spark, sf_dir)), "standard")
+    return s.groupBy("plant", "alone", "severity", "block").agg(F.count("*").alias("n"))
+
+
+@query
+def planted_encoded_findings(spark, sf_dir):
+    """P3 as rows, nested base64 included."""
+    return findings.encoded_findings(_planted(spark, sf_dir), ["doc_id"])
+
+
 @query
 def html_pii_pages(spark, sf_dir):
     pages = spread(spark, table(spark, sf_dir, "pages"))
@@ -477,7 +501,16 @@ def encryption_round_trip(spark, sf_dir):
 @query
 def log_path(spark, sf_dir):
     """E-2: prompt and answer of a conversation turn pair through sanitize, moderation and escalation."""
-    c = table(spark, sf_dir, "conversations")
+    return _log_path(table(spark, sf_dir, "conversations"))
+
+
+@query
+def planted_log_path(spark, sf_dir):
+    """Answers that hold something raise their row."""
+    return _log_path(plants.with_turn_plants(table(spark, sf_dir, "conversations")))
+
+
+def _log_path(c: DataFrame) -> DataFrame:
     ask = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("redacted_prompt"))
     answer = c.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("llm_response_redacted")
@@ -693,10 +726,27 @@ def last_user_turn(spark, sf_dir):
     return windows.last_user_turn(table(spark, sf_dir, "conversations"))
 
 
+def _moderated(turns: DataFrame) -> DataFrame:
+    m = conversation.moderate_turns(turns)
+    return m.select("conv_id", "turn", "strict_blocked", "reason", "high_blocked")
+
+
 @query
 def moderated_turns(spark, sf_dir):
-    m = conversation.moderate_turns(table(spark, sf_dir, "conversations"))
-    return m.select("conv_id", "turn", "strict_blocked", "reason", "high_blocked")
+    return _moderated(table(spark, sf_dir, "conversations"))
+
+
+@query
+def planted_moderation(spark, sf_dir):
+    """D5, D6 on turns that hold something."""
+    return _moderated(plants.with_turn_plants(table(spark, sf_dir, "conversations")))
+
+
+@query
+def planted_conversations(spark, sf_dir):
+    """Flagged conversations get their last user turn rewritten, blocked ones stay as they are."""
+    out = conversation.redact_conversations(plants.with_turn_plants(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", "text", "action")
 
 
 @query
