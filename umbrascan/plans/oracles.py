@@ -861,6 +861,22 @@ def build() -> dict[str, str]:
         out["scan_decisions"].replace("SELECT *, severity = 'high' AS block, types <> '' AS redact, ", "SELECT *, ")
     )
     out["stream_quota_counts"] = out["quota_counts"]
+    out["stream_slo_monitor"] = (
+        f"WITH {REQ}, o AS (SELECT status AS service, latency_ms, is_error, row_number() OVER (PARTITION BY status ORDER BY timestamp DESC, id DESC) AS back FROM r), "
+        "t AS (SELECT service, count(*) AS total, count(*) FILTER (is_error) AS errors, "
+        "list_sort(list(latency_ms) FILTER (back <= 3000)) AS last FROM o GROUP BY 1), "
+        "p AS (SELECT *, len(last) AS samples, last[floor(0.95 * (len(last) - 1))::INT + 1] AS p95, errors / total AS rate FROM t) "
+        "SELECT service, total, samples::BIGINT AS samples, round_even(p95, 2) AS p95_ms, round_even(rate, 4) AS error_rate, "
+        "samples >= 20 AND (p95 > 300 OR rate > 0.01) AS breach FROM p"
+    )
+    out["stream_late_counts"] = (
+        "WITH a AS (SELECT ts, ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS due FROM events), "
+        "b AS (SELECT *, (epoch_us(due) - min(epoch_us(due)) OVER ()) // ((max(epoch_us(due)) OVER () - min(epoch_us(due)) OVER ()) // 6 + 1) AS batch FROM a), "
+        "m AS (SELECT batch, max(ts) AS newest FROM b GROUP BY 1), "
+        "h AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS horizon FROM m) "
+        "SELECT batch::BIGINT AS batch, count(*) AS n, count(*) FILTER (ts < horizon) AS late, count(*) FILTER (ts < horizon) AS written_late "
+        "FROM b JOIN h USING (batch) GROUP BY 1"
+    )
     out["stream_alert_suppression"] = out["alert_suppression"]  # the table is in order of time
     out["slo_breach_count"] = f"SELECT count(*) FILTER (breach) AS breaches FROM ({out['slo_breaches']})"
     out["stream_exact_alerts"] = out["alert_rule"].replace("SELECT id, violations FROM k", "SELECT id FROM k")

@@ -888,17 +888,39 @@ def late_requests(spark, sf_dir):
 # --- streaming: file sources drained with availableNow ---------------------------------------
 
 
-def _drain(spark, build, sf_dir, name, table_name, mode="append", stateful=False, latest=()):
+def _run_folder(spark, name):
+    local = spark.sparkContext.master.startswith("local[")
+    root = stream.checkpoint_root(spark, tempfile.gettempdir() if local else None)
+    return f"{root}/umbrascan-{name}-{uuid.uuid4().hex}"
+
+
+def _arrivals(spark, sf_dir, run, slices, delay=None):
+    """The events in files of their order of arrival, as a stream that takes one file per micro-batch.
+
+    ``delay`` is how long after its time an event arrives; slices are of equal length in time.
+    """
+    e = table(spark, sf_dir, "events").withColumn("__at", audit.as_utc("ts") + (F.expr("interval 0 seconds") if delay is None else delay))
+    first, last = e.agg(F.unix_micros(F.min("__at")), F.unix_micros(F.max("__at"))).first()
+    width = ((last or 0) - (first or 0)) // slices + 1
+    for i in range(slices):
+        low = (first or 0) + i * width
+        part = e.filter((F.unix_micros("__at") >= low) & (F.unix_micros("__at") < low + width)).drop("__at")
+        part.coalesce(1).write.mode("append").parquet(f"{run}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{run}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
+
+
+def _drain(spark, build, sf_dir, name, table_name, mode="append", stateful=False, latest=(), slices=0):
     """Streams a table, a file or a folder of files, and reads what the stream has written.
 
-    In complete mode the last micro-batch holds the result; in update mode the newest row of each ``latest`` key does.
+    With ``slices``, the events arrive in as many micro-batches.  In update mode the newest row of each ``latest`` key is
+    the result.
     """
-    local = spark.sparkContext.master.startswith("local[")
-    root = stream.checkpoint_root(spark, tempfile.gettempdir() if local else None)
-    run = f"{root}/umbrascan-{name}-{uuid.uuid4().hex}"
+    run = _run_folder(spark, name)
     source = table(spark, sf_dir, table_name)
     one = source.select("_metadata.file_path").limit(1).collect()
-    if one and one[0][0].endswith(f"/{table_name}.parquet"):  # the table is a single file
+    if slices:
+        streamed = _arrivals(spark, sf_dir, run, slices)
+    elif one and one[0][0].endswith(f"/{table_name}.parquet"):  # the table is a single file
         streamed = spark.readStream.schema(source.schema).option("pathGlobFilter", f"{table_name}.parquet").parquet(sf_dir)
     else:
         streamed = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/{table_name}.parquet")
@@ -911,8 +933,6 @@ def _drain(spark, build, sf_dir, name, table_name, mode="append", stateful=False
     finally:
         spark.conf.set(key, before)
     out = spark.read.parquet(f"{run}/out")
-    if mode == "complete":
-        return out.join(out.agg(F.max("batch").alias("batch")), "batch").drop("batch")
     if latest:
         names = [c for c in out.columns if c not in latest]
         out = out.groupBy(*latest).agg(F.max_by(F.struct(*names), "batch").alias("row")).select(*latest, "row.*")
@@ -940,9 +960,9 @@ def stream_scan(spark, sf_dir):
 
 @query
 def stream_quota_counts(spark, sf_dir):
-    """T3 in complete mode: the last micro-batch holds every window."""
+    """T3 in update mode: windows behind the watermark leave the state; the newest row of each window counts."""
     build = lambda e: stream.quota_counts(_stream_requests(e), key="event_type", quota=2, window_s=3600)
-    out = _drain(spark, build, sf_dir, "quota", "events", mode="complete")
+    out = _drain(spark, build, sf_dir, "quota", "events", mode="update", latest=["event_type", "window_start"], slices=4)
     return out.withColumnRenamed("event_type", "status")
 
 
@@ -952,14 +972,14 @@ def stream_exact_alerts(spark, sf_dir):
     build = lambda e: stream.exact_alerts(
         _stream_requests(e), key="event_type", violation=F.col("latency_ms") > 20, window_s=1800
     )
-    return _drain(spark, build, sf_dir, "alerts", "events", stateful=True).filter("NOT late").select("id")
+    return _drain(spark, build, sf_dir, "alerts", "events", stateful=True, slices=4).filter("NOT late").select("id")
 
 
 @query
 def stream_slo_monitor(spark, sf_dir):
     """T5: status per event type after the drain."""
     build = lambda e: stream.slo_monitor(_stream_requests(e), service=F.col("event_type"))
-    return _drain(spark, build, sf_dir, "slo", "events", mode="update", stateful=True, latest=["service"])
+    return _drain(spark, build, sf_dir, "slo", "events", mode="update", stateful=True, latest=["service"], slices=4)
 
 
 @query
@@ -968,4 +988,16 @@ def stream_alert_suppression(spark, sf_dir):
     build = lambda e: stream.suppress_alerts(
         _stream_requests(e).withColumnRenamed("timestamp", "ts"), recipient="event_type", limit=2
     )
-    return _drain(spark, build, sf_dir, "suppress", "events", stateful=True).select("recipient", "id", "sent")
+    return _drain(spark, build, sf_dir, "suppress", "events", stateful=True, slices=4).select("recipient", "id", "sent")
+
+
+@query
+def stream_late_counts(spark, sf_dir):
+    """Events of every seventh id arrive two days late; rows behind the watermark go to a side output and are counted."""
+    run = _run_folder(spark, "late")
+    delay = F.when(F.col("event_id") % 7 == 0, F.expr("interval 2 days")).otherwise(F.expr("interval 0 days"))
+    arriving = _stream_requests(_arrivals(spark, sf_dir, run, 6, delay))
+    stream.run_available(arriving, f"{run}/checkpoint", stream.split_late(f"{run}/out"))
+    counts = spark.read.parquet(f"{run}/out/counts")
+    rows = spark.read.parquet(f"{run}/out/rows").groupBy("batch").agg(F.count_if("late").alias("written_late"))
+    return counts.join(rows, "batch").select(F.col("batch").cast("long").alias("batch"), "n", "late", "written_late")

@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..operators import audit, decide, metrics, scan, windows
 
@@ -127,13 +127,14 @@ class ExactAlerts(StatefulProcessor):
 
 
 class WatermarkAlerts(StatefulProcessor):
-    """T4, exact: state is the violations from the watermark on and the last ``threshold`` ones before it, in order.
-
-    A violation that comes out of order takes its place and may complete the alerts of later ones that are there already.
-    It only ever adds to their counts, so an alert is given at once, in the micro-batch that completes it, and never
-    again or withdrawn; nothing is left waiting when the stream ends.  Only a violation behind the watermark (or without
-    a time) is late: it is handed on with ``late`` set, for the side metric (T8).  A timer shortens the state of a key
-    that falls silent.
+    """T4, exact: state is the violations of the key by time bucket of one span, from one span before the watermark on.
+
+    A violation that comes out of order takes its place and may complete the alerts of later ones that are there already:
+    of its own bucket or the next.  So a batch reads and writes the buckets that it touches and their neighbours, however
+    many others the key has.  A violation only ever adds to counts, so an alert is given at once, in the micro-batch that
+    completes it, and never again or withdrawn; nothing is left waiting when the stream ends.  Only a violation behind
+    the watermark (or without a time) is late: it is handed on with ``late`` set, for the side metric (T8).  Every
+    bucket has a timer that drops it once the watermark is a span past it, so a silent key leaves the state.
     """
 
     def __init__(self, key: str, threshold: int, span_us: int):
@@ -141,40 +142,63 @@ class WatermarkAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [StructField("us", LongType()), StructField("id", LongType()), StructField("told", BooleanType())]
-        self.held = handle.getListState("held", StructType(fields))
-
-    def _keep(self, held: pd.DataFrame, horizon: int) -> None:
-        """Nothing before the horizon changes any more: later ones need the ``threshold`` times before it."""
-        settled = int(np.searchsorted(held["us"], horizon))
-        self.held.put(list(held.iloc[max(0, settled - self.threshold):].itertuples(index=False, name=None)))
-
-    def _stored(self) -> pd.DataFrame:
-        held = pd.DataFrame(list(self.held.get()), columns=["us", "id", "told"])
-        return held.astype({"us": "int64", "told": "bool"})
+        packed = StructType([StructField(n, BinaryType()) for n in ("us", "id", "told")])
+        self.held = handle.getMapState("held", StructType([StructField("bucket", LongType())]), packed)
+
+    def _bucket(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times in order, ids and whether told, of one bucket."""
+        cells = self.held.getValue((number,)) if self.held.containsKey((number,)) else (b"", b"", b"")
+        return tuple(np.frombuffer(bytes(c), t) for c, t in zip(cells, ("<i8", "<i8", "?"), strict=True))
+
+    def _judge(self, us: np.ndarray, ids: np.ndarray, horizon: int) -> list[tuple[int, int]]:
+        """Takes violations into their buckets and returns the alerts that they complete, as (id, us)."""
+        home = us // self.span_us
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        fresh = [int(b) for b in np.unique(home)]
+        for b in sorted({n for b in fresh for n in (b - 1, b, b + 1)}):
+            held[b] = self._bucket(b)
+        for b in fresh:
+            if not len(held[b][0]):
+                self._expire_later(b, horizon)
+            mine = home == b
+            joined = [np.concatenate([x, y]) for x, y in zip(held[b], (us[mine], ids[mine], np.zeros(mine.sum(), bool)), strict=True)]
+            order = np.lexsort((joined[1], joined[0]))
+            held[b] = tuple(x[order] for x in joined)
+        alerts, changed = [], set(fresh)
+        for b in sorted({n for b in fresh for n in (b, b + 1)}):
+            times, names, told = held[b]
+            window = np.concatenate([held[b - 1][0], times]) if b - 1 in held else times
+            violations = np.searchsorted(window, times, "right") - np.searchsorted(window, times - self.span_us, "right")
+            new = (violations > self.threshold) & ~told
+            if new.any():
+                alerts += list(zip(names[new].tolist(), times[new].tolist(), strict=True))
+                held[b] = (times, names, told | new)
+                changed.add(b)
+        for b in changed:
+            self.held.updateValue((b,), tuple(x.astype(t).tobytes() for x, t in zip(held[b], ("<i8", "<i8", "?"), strict=True)))
+        return alerts
+
+    def _expire_later(self, bucket: int, horizon: int) -> None:
+        expiry = (bucket + 2) * self.span_us // 1000 + 1
+        if expiry > horizon // 1000:
+            self.handle.registerTimer(expiry)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["us", "id"])
         horizon = _horizon(timerValues)
-        late = batch["us"].isna() | (batch["us"] < horizon)
-        held = self._stored()
-        if not late.all():
-            fresh = batch.loc[~late, ["us", "id"]].assign(told=False).astype({"us": "int64"})
-            held = pd.concat([held, fresh], ignore_index=True).sort_values(["us", "id"], kind="stable", ignore_index=True)
-        us = held["us"].to_numpy()
-        violations = np.searchsorted(us, us, "right") - np.searchsorted(us, us - self.span_us, "right")
-        alerts = (violations > self.threshold) & ~held["told"].to_numpy()
-        held["told"] |= alerts
-        if len(held):
-            self._keep(held, horizon)
-            if (expiry := int(us[-1]) // 1000 + 1) > horizon // 1000:
-                self.handle.registerTimer(expiry)
-        hits = pd.concat([held.loc[alerts, ["us", "id"]].assign(late=False), batch.loc[late, ["us", "id"]].assign(late=True)])
-        if len(hits):
-            yield pd.DataFrame({self.key: str(key[0]), "id": hits["id"], "seconds": hits["us"] / 1e6, "late": hits["late"]})
+        for batch in rows:
+            late = batch["us"].isna() | (batch["us"] < horizon)
+            on_time = batch[~late]
+            alerts = self._judge(on_time["us"].to_numpy(np.int64), on_time["id"].to_numpy(np.int64), horizon) if len(on_time) else []
+            told = pd.DataFrame(alerts, columns=["id", "us"]).assign(late=False)
+            hits = pd.concat([told, batch.loc[late, ["id", "us"]].assign(late=True)]) if late.any() else told
+            if len(hits):
+                yield pd.DataFrame({self.key: str(key[0]), "id": hits["id"], "seconds": hits["us"] / 1e6, "late": hits["late"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._keep(self._stored(), _horizon(timerValues))
+        horizon = _horizon(timerValues)
+        for (bucket,) in list(self.held.keys()):
+            if (bucket + 2) * self.span_us <= horizon:
+                self.held.removeKey((bucket,))
         return iter([])
 
     def close(self) -> None:
@@ -208,27 +232,54 @@ def exact_alerts(requests: DataFrame, *, key: str, violation: Column, ts: str =
 
 
 class SloMonitor(StatefulProcessor):
-    """T5: a bounded window of latencies and running totals; one status row per micro-batch."""
+    """T5: the last ``window`` latencies in buckets of BUCKET samples, and running totals; one status row per micro-batch.
+
+    A batch writes the newest buckets and drops the ones that the window has left; the others are read for the percentile
+    only.  A service without requests for ``idle_ms`` of event time leaves the state.  Samples count in order of arrival,
+    inside a micro-batch in order of time.
+    """
+
+    BUCKET = 256
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self, window: int, idle_ms: int):
+        self.window, self.idle_ms = window, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latencies = handle.getListState("latencies", StructType([StructField("ms", DoubleType())]))
+        self.handle = handle
+        self.buckets = handle.getMapState(
+            "buckets", StructType([StructField("bucket", LongType())]), StructType([StructField("ms", BinaryType())])
+        )
         self.totals = handle.getValueState(
-            "totals", StructType([StructField("n", LongType()), StructField("errors", LongType())])
+            "totals", StructType([StructField("n", LongType()), StructField("errors", LongType()), StructField("newest", LongType())])
         )
 
+    def _read(self, bucket: int) -> np.ndarray:
+        (cell,) = self.buckets.getValue((bucket,)) if self.buckets.containsKey((bucket,)) else (b"",)
+        return np.frombuffer(bytes(cell), "<f8")
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows, ["seconds", "id"])
-        n, errors = self.totals.get() if self.totals.exists() else (0, 0)
-        window = [ms for (ms,) in self.latencies.get()]
-        window = (window + batch["ms"].tolist())[-self.window:]
+        n, errors, newest = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        fresh, first = batch["ms"].to_numpy("<f8"), n // self.BUCKET
+        start = n  # number of the first fresh sample
         n, errors = n + len(batch), errors + int(batch["is_error"].sum())
-        self.latencies.put([(float(ms),) for ms in window])
-        self.totals.update((n, errors))
-        p95 = sorted(window)[int(0.95 * (len(window) - 1))]
+        seen = batch["seconds"].max()
+        newest = max(newest, int(seen * 1000)) if pd.notna(seen) else newest
+        self.totals.update((n, errors, newest))
+        joined = np.concatenate([self._read(first)[: start - first * self.BUCKET], fresh])
+        low = max(0, n - self.window)
+        for b in range(max(first, low // self.BUCKET), (n - 1) // self.BUCKET + 1):
+            at = (b - first) * self.BUCKET
+            self.buckets.updateValue((b,), (joined[at : at + self.BUCKET].tobytes(),))
+        for (b,) in list(self.buckets.keys()):
+            if b < low // self.BUCKET:
+                self.buckets.removeKey((b,))
+        older = [self._read(b) for b in range(low // self.BUCKET, first)]
+        window = np.concatenate([*older, joined])[-(n - low):]
+        p95 = float(np.sort(window)[int(0.95 * (len(window) - 1))])
         rate = errors / max(1, n)
+        if newest + self.idle_ms > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(newest + self.idle_ms)
         breach = len(window) >= metrics.SLO_MIN_SAMPLES and (
             p95 > metrics.SLO_P95_MS or rate > metrics.SLO_ERROR_RATE
         )
@@ -237,57 +288,81 @@ class SloMonitor(StatefulProcessor):
              "error_rate": [round(rate, 4)], "breach": [breach]}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.totals.exists() and self.totals.get()[2] + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+            self.totals.clear()
+            self.buckets.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def slo_monitor(requests: DataFrame, *, service: Column, ts: str = "timestamp", id_col: str = "id",
                 latency_ms: str = "latency_ms", is_error: str = "is_error",
-                window: int = metrics.SLO_WINDOW) -> DataFrame:
-    """T5: SLO status per service after each micro-batch.  The state is capped at ``window`` samples."""
-    narrow = requests.select(
+                window: int = metrics.SLO_WINDOW, watermark: str = WATERMARK, idle_s: int = 7 * 86_400) -> DataFrame:
+    """T5: SLO status per service after each micro-batch.
+
+    The state of a service is ``window`` samples and its totals; it ends when the service is silent for ``idle_s``.
+    """
+    narrow = requests.withWatermark(ts, watermark).select(
         service.cast("string").alias("service"), F.col(id_col).cast("long").alias("id"),
         (F.unix_micros(ts) / 1e6).alias("seconds"), F.col(latency_ms).cast("double").alias("ms"),
         F.col(is_error).alias("is_error"),
     )
     return narrow.groupBy("service").transformWithStateInPandas(
-        SloMonitor(window),
+        SloMonitor(window, idle_s * 1000),
         "service string, total long, samples long, p95_ms double, error_rate double, breach boolean",
-        "Update", "None",
+        "Update", "EventTime",
     )
 
 
 class AlertSuppressor(StatefulProcessor):
-    """State is the sent times of the recipient that still count, at most ``limit``."""
+    """State is the sent times of the recipient that still count, at most ``limit``.
 
-    def __init__(self, limit: int, span_s: float):
-        self.limit, self.span_s = limit, span_s
+    An alert is judged when it arrives, as a mailer must; inside a micro-batch in order of time.  A timer ends the state
+    once the watermark is a span past the last alert sent.
+    """
+
+    def __init__(self, limit: int, span_us: int):
+        self.limit, self.span_us = limit, span_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getListState("sent", StructType([StructField("t", DoubleType())]))
+        self.handle = handle
+        self.sent = handle.getListState("sent", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["seconds", "id"])
+        batch = _ordered(rows, ["us", "id"])
         history = [t for (t,) in self.sent.get()]
-        flags, history = windows.sent_flags(batch["seconds"].to_numpy(), history, self.limit, self.span_s)
-        self.sent.put([(float(t),) for t in history])
+        timed = batch["us"].notna().to_numpy()
+        flags = np.zeros(len(batch), bool)
+        flags[timed], history = windows.sent_flags(batch.loc[timed, "us"].to_numpy(np.int64), history, self.limit, self.span_us)
+        self.sent.put([(int(t),) for t in history])
+        if history and (expiry := (history[-1] + self.span_us) // 1000 + 1) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(expiry)
         yield pd.DataFrame(
-            {"recipient": [str(key[0])] * len(batch), "id": batch["id"], "seconds": batch["seconds"], "sent": flags}
+            {"recipient": [str(key[0])] * len(batch), "id": batch["id"], "seconds": batch["us"] / 1e6, "sent": flags}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        history = [t for (t,) in self.sent.get()]
+        if not history or history[-1] + self.span_us <= _horizon(timerValues):
+            self.sent.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def suppress_alerts(alerts: DataFrame, *, recipient: str = "recipient", ts: str = "ts", id_col: str = "id",
-                    limit: int = windows.MAX_ALERTS_PER_HOUR, span_s: float = windows.ALERT_SPAN_S) -> DataFrame:
-    """Alerts with a ``sent`` flag: at most ``limit`` sent per recipient in the trailing span."""
-    narrow = alerts.select(
-        F.col(recipient).cast("string").alias("recipient"), F.col(id_col).cast("long").alias("id"),
-        (F.unix_micros(ts) / 1e6).alias("seconds"),
+                    limit: int = windows.MAX_ALERTS_PER_HOUR, span_s: int = windows.ALERT_SPAN_S,
+                    watermark: str = WATERMARK) -> DataFrame:
+    """Alerts with a ``sent`` flag: at most ``limit`` sent per recipient in the trailing span.  Alerts without a time are not sent."""
+    narrow = alerts.withWatermark(ts, watermark).select(
+        F.col(recipient).cast("string").alias("recipient"), F.col(id_col).cast("long").alias("id"), F.unix_micros(ts).alias("us"),
     )
     return narrow.groupBy("recipient").transformWithStateInPandas(
-        AlertSuppressor(limit, span_s), "recipient string, id long, seconds double, sent boolean", "Append", "None"
+        AlertSuppressor(limit, span_s * 1_000_000), "recipient string, id long, seconds double, sent boolean", "Append", "EventTime"
     )
 
 
@@ -310,6 +385,32 @@ def late_rows(requests: DataFrame, batch_max: Column, ts: str = "timestamp", min
     return requests.filter(F.col(ts) < batch_max - F.expr(f"interval {minutes} minutes"))
 
 
+def split_late(path: str, ts: str = "timestamp", minutes: int = 10) -> Callable[[DataFrame, int], None]:
+    """A sink that writes rows to ``path/rows``, parted by whether they are ``late``, and counts to ``path/counts``.
+
+    A row is late if it lies more than ``minutes`` behind the newest row of all earlier micro-batches; a row without a time is.
+    The counts of a micro-batch are observed while its rows are written, one pass over the batch.  What earlier batches saw
+    is read from their counts, and every folder is replaced on replay, so a batch that runs again gives the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = "n long, late long, newest_us long"
+        before = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/counts") if batch_id else spark.createDataFrame([], f"{schema}, batch long")
+        newest = before.filter(F.col("batch") < batch_id).agg(F.max("newest_us")).first()[0]
+        seen = Observation()
+        behind = F.lit(False) if newest is None else F.unix_micros(ts) < newest - minutes * 60_000_000
+        late = F.coalesce(behind, F.lit(True)) | F.col(ts).isNull()
+        marked = batch.withColumn("late", late).observe(
+            seen, F.count("*").alias("n"), F.count_if("late").alias("late"), F.unix_micros(F.max(ts)).alias("newest_us")
+        )
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch_id}")
+        found = spark.createDataFrame([(seen.get["n"], seen.get["late"], seen.get["newest_us"])], schema)
+        found.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+
+    return write
+
+
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A sink that writes each micro-batch to its own folder, replay-safe."""
 
@@ -321,5 +422,5 @@ def append_batches(path: str) -> Callable[[DataFrame, int], None]:
 
 __all__ = [
     "append_batches", "audit_stream", "checkpoint_root", "exact_alerts", "late_rows", "quota_counts",
-    "run_available", "scan_stream", "sliding_alerts", "slo_monitor", "suppress_alerts",
+    "run_available", "scan_stream", "sliding_alerts", "slo_monitor", "split_late", "suppress_alerts",
 ]
