@@ -123,11 +123,12 @@ def decrypt(df: DataFrame, keys: dict[str, Column], column: str = "redacted_prom
 
 
 def verify_encryption(df: DataFrame, keys: dict[str, Column], column: str = "redacted_prompt") -> DataFrame:
-    """Rows per key id and how many cannot be opened."""
+    """Rows per key id, how many cannot be opened, and, with a ``redacted_fingerprint`` column, how many open to another text."""
     opened = decrypt(df, keys, column).filter(F.col(f"{column}_ciphertext").isNotNull())
-    return opened.groupBy(f"{column}_key_id").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("decrypted").isNull()).alias("failures")
-    )
+    counts = [F.count("*").alias("rows"), F.count_if(F.col("decrypted").isNull()).alias("failures")]
+    if "redacted_fingerprint" in df.columns:
+        counts.append(F.count_if(checks.fingerprint(F.col("decrypted")) != F.col("redacted_fingerprint")).alias("mismatches"))
+    return opened.groupBy(f"{column}_key_id").agg(*counts)
 
 
 def rotate_key(
@@ -202,6 +203,13 @@ def repeats(texts: DataFrame, text_col: str, key_col: str) -> DataFrame:
     )
 
 
+def split_seen_indexed(prompts: DataFrame, index: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """J5 against a ``fingerprint_index`` table: only the prompts are shuffled, into the index's buckets."""
+    keyed = prompts.withColumn("__fp", checks.fingerprint(F.col(text_col)))
+    known = index.select(F.col("redacted_fingerprint").alias("__fp")).hint("merge")
+    return keyed.join(known, "__fp", "left_semi").drop("__fp"), keyed.join(known, "__fp", "left_anti").drop("__fp")
+
+
 def split_seen(prompts: DataFrame, log: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Prompts already in the log and new ones, by fingerprint.
 

@@ -146,8 +146,8 @@ def union_runs(*runs: DataFrame) -> DataFrame:
 
 
 def with_severity(found: DataFrame, policy: DataFrame) -> DataFrame:
-    """Findings joined to the severity policy (a fixed lookup of a few dozen rows)."""
-    return found.join(F.broadcast(policy), "type", "left")
+    """Findings joined to the severity policy.  How is left to the planner, which sees the policy's size."""
+    return found.join(policy, "type", "left")
 
 
 def severity_of_rows(found: DataFrame, keys: list[str]) -> DataFrame:

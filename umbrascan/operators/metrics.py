@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 # --- fixed values -----------------------------------------------------------
 SLO_WINDOW = 3000
 SLO_MIN_SAMPLES = 20
@@ -33,36 +35,61 @@ def kpi_block(log: DataFrame, by: list[str] | None = None, action: str = "action
     )
 
 
+#: rows that a bracket may hold when it is ranked, steps of the sketched grid, and the sketch's accuracy (finer than a step)
+RANKED, GRID, ACCURACY = 100_000, 500, 10_000
+
+
 def rank_pick(
-    log: DataFrame, value: str, rank: Callable[[Column], Column], out_col: str,
-    by: list[str] | None = None, width: float = 1.0,
+    log: DataFrame, value: str, rank: Callable[[Column], Column], out_col: str, by: list[str] | None = None, ranked: int = RANKED
 ) -> DataFrame:
-    """The value at a zero-based rank of a sorted column, whole or per group, exactly.
+    """The value at a zero-based rank of a sorted column, whole or per group, exactly, whatever the range of values.
 
-    Pass one counts rows per (group, value bucket) with map-side combine and finds the bucket
-    holding the rank; pass two sorts only that bucket's distinct values.  No group is ever
-    sorted as a whole.  ``rank`` maps the group's row count to the wanted rank.
+    A mergeable quantile sketch gives a grid of values; the rank lies between the steps next to its own share, as the
+    sketch is finer than a step.  One exact pass counts the rows below that bracket and inside it.  Brackets of more than
+    ``ranked`` rows are sketched again, which leaves about a hundredth of them, until they are small or hold little but one
+    value.  At last the distinct values of a bracket are ranked.  No group is sorted as a whole; per group a grid and
+    six numbers are kept.  ``rank`` maps the group's row count to the wanted rank; nulls don't count.
     """
     by = by or []
-    keys = by or [F.lit(1)]
-    rows = log.filter(F.col(value).isNotNull()).withColumn("__bucket", F.floor(F.col(value) / width))
-    buckets = rows.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
-    placed = buckets.withColumns(
-        {
-            "__upto": F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket")),
-            "__rank": rank(F.sum("__n").over(Window.partitionBy(*keys))).cast("long"),
-        }
-    )
-    holds = (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__n") <= F.col("__rank"))
-    target = placed.filter(holds).select(
-        *by, "__bucket", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__left")
-    )
-    if not by:
-        target = F.broadcast(target)  # exactly one row
-    inside = rows.join(target, [*by, "__bucket"]).groupBy(*by, value, "__left").agg(F.count("*").alias("__n"))
-    upto = inside.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys).orderBy(value)))
-    hit = (F.col("__upto") > F.col("__left")) & (F.col("__upto") - F.col("__n") <= F.col("__left"))
-    return upto.filter(hit).select(*by, F.col(value).alias(out_col))
+    kind = log.schema[value].dataType
+    rows = log.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__value"))
+    counted = rows.groupBy(*by).agg(F.count("*").alias("__n")).filter("__n > 0")
+    state = counted.select(
+        *by, rank(F.col("__n")).cast("long").alias("__rank"), F.lit(None).cast(kind).alias("__lo"), F.lit(None).cast(kind).alias("__hi"),
+        F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__in"), F.lit(False).alias("__done"),
+    )
+
+    def meet(groups: DataFrame) -> DataFrame:
+        if not by:  # exactly one row
+            return rows.withColumn("__one", F.lit(0)).join(F.broadcast(groups.withColumn("__one", F.lit(0))), "__one").drop("__one")
+        return rows.join(groups, [rows[k].eqNullSafe(groups[k]) for k in by]).drop(*[groups[k] for k in by])
+
+    at_least_lo = F.coalesce(F.col("__value") >= F.col("__lo"), F.lit(True))
+    inside = at_least_lo & F.coalesce(F.col("__value") <= F.col("__hi"), F.lit(True))
+    while True:
+        state = blocks.written(state, "brackets")
+        wide = state.filter((F.col("__in") > ranked) & ~F.col("__done"))
+        if wide.isEmpty():
+            break
+        grid = F.percentile_approx("__value", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("__grid")
+        known = ["__rank", "__lo", "__hi", "__in"]
+        sketched = meet(wide).filter(inside).groupBy(*by, *known, "__below").agg(grid)
+        step = F.floor((F.col("__rank") - F.col("__below")) / F.col("__in") * GRID).cast("int")
+        narrow = sketched.select(
+            *by, "__rank", F.col("__in").alias("__was"),
+            F.when(step > 1, F.get("__grid", step - 1)).otherwise(F.col("__lo")).alias("__lo"),
+            F.when(step < GRID - 2, F.get("__grid", step + 2)).otherwise(F.col("__hi")).alias("__hi"),
+        )
+        again = meet(narrow).groupBy(*by, "__rank", "__lo", "__hi", "__was").agg(
+            F.count_if(~at_least_lo).alias("__below"), F.count_if(inside).alias("__in")
+        )
+        again = again.withColumn("__done", F.col("__in") * 2 > F.col("__was")).select(state.columns)
+        state = state.filter((F.col("__in") <= ranked) | F.col("__done")).unionByName(again)
+    values = meet(state).filter(inside).groupBy(*by, "__rank", "__below", "__value").agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__value"))
+    left = F.col("__rank") - F.col("__below")
+    hit = (F.col("__upto") > left) & (F.col("__upto") - F.col("__k") <= left)
+    return values.withColumn("__upto", upto).filter(hit).select(*by, F.col("__value").alias(out_col))
 
 
 def upper_median(log: DataFrame, value: str, by: list[str] | None = None, out_col: str = "median") -> DataFrame:

@@ -674,7 +674,14 @@ def build() -> dict[str, str]:
         "SELECT CASE WHEN severity = 'high' THEN 'block' ELSE 'pass' END AS action, severity, count(*) AS n FROM d GROUP BY 1, 2",
         "leak_audit": "SELECT count(*) AS total, count(*) FILTER (NOT contains(text, '[REDACTED]') AND length(text) > 10) AS unredacted "
         "FROM documents",
-        "encryption_round_trip": "SELECT 'k2' AS redacted_prompt_key_id, count(*) AS rows, 0::BIGINT AS failures FROM documents",
+        "encryption_round_trip": "WITH k AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'lost' WHEN doc_id % 2 = 0 THEN 'k3' "
+        "WHEN doc_id % 11 = 0 THEN 'k1' ELSE 'k2' END AS key, doc_id % 11 = 0 OR doc_id % 14 = 0 AS unopened, doc_id % 13 = 0 AS other FROM documents) "
+        "SELECT key AS redacted_prompt_key_id, count(*) AS rows, count(*) FILTER (unopened) AS failures, "
+        "count(*) FILTER (NOT unopened AND other) AS mismatches FROM k GROUP BY 1",
+        "retention_purge": f"WITH {REQ} SELECT strftime(timestamp, '%Y-%m-%d') AS dt, count(*) AS n FROM r "
+        f"WHERE timestamp >= {AS_OF} - INTERVAL 10 DAY - INTERVAL 7 HOUR GROUP BY 1",
+        "seen_in_index": "WITH f AS (SELECT sha256(text) AS fp FROM documents GROUP BY 1 HAVING count(*) > 1 UNION SELECT sha256(text) FROM conversations) "
+        "SELECT doc_id, sha256(text) IN (SELECT fp FROM f) AS seen FROM documents",
         "csv_export": f"WITH {REQ} SELECT strftime(date_trunc('second', timestamp), '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(timestamp) // 1000 % 1000)::VARCHAR, 3, '0') "
         "|| 'Z' AS timestamp, user_id::VARCHAR AS api_key, '00000000' AS origin_hash, "
         "'\"say \\\"' || status || '\\\"\"' AS raw_preview, '\"' || status || '\"' AS redacted_prompt, action, "
@@ -801,7 +808,7 @@ def build() -> dict[str, str]:
                 ("aws_key", "AWS_KEY"), ("jwt", "JWT"), ("anthropic_key", "ANTHROPIC_KEY"), ("bearer_token", "BEARER_TOKEN"),
             )
         ) + " FROM s",
-        "encoded_round_trip": f"{scanned()}, f AS (SELECT unnest(types) AS type FROM s) SELECT type, count(*) AS n FROM f GROUP BY 1",
+        "encoded_round_trip": f"{scanned()}, f AS (SELECT unnest(types) AS type FROM s) SELECT type, count(*) AS n, 0::BIGINT AS lost, 0::BIGINT AS invented FROM f GROUP BY 1",
     }
     runs = "regexp_extract_all(base, '[A-Za-z0-9+/]{8,}={0,2}')"
     pad = "(length(r) - length(rtrim(r, '=')))"

@@ -232,15 +232,15 @@ def encoded_readable(spark, sf_dir):
 
 @query
 def encoded_round_trip(spark, sf_dir):
-    """Every text is encoded once and rescanned: findings come back with one prefix."""
+    """Every text is encoded once and rescanned: what is found plainly, found again with one prefix, lost, or invented."""
     d = texts(spark, sf_dir)
-    plain = scan.scan_types(d, encoded=False).select("doc_id", "detections")
-    sealed = d.select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("text"))
-    sealed = sealed.select("doc_id", F.regexp_replace("text", r"\s", "").alias("text"))
-    hidden = findings.encoded_findings(sealed, ["doc_id"]).filter("depth = 1")
-    hidden = hidden.select("doc_id", F.expr("substring(type, 8)").alias("type"))
-    shown = plain.select("doc_id", F.explode("detections").alias("type"))
-    return shown.join(hidden, ["doc_id", "type"], "left_semi").groupBy("type").agg(F.count("*").alias("n"))
+    sealed = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
+    plain = scan.scan_types(d.select("doc_id", "text", sealed.alias("sealed")), encoded=False)
+    both = scan.scan_types(plain.select("doc_id", "sealed", F.col("detections").alias("plain")), "sealed")
+    inner = F.transform(F.filter("detections", lambda t: t.rlike("^BASE64_(?!BASE64_)")), lambda t: F.substring(t, 8, 100))
+    rows = both.select("plain", inner.alias("hidden")).select("plain", "hidden", F.explode(F.array_union("plain", "hidden")).alias("type"))
+    shown, again = F.array_contains("plain", F.col("type")), F.array_contains("hidden", F.col("type"))
+    return rows.groupBy("type").agg(F.count_if(shown & again).alias("n"), F.count_if(~again).alias("lost"), F.count_if(~shown).alias("invented"))
 
 
 # --- views ------------------------------------------------------------------------------
@@ -464,6 +464,29 @@ def retention_keep(spark, sf_dir):
     return kept.groupBy("dt").agg(F.count("*").alias("n")).select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), "n")
 
 
+@query
+def retention_purge(spark, sf_dir):
+    """The audit table purged in place: old dates dropped, the cutoff's date rewritten, later files untouched."""
+    path = f"{_run_folder(spark, 'audit')}/log"
+    writers.append_audit(_audit(spark, sf_dir), path)
+    writers.purge_dates(spark, path, AS_OF - dt.timedelta(hours=7), days=10)
+    kept = spark.read.parquet(path)
+    return kept.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("n"))
+
+
+@query
+def seen_in_index(spark, sf_dir):
+    """Texts looked up in a bucketed table of all fingerprints that occur in conversations or more than once."""
+    d = table(spark, sf_dir, "documents")
+    twice = audit.repeats(d, "text", "doc_id").select(F.col("fingerprint").alias("redacted_fingerprint"))
+    said = table(spark, sf_dir, "conversations").select(checks.fingerprint(F.col("text")).alias("redacted_fingerprint"))
+    run = _run_folder(spark, "index")
+    name = f"umbrascan_{uuid.uuid4().hex}"
+    writers.fingerprint_index(twice.union(said), name, run, buckets=spark.sparkContext.defaultParallelism)
+    seen, new = audit.split_seen_indexed(d, spark.table(name), "text")
+    return seen.select("doc_id", F.lit(True).alias("seen")).union(new.select("doc_id", F.lit(False)))
+
+
 @query
 def audit_rows(spark, sf_dir):
     """Audit rows of the documents."""
@@ -490,12 +513,20 @@ def leak_audit(spark, sf_dir):
 
 @query
 def encryption_round_trip(spark, sf_dir):
-    """Seal, rotate half of the key ids, verify."""
-    old, new = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
+    """Odd documents sealed with an old key that is rotated, even ones with a key that is not; some damaged, some of a
+    key that nobody has.  What opens is compared with the fingerprint of the clear text."""
+    keys = {k: F.substring(F.sha2(F.lit(k), 256), 1, 32) for k in ("k1", "k2", "k3", "lost")}
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted_prompt"))
-    sealed = audit.encrypt(d, old, "k1")
-    rotated = audit.rotate_key(sealed, {"k1": old}, new, "k2")
-    return audit.verify_encryption(rotated, {"k1": old, "k2": new})
+    d = d.withColumn("redacted_fingerprint", checks.fingerprint(F.col("redacted_prompt")))
+    old, kept = audit.encrypt(d.filter("doc_id % 2 = 1"), keys["k1"], "k1"), audit.encrypt(d.filter("doc_id % 2 = 0 AND doc_id % 14 <> 0"), keys["k3"], "k3")
+    lost = audit.encrypt(d.filter("doc_id % 14 = 0"), keys["lost"], "lost")
+    sealed = old.unionByName(kept).unionByName(lost)
+    bad = F.col("doc_id") % 11 == 0
+    cut = F.expr("left(redacted_prompt_ciphertext, 24)")
+    other = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(F.col("redacted_fingerprint"))
+    sealed = sealed.withColumns({"redacted_prompt_ciphertext": F.when(bad, cut).otherwise(F.col("redacted_prompt_ciphertext")), "redacted_fingerprint": other})
+    rotated = audit.rotate_key(sealed, {"k1": keys["k1"]}, keys["k2"], "k2")
+    return audit.verify_encryption(rotated, {k: keys[k] for k in ("k1", "k2", "k3")})
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -32,6 +32,48 @@ def purge_to(rows: DataFrame, as_of: dt.datetime, path: str, days: int = 90) ->
     audit.purge(rows, as_of, days).write.mode("errorifexists").partitionBy("dt").parquet(path)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """The store's file system and a path in it, whatever store Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def purge_dates(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 90) -> dict[str, list[dt.date]]:
+    """Rows older than the cutoff leave the date-partitioned table at ``path``, in place.
+
+    Folders of older dates are dropped as a whole; only the cutoff's own date is rewritten, from a copy in the shared folder;
+    files of later dates are not touched.  Returns the dates dropped and rewritten.  A run that was cut short can be
+    repeated.  Rows without a date stay.
+    """
+    from ..operators import blocks
+
+    cutoff = as_of - dt.timedelta(days=days)
+    log = spark.read.parquet(path)
+    dates = [r["dt"] for r in log.select(F.col("dt").cast("date").alias("dt")).distinct().collect() if r["dt"] is not None]
+    old, edge = sorted(d for d in dates if d < cutoff.date()), [d for d in dates if d == cutoff.date()]
+    store, _ = _hadoop_path(spark, path)
+    for date in old:
+        store.delete(_hadoop_path(spark, f"{path}/dt={date.isoformat()}")[1], True)
+    if edge:
+        at_edge = spark.read.parquet(path).filter(F.col("dt") == F.lit(edge[0]))
+        kept = blocks.written(at_edge.filter(F.col("timestamp") >= F.lit(cutoff)), "edge")
+        if kept.isEmpty():
+            store.delete(_hadoop_path(spark, f"{path}/dt={edge[0].isoformat()}")[1], True)
+        else:
+            replace_dates(kept, path)
+    return {"dropped": old, "rewritten": edge}
+
+
+def fingerprint_index(log: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """The distinct fingerprints of a log as a table in buckets, so that look-ups need not shuffle the log.
+
+    The table is saved under ``name`` with its files at ``path``; the number of buckets is that of the look-ups' tasks.
+    """
+    distinct = log.select("redacted_fingerprint").filter("redacted_fingerprint IS NOT NULL").distinct()
+    placed = distinct.repartition(buckets, "redacted_fingerprint")
+    placed.write.bucketBy(buckets, "redacted_fingerprint").sortBy("redacted_fingerprint").option("path", path).saveAsTable(name)
+
+
 def csv_view(log: DataFrame) -> DataFrame:
     """The eight export columns: ISO time, JSON-quoted texts, types joined by a pipe."""
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
