@@ -109,38 +109,40 @@ def decode_block(payload: bytes, t: Tables, only: int | None = None) -> np.ndarr
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, key: str, text: str) -> DataFrame:
-    """``key``, the packed ids with the end id, and their CRC as a tie-break for repeated keys."""
-    kind = docs.schema[key].dataType.simpleString()
+    """``key`` and the packed ids with the end id; every task adds a row without ids whose ``counts`` are those of its ids."""
+    kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = once(("ids", path), lambda: LibraryIds(path, pattern))
         end = np.array([end_id], library.kind).tobytes()
+        total, key_kind = np.zeros(library.vocab_size, np.int64), None
         for batch in batches:
+            key_kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 packed = [library.packed(t) + end for t in strings(part.column(1))]
-                ties = pa.array([zlib.crc32(p) for p in packed], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), binaries(packed), ties], [key, "ids", "tie"])
+                total += np.bincount(np.frombuffer(b"".join(packed), library.kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries(packed), pa.nulls(len(packed), pa.binary())], [key, "ids", "counts"])
+        if key_kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_kind), pa.nulls(1, pa.binary()), binaries([total.astype("<i8").tobytes()])], [key, "ids", "counts"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids binary, tie long")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, kind: str) -> dict[int, int]:
-    """Occurrences of each id over all documents: at most one row per id of the vocabulary reaches the driver."""
+def count_ids(tokens: DataFrame) -> dict[int, int]:
+    """Occurrences of each id over all documents, from the tasks' counts; at most a row per id of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), kind)
-                part = np.bincount(ids, minlength=len(total))
-                part[: len(total)] += total
-                total = part
+            for cell in batch.column(0):
+                part = np.frombuffer(cell.as_py(), "<i8")
+                total = part + (total if len(total) else 0)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counted.collect()}
+    parts = tokens.filter("counts IS NOT NULL").select("counts")
+    return {r["id"]: r["n"] for r in parts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def _blocks(tables: Tables, kind: str, block: int):
@@ -181,9 +183,10 @@ def write(
     columns are not written.  Part and block numbers give the order of the blocks.
     """
     kind = "<u2" if _vocab(path) <= 1 << 16 else "<u4"
-    tokens = stored(tokenized(docs, path, pattern, end_id, key, text).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    counts = count_ids(tokens, kind)
-    ordered = tokens.repartitionByRange(key, "tie", "row").sortWithinPartitions(key, "tie", "row").select(key, "ids")
+    tokens = tokenized(docs, path, pattern, end_id, key, text).withColumn("row", F.monotonically_increasing_id())
+    tokens = stored(tokens, "tokens")
+    counts = count_ids(tokens)
+    ordered = tokens.filter("ids IS NOT NULL").select(key, "row", "ids").repartitionByRange(key, "row").sortWithinPartitions(key, "row").select(key, "ids")
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"part int, block int, n long, payload binary, crc long, ids_crc long, keys array<{key_type}>, sizes array<long>"
     blocks = ordered.mapInArrow(_blocks(Tables(counts), kind, block), schema)
