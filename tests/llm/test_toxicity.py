@@ -73,3 +73,56 @@ def test_one_class_only(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
     assert {r["predicted"] for r in T.score(df, T.fit(df, labels)).collect()} == {0}
     assert {r["predicted"] for r in T.score(df, T.fit(df, labels.limit(0))).collect()} == {0}
+
+
+def plain_logit(m, words):
+    """One window, step by step."""
+    p, n = m.p, T.HIDDEN
+    x = T.inputs(m, words) if words else np.zeros((0, T.WIDTH))
+    x = np.concatenate([x, np.zeros((T.WINDOW - len(words), T.WIDTH))])
+    states = {}
+    for way, steps in (("f", range(T.WINDOW)), ("b", range(T.WINDOW - 1, -1, -1))):
+        h = np.zeros(n)
+        for t in steps:
+            g, s = x[t] @ p["w" + way] + p["c" + way], h @ p["u" + way]
+            z, r = 1 / (1 + np.exp(-(g[:n] + s[:n]))), 1 / (1 + np.exp(-(g[n : 2 * n] + s[n : 2 * n])))
+            c = np.tanh(g[2 * n :] + r * s[2 * n :])
+            h = (1 - z) * c + z * h
+            states[way, t] = h
+    h = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(T.WINDOW)])
+    e = np.exp(np.tanh(h @ p["a"]) @ p["v"])
+    return float((e / e.sum()) @ h @ p["o"] + p["d"][0])
+
+
+def test_scores_equal_a_plain_loop_over_all_windows():
+    docs = corpus(2, 80)
+    model = T.train([T.words_of(t) for _, t, _ in docs], [bool(y) for *_, y in docs], epochs=1)
+    texts = [t for _, t, _ in docs[:12]] + ["", None, "zyxw", "Ab-cd!  ÉÉ 字 zyxw", "word " * 500 + "qqpo"]
+    want = []
+    for text in texts:
+        words = T.words_of(text)
+        top = max(plain_logit(model, words[s : s + T.WINDOW]) for s in T.windows_of(len(words)).tolist())
+        want.append(1 / (1 + np.exp(-np.clip((top - model.cut) * model.slope, -60, 60))))
+    assert np.allclose(T.Scorer(model).scores(texts), want, atol=1e-4)
+
+
+def test_labels_that_no_single_word_carries():
+    """Toxic is "up" right before "down"; both words, and the reverse order, are as frequent in clean texts."""
+    rng = random.Random(6)
+    words = [w.encode() for w in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st")]
+
+    def text(bad):
+        out = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        for pair in [[b"down", b"up"], [b"up", rng.choice(words), b"down"]] + [[b"up", b"down"]] * bad:
+            at = rng.randrange(len(out) + 1)
+            while 0 < at < len(out) and {out[at - 1], out[at]} & {b"up", b"down"}:
+                at = rng.randrange(len(out) + 1)
+            out[at:at] = pair
+        return out
+
+    bad = [i % 2 == 0 for i in range(1200)]
+    docs = [text(b) for b in bad]
+    assert not T._signals(docs[:900], bad[:900])
+    model = T.train(docs[:900], bad[:900])
+    found = T.Scorer(model).tops(docs[900:]) > model.cut
+    assert (found == np.array(bad[900:])).mean() > 0.8

@@ -3,8 +3,9 @@
 A word's input is its own vector (zero for words not seen in training) plus the vectors of its hashed character
 3- and 4-grams.  Texts are read in windows of ``WINDOW`` words that overlap by half, all of them; a text's score comes
 from its highest window.  Only labels say what is toxic, and only of whole documents: training starts from windows that
-hold a word or character gram much more frequent in toxic documents, and goes on with false alarms of clean documents
-and the windows that the network itself finds in toxic ones.
+hold a word or character gram much more frequent in toxic documents, or, of toxic documents without one, from all their
+windows.  It goes on with false alarms of clean documents and the window of each toxic document that the network itself
+finds highest, so labels that no single word carries are learned as well.
 """
 
 from __future__ import annotations
@@ -206,18 +207,20 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 4, seed: int
         x = b"^" + w + b"$"
         return max([signals.get(w, 0.0), *(signals.get(b"~" + x[i : i + 5], 0.0) for i in range(len(x) - 4))])
 
-    strong = {w: s for w in df if (s := strength(w)) > 0}
-    positive, negative = [], []
+    strong = {w for w in df if strength(w) > 0}
+    negative: list[list[bytes]] = []
+    suspects: list[list[list[bytes]]] = []  # windows of each toxic document
+    marked: list[list[bytes]] = []
+    unmarked: list[list[bytes]] = []
     for words, bad in zip(docs, toxic):
         spans = [words[s : s + WINDOW] for s in windows_of(len(words)).tolist()]
         if not bad:
             negative += spans
             continue
-        high = [max((strong.get(w, 0.0) for w in span), default=0.0) for span in spans]
-        positive += [s for s, x in zip(spans, high) if x > 0]
-    if not positive or not negative:  # the labels show nothing to learn from
-        m.cut = 1e3
-        return m
+        suspects.append(spans)
+        signs = [s for s in spans if not strong.isdisjoint(s)]
+        marked += signs
+        unmarked += spans if not signs else []
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items()}
     step, trained = 0, np.zeros(GRAMS + 1, bool)
 
@@ -248,11 +251,19 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 4, seed: int
                         trained[rows] = True
 
     sample = lambda spans, n: [spans[i] for i in rng.permutation(len(spans))[:n]]
-    positive = sample(positive, WINDOWS)
+    positive = sample(marked, WINDOWS)
+    positive += sample(unmarked, max(0, WINDOWS - len(positive)))
     fit(positive, sample(negative, 2 * len(positive)), epochs)
-    for _ in range(2):
+    hidden = len(unmarked) > len(marked)  # most toxic windows are still to be found
+    for _ in range(8 if hidden else 2):
         scorer = Scorer(m)
         alarms = [s for s, x in zip(negative, scorer.windows(negative)) if x > -2.0]
+        found = scorer.windows([s for spans in suspects for s in spans])
+        ends = np.cumsum([len(spans) for spans in suspects])
+        tops = [spans[int(np.argmax(found[end - len(spans) : end]))] for spans, end in zip(suspects, ends.tolist())]
+        known = {tuple(s) for s in marked}
+        positive = sample(marked, WINDOWS)
+        positive += sample([s for s in tops if tuple(s) not in known], max(0, WINDOWS - len(positive)))
         fit(positive, sample(alarms, len(positive)) + sample(negative, len(positive)), 2)
     m.p["gram"][~trained] = 0
     tops = Scorer(m).tops(docs)
