@@ -67,3 +67,34 @@ def test_neighbours_recall_on_embeddings(spark, sf):
         top = set(ids[np.lexsort((ids, -s))[:20]].tolist())
         hit, total = hit + len(top & found[ids[q]]), total + 20
     assert hit >= 0.9 * total
+
+
+def test_large_components(spark, vectors):
+    """One long vector changes nothing but its own scores; two that 64 bits can't hold are named."""
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.filter("vec_id < 120").collect()]
+    long = spark.createDataFrame([*rows, (121, [1e8, -3.0, 0.5, 0.0, 0.0, 0.0, 0.0, 1e8])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in exact_topk.search(long, F.col("id") % 20 == 0).collect()) == brute(long, 64, True)
+    two = long.union(spark.createDataFrame([(140, [1e9] * 8)], long.schema))
+    with pytest.raises(ValueError, match="vec_id 140 and 121"):
+        exact_topk.search(two, F.col("id") % 20 == 0)
+    for big in (1e8, 1e200, 1e308):
+        df = spark.createDataFrame([*rows, (121, [big, -3.0, 0.5, 0.0, 0.0, 0.0, 0.0, big]), (140, [big] * 8)], long.schema)
+        got = neighbours.search(df, F.col("id") % 20 == 0).collect()
+        kept = {i for i, v in rows if i is not None and any(v)} | {121, 140}
+        assert len(got) == 20 * len([i for i in kept if i % 20 == 0])
+    tiny = spark.createDataFrame([(i, [x * 1e-200 for x in v] if v else v) for i, v in rows], long.schema)
+    assert neighbours.search(tiny, F.col("id") % 20 == 0).count() > 0
+
+
+def test_few_vectors_are_verified():
+    """Recall of the index together with the share that it verifies."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 64))
+    x = centres[rng.integers(0, 60, 4000)] + 0.8 * rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked, hit, seen = x[::40], 0, 0
+    for part, mask in neighbours.candidates(x, asked, 1.0, 21, neighbours.LINES, neighbours.THRESHOLD, neighbours.BETA):
+        top = np.argsort(-(asked[part] @ x.T), axis=1)[:, :20]
+        hit += np.take_along_axis(mask, top, axis=1).sum()
+        seen += mask.sum()
+    assert hit >= 0.9 * 20 * len(asked) and seen < 0.2 * len(asked) * len(x)

@@ -19,6 +19,8 @@ from umbrascan.llm.shared import stored
 from umbrascan.llm.vectors import best, deal, matrix, meet, with_queries
 
 BINS, ROWS = 1024, 256
+#: bound of the product of the two largest norms, below which all scores and their partial sums are exact in 64 bits
+MOST = 2.0**61
 
 
 def _scores(asked: pa.Table, rows: pa.Table, width: int, exact: bool):
@@ -70,16 +72,26 @@ def _at_least(width: int, exact: bool, k: int):
     return run
 
 
+def _floor(x: Column) -> Column:
+    """The floor as a double; from 2**53 on, doubles are whole."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding", scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of highest inner product of ``floor(scale * x)``.
 
     ``is_query`` is a condition on ``id``.  A query's own row is no candidate.  Null ids, null vectors and vectors with
-    null or non-finite components take no part; a repeated id counts once; a shorter vector is filled with zeros.
+    null or non-finite components take no part; a repeated id counts once; a shorter vector is filled with zeros.  If two
+    rows are so long that their score might not fit 64 bits, a ``ValueError`` names them: scores are never rounded.
     """
-    d = deal(df, key, vec, lambda x: F.floor(F.lit(scale) * x).cast("double"))
+    d = deal(df, key, vec, lambda x: _floor(F.lit(scale) * x))
+    if not d.largest < MOST:
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        ids = [str(r["id"]) for r in d.data.orderBy(square.desc(), "id").limit(2).collect()]
+        raise ValueError(f"{key} {' and '.join(ids)}: components too large for scores of 64 bits")
     d, queries = with_queries(d, is_query)
     exact = d.largest < 2.0**52
-    most = int(d.largest) + 1
+    most = int(d.largest * (1 + 1e-9)) + 2
     wanted = min(k, d.n - 1)
     asked = queries.withColumns({"lo": F.lit(-most).cast("long"), "hi": F.lit(most + 1).cast("long"), "above": F.lit(0).cast("long")})
     span = 2 * most + 1

@@ -19,7 +19,8 @@ SHARD, BLOCK, LEAST_SHARDS = 4096, 4096, 32
 
 
 class Dealt(NamedTuple):
-    """``data`` (id, v), as many rows as ``n``, ``shards`` and query ``blocks``; the widest vector and largest norm squared."""
+    """``data`` (id, v), as many rows as ``n``, ``shards`` and query ``blocks``; the widest vector, and a bound of the inner
+    products of different rows: the product of the two largest norms."""
 
     data: DataFrame
     n: int
@@ -29,7 +30,7 @@ class Dealt(NamedTuple):
     blocks: int
 
 
-def deal(df: DataFrame, key: str, vec: str, each: Column) -> Dealt:
+def deal(df: DataFrame, key: str, vec: str, each: Column, least_shards: int = LEAST_SHARDS) -> Dealt:
     """Clean vectors, one per id: components ``each`` of ``x``, without null ids, null vectors or bad components.
 
     Rows that repeat an id count once, with the smallest vector.
@@ -40,8 +41,9 @@ def deal(df: DataFrame, key: str, vec: str, each: Column) -> Dealt:
     rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("v", F.transform("v", each))
     data = stored(rows, "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, width, largest = data.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
-    return Dealt(data, n, width or 0, largest or 0.0, max(LEAST_SHARDS, -(-n // SHARD)), 0)
+    n, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
+    norms = [r["s"] ** 0.5 for r in data.select(square.alias("s")).orderBy(F.desc("s")).limit(2).collect()]
+    return Dealt(data, n, width or 0, norms[0] * norms[1] if len(norms) > 1 else 0.0, max(least_shards, -(-n // SHARD)), 0)
 
 
 def with_queries(d: Dealt, of: Column) -> tuple[Dealt, DataFrame]:
