@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from umbrascan.llm.shared import stored
 
 
+#: links in a file of a round's table
+LINKS = 1_000_000
+
+
 def _large(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -29,9 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     component is split like any skewed join.
     """
     now = stored(links.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u != v"), "links")
+    files = now.count() // LINKS + 1  # later rounds hold about as many, or fewer
     mark = None
     while True:
-        now = stored(_small(_large(now)), "links")
+        now = stored(_small(_large(now)).coalesce(files), "links")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -76,9 +76,12 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+SPACE = LETTERS[32]
 
 
 def spelled(piece: str) -> str:
+    if piece.isascii() and (word := piece[1:]).isalpha() and piece[0] == " ":
+        return SPACE + word
     return piece.encode().decode("latin-1").translate(LETTERS)
 
 
@@ -119,7 +122,7 @@ class LibraryIds:
     library does.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 112 << 20):
+    def __init__(self, path: str, pattern: str, room: int = 100 << 20):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -130,9 +133,9 @@ class LibraryIds:
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._latin = latin_pattern(pattern).findall
         self._pre, self._model = tok.pre_tokenizer, tok.model
-        self._raw = Cache(lambda p: self._merge(spelled(p)), room * 3 // 8)
+        self._raw = Cache(lambda p: self._merge(spelled(p)), room // 5)
         self._other = Cache(self._merge, room // 8)
-        self._chunks = Cache(self._chunk, room // 2)
+        self._chunks = Cache(self._chunk, room)
 
     def _merge(self, piece: str) -> bytes:
         return array(self.code, [t.id for t in self._model.tokenize(piece)]).tobytes()
@@ -140,7 +143,8 @@ class LibraryIds:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Joined
-        return self._pieces(" " + chunk)
+        # long pieces are cached with their chunk, or not at all: most of them come in one chunk only
+        return b"".join([self._raw[p] if len(p) < 4 else self._merge(spelled(p)) for p in self._latin(" " + chunk)])
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self._raw.__getitem__, self._latin(text)))

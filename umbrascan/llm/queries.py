@@ -113,7 +113,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.write_and_read(table(spark, sf_dir, "documents"), path, PATTERN, 2).drop("ids")
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), path, PATTERN, 2, with_ids=False).drop("ids")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,8 +202,8 @@ def _vocab(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(True)
 
 
-def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """One row per document of a file set: key, start, n_tokens, ids_crc32, and the packed ids.
+def read(spark: SparkSession, folder: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """One row per document of a file set: key, start, n_tokens, ids_crc32, and, if wanted, the packed ids.
 
     Blocks are decoded in parallel; a damaged payload, or a frequency table that gives other ids, fails the job.
     """
@@ -230,7 +230,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                     columns = [
                         pa.array(keys[at : at + n], batch.schema.field(5).type.value_type), pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()),
                         pa.array(starts[at : at + n], pa.int64()), pa.array(sizes[at : at + n], pa.int64()),
-                        pa.array([zlib.crc32(c) for c in some], pa.int64()), binaries(some),
+                        pa.array([zlib.crc32(c) for c in some], pa.int64()), binaries(some) if with_ids else pa.nulls(n, pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [key, "part", "block", "at", "n_tokens", "ids_crc32", "ids"])
 
@@ -245,8 +245,10 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     return out.select(key, (F.col("ahead") + F.col("inside") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def write_and_read(docs: DataFrame, path: str, pattern: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_and_read(
+    docs: DataFrame, path: str, pattern: str, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True
+) -> DataFrame:
     """Writes a file set below the shared folder and reads it back."""
     folder = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write(docs, folder, path, pattern, end_id, key, text)
-    return read(docs.sparkSession, folder, key)
+    return read(docs.sparkSession, folder, key, with_ids)
