@@ -443,7 +443,7 @@ FULL = CORE + [
 SPAN_GONE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in tables.INVISIBLE_SPANS) + "]"
 
 
-def _span_views() -> str:
+def _span_views(source: str = "SELECT doc_id, text FROM documents") -> tuple[str, tuple[str, str, str]]:
     """The views of the span profile, each with what leads back to the raw text.
 
     Offsets count characters, so lists of kept positions lead back from a view to the one before.  Readable base64
@@ -451,8 +451,8 @@ def _span_views() -> str:
     """
     space = has("leet[i]", r"\s") + " AND i > 1 AND " + has("leet[i - 1]", r"\s")
     return (
-        f"v AS MATERIALIZED (SELECT doc_id, text AS raw, regexp_replace(text, {q(SPAN_GONE)}, '', 'g') AS clean FROM documents), "
-        f"w AS MATERIALIZED (SELECT doc_id, raw, {_translate('clean', tables.span_alphabet())} AS folded FROM v), "
+        f"v AS MATERIALIZED (SELECT doc_id, text AS raw, regexp_replace(text, {q(SPAN_GONE)}, '', 'g') AS clean FROM ({source})), "
+        f"w AS MATERIALIZED (SELECT doc_id, raw, clean, {_translate('clean', tables.span_alphabet())} AS folded FROM v), "
         f"y AS MATERIALIZED (SELECT *, {_translate('folded', tables.LEET_SPANS)} AS leet FROM w), "
         "z AS MATERIALIZED (SELECT *, regexp_replace(leet, '\\s+', ' ', 'g') AS decoded FROM y), "
         "x AS MATERIALIZED (SELECT doc_id, raw, leet, decoded, 0 AS n, 'folded' AS view, folded AS seen FROM z "
@@ -466,9 +466,9 @@ def _span_views() -> str:
     )
 
 
-def _spans_sql() -> str:
+def _spans_sql(source: str = "SELECT doc_id, text FROM documents") -> str:
     """Direct matches of every view, the fallback rules where a view has none, each value once, with its place in the raw text."""
-    views, (raw_at, leet_at, decoded_at) = _span_views()
+    views, (raw_at, leet_at, decoded_at) = _span_views(source)
     word_l, word_r = "(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])"
     direct = []
     for i, (type_, pattern) in enumerate(S.PATTERNS):
@@ -847,6 +847,33 @@ def build() -> dict[str, str]:
         "CASE WHEN coalesce(raw, '') = '' THEN 'not-run' WHEN len(types) > 0 THEN "
         "'contains_detection:' || array_to_string(types, ',') ELSE 'clean' END AS moderation FROM s"
     )
+    # span profile
+    blocking = "['AADHAAR', 'PAN', 'PASSPORT_IN', 'CREDIT_CARD', 'API_KEY']"
+    act = f"CASE WHEN types IS NULL THEN '{{clean}}' WHEN list_has_any(types, {blocking}) THEN 'block' ELSE 'redact' END"
+    out["span_actions"] = (
+        f"WITH h AS ({_spans_sql()}), t AS (SELECT doc_id, list(DISTINCT type) AS types FROM h GROUP BY 1) "
+        f"SELECT {act.format(clean='allow')} AS action, count(*) AS n, sum(coalesce(len(types), 0))::BIGINT AS types FROM documents LEFT JOIN t USING (doc_id) GROUP BY 1"
+    )
+    turns = "SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS doc_id, text FROM conversations WHERE role = 'user'"
+    octets = "regexp_extract_all(hex(encode(s)), '..')"
+    octet = "((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::HUGEINT"
+    out["request_log"] = (
+        f"WITH h AS ({_spans_sql(turns)}), t AS (SELECT doc_id, list(DISTINCT type) AS types FROM h GROUP BY 1), "
+        "c AS (SELECT conv_id::VARCHAR AS api_key, text, conv_id::VARCHAR || substr(text, 1, 16) AS s, types FROM conversations "
+        "LEFT JOIN t ON doc_id = conv_id::VARCHAR || ':' || turn::VARCHAR WHERE role = 'user') "
+        f"SELECT api_key, lower(lpad(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform({octets}, lambda x: {octet})), "
+        "lambda h, b: ((xor(h, b)) * 16777619) % 4294967296)::BIGINT), 8, '0')) AS origin_hash, "
+        f"CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS raw_preview, {act.format(clean='pass')} AS action FROM c"
+    )
+    steps = [
+        ("Raw input", "raw", "false"), ("Zero-width stripped", "clean", "clean <> raw"), ("Homoglyph normalized", "folded", "folded <> clean"),
+        ("De-leeted", "leet", "leet <> folded"), ("Base64 recursively decoded", "decoded", "false"),
+        ("Delimiters compressed", "regexp_replace(decoded, '[^A-Za-z0-9_]', '', 'g')", "true"),
+    ]
+    out["span_steps"] = f"WITH {_span_views()[0].rstrip(', ')} " + " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS n, '{name}' AS name, count(*) FILTER ({changed}) AS changed, sum(length({text}))::BIGINT AS chars FROM z"
+        for i, (name, text, changed) in enumerate(steps)
+    )
     # planted values
     out["planted_types"] = f"{planted_types_sql()}, u AS (SELECT plant, alone, unnest(types) AS type FROM f) SELECT plant, alone, type, count(*) AS n FROM u GROUP BY ALL"
     out["planted_decisions"] = (
