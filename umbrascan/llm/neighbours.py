@@ -3,8 +3,8 @@
 Vectors get one more component, so that the largest inner product becomes the least distance.  Each of ``m`` random
 lines sorts a shard's vectors by projection.  A query opens a window around its own projection on every line; virtual
 rehashing widens all windows by ``GROWTH`` until ``k + LEAST + beta * rows`` vectors, or all, fall into at least ``threshold``
-of them, and then halves the last step REFINED times, so that few more than these are left.  Only those are verified, on
-the original vectors.  Measured with the defaults on unit vectors of 64 components: see the README.
+of them.  Only those are verified, on the original vectors.  Windows of later queries start at the narrowest one that
+PILOT queries of the shard needed.  Measured with the defaults on unit vectors of 64 components: see the README.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from umbrascan.llm.vectors import best, deal, matrix, meet, with_queries
 
-LINES, THRESHOLD, BETA, LEAST, START, GROWTH, REFINED, ROWS = 160, 0.75, 0.1, 120, 0.6, 1.2, 3, 256
+LINES, THRESHOLD, BETA, LEAST, START, GROWTH, PILOT, ROWS = 128, 0.75, 0.08, 120, 0.5, 1.06, 24, 256
 
 
 def _lines(width: int, lines: int) -> np.ndarray:
@@ -40,34 +40,25 @@ def candidates(data: np.ndarray, queries: np.ndarray, largest: float, k: int, li
     asked = (queries * (unit / np.where(length > 0, length, 1))[:, None]) @ axes[:-1]
     need = int(np.ceil(threshold * lines))
     enough = min(n, k + LEAST + int(np.ceil(beta * n)))
-    for at in range(0, len(queries), ROWS):
-        spot = asked[at : at + ROWS]
-        mask = np.zeros((len(spot), n), bool)
-
-        def collided(which: np.ndarray, half: np.ndarray, spot: np.ndarray = spot) -> np.ndarray:
-            """Vectors in at least ``need`` of the windows of these queries."""
-            hits = np.zeros((len(which), n), np.uint8)
+    def widened(spot: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in at least ``need`` windows of each query, and the half width of its windows."""
+        mask, reached = np.zeros((len(spot), n), bool), np.zeros(len(spot))
+        open_ = np.arange(len(spot))
+        while len(open_):
+            hits = np.zeros((len(open_), n), np.uint8)
             for j in range(lines):
-                low = np.searchsorted(values[:, j], spot[which, j] - half, "left").astype(rank.dtype)[:, None]
-                size = np.searchsorted(values[:, j], spot[which, j] + half, "right").astype(rank.dtype)[:, None] - low
+                low = np.searchsorted(values[:, j], spot[open_, j] - half, "left").astype(rank.dtype)[:, None]
+                size = np.searchsorted(values[:, j], spot[open_, j] + half, "right").astype(rank.dtype)[:, None] - low
                 hits += (rank[j] - low) < size  # unsigned: below the window wraps around
-            return hits >= need
-
-        open_, half = np.arange(len(spot)), START * unit
-        reached = np.zeros(len(spot))
-        while len(open_):
-            got = collided(open_, np.full(len(open_), half))
+            got = hits >= need
             ended = got.sum(axis=1) >= enough
             mask[open_[ended]], reached[open_[ended]] = got[ended], half
             open_, half = open_[~ended], half * GROWTH
-        every, low, high = np.arange(len(spot)), reached / GROWTH, reached
-        for _ in range(REFINED):
-            middle = (low + high) / 2
-            got = collided(every, middle)
-            ended = got.sum(axis=1) >= enough
-            mask[ended] = got[ended]
-            low, high = np.where(ended, low, middle), np.where(ended, middle, high)
-        yield slice(at, at + ROWS), mask
+        return mask, reached
+
+    begin = widened(asked[:PILOT], START * unit)[1].min() if len(asked) else 0.0
+    for at in range(0, len(queries), ROWS):
+        yield slice(at, at + ROWS), widened(asked[at : at + ROWS], begin)[0]
 
 
 def _search(width: int, scale: float, largest: float, k: int, lines: int, threshold: float, beta: float):
