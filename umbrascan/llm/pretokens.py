@@ -122,7 +122,7 @@ class LibraryIds:
     library does.
     """
 
-    def __init__(self, path: str, pattern: str, room: int = 100 << 20):
+    def __init__(self, path: str, pattern: str, room: int = 130 << 20):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -131,6 +131,7 @@ class LibraryIds:
         self.kind = {"H": "<u2", "I": "<u4"}[self.code]
         self.special = {t.content: array(self.code, [i]).tobytes() for i, t in tok.get_added_tokens_decoder().items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._first = sorted({t[0] for t in self.special})
         self._latin = latin_pattern(pattern).findall
         self._pre, self._model = tok.pre_tokenizer, tok.model
         self._raw = Cache(lambda p: self._merge(spelled(p)), room // 5)
@@ -161,7 +162,7 @@ class LibraryIds:
             return self._pieces(text)
 
     def packed(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(c in text for c in self._first) and any(s in text for s in self.special):
             return b"".join(self.special.get(p) or self._plain(p) for p in self._cut.split(text))
         return self._plain(text)
 
