@@ -38,13 +38,14 @@ def section_expectations(spark: SparkSession, sections: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "section string, expect_redact boolean")
 
 
-def corpus_accuracy(scanned: DataFrame, expectations: DataFrame, by_section: bool = True) -> DataFrame:
+def corpus_accuracy(scanned: DataFrame, expectations: DataFrame, by_section: bool = True, weight: str | None = None) -> DataFrame:
     """Correct, false positives and false negatives, per section or in total.
 
     Sections without an expectation row are expected to be redacted.  Counts are taken per section first, so that only a row
-    per section and outcome meets the expectations.
+    per section and outcome meets the expectations.  ``weight`` is how many texts a row stands for.
     """
-    outcomes = scanned.groupBy("section", F.coalesce("redact", F.lit(False)).alias("redact")).agg(F.count("*").alias("__n"))
+    rows_of = F.count("*") if weight is None else F.sum(weight)
+    outcomes = scanned.groupBy("section", F.coalesce("redact", F.lit(False)).alias("redact")).agg(rows_of.alias("__n"))
     judged = outcomes.join(expectations, "section", "left")
     expected = F.coalesce("expect_redact", F.lit(True))
     actual = F.col("redact")
@@ -124,6 +125,11 @@ def quality(confused: DataFrame) -> DataFrame:
     )
 
 
+def lost_types(before: Column, after: Column) -> Column:
+    """O2 inside a row: types of an earlier run that a later one no longer reports."""
+    return F.array_except(before, after)
+
+
 def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings of an earlier run that a later run no longer reports."""
     return before.exceptAll(after)

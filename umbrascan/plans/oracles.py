@@ -847,6 +847,19 @@ def build() -> dict[str, str]:
         "CASE WHEN coalesce(raw, '') = '' THEN 'not-run' WHEN len(types) > 0 THEN "
         "'contains_detection:' || array_to_string(types, ',') ELSE 'clean' END AS moderation FROM s"
     )
+    # written tables, read back
+    out["stored_audit"] = out["stream_audit"] = out["audit_rows"]
+    out["report_tables"] = (
+        out["case_precision_recall"].replace("WITH ", "SELECT m.*, cases, chars FROM (WITH ", 1) + ") m JOIN (SELECT CASE WHEN toxic = 1 THEN 'adversarial' "
+        "WHEN quality = 1 THEN 'negative' ELSE 'positive' END AS label, count(*) AS cases, sum(length(text))::BIGINT AS chars "
+        "FROM documents JOIN labels USING (doc_id) GROUP BY 1) USING (label)"
+    )
+    out["failure_policy"] = (
+        f"{scanned()}, d AS (SELECT doc_id % 10 = 0 AS failed, {SEVERITY} AS severity FROM s), "
+        "m AS (SELECT unnest(['fail_open', 'fail_closed']) AS mode, * FROM d) "
+        "SELECT mode, CASE WHEN failed AND mode = 'fail_closed' THEN 'reject' ELSE 'ok' END AS status, "
+        "CASE WHEN failed THEN 'none' ELSE severity END AS severity, NOT failed AND severity = 'high' AS block, count(*) AS n FROM m GROUP BY ALL"
+    )
     # span profile
     blocking = "['AADHAAR', 'PAN', 'PASSPORT_IN', 'CREDIT_CARD', 'API_KEY']"
     act = f"CASE WHEN types IS NULL THEN '{{clean}}' WHEN list_has_any(types, {blocking}) THEN 'block' ELSE 'redact' END"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, views
 from ..operators import (
-    audit, conversation, decide, encoded, evaluate, findings, metrics, redact, scan, spans, windows,
+    audit, blocks, conversation, decide, encoded, evaluate, findings, metrics, redact, scan, spans, windows,
 )
 from ..operators.rules import PROFILES
 from ..sources import readers, writers
@@ -139,7 +139,7 @@ def html_pii_pages(spark, sf_dir):
 
 @query
 def severity_by_policy_join(spark, sf_dir):
-    found = findings.findings(texts(spark, sf_dir), ["doc_id"])
+    found = scan.scan_types(texts(spark, sf_dir), encoded=False).select("doc_id", F.explode("detections").alias("type"))
     policy = decide.severity_policy(spark)
     rows = findings.severity_of_rows(findings.with_severity(found, policy), ["doc_id"])
     return rows.groupBy("severity").agg(F.count("*").alias("n"), F.sum("n_types").alias("types"))
@@ -490,7 +490,56 @@ def seen_in_index(spark, sf_dir):
 @query
 def audit_rows(spark, sf_dir):
     """Audit rows of the documents."""
-    rows = jobs.detect_job(texts(spark, sf_dir), F.lit(AS_OF))
+    return _audit_columns(jobs.detect_job(texts(spark, sf_dir), F.lit(AS_OF)))
+
+
+@query
+def failure_policy(spark, sf_dir):
+    """Every tenth scan counts as failed; such texts pass unmarked or are rejected."""
+    s = decide.with_decision(scan.scan_types(texts(spark, sf_dir)), "standard")
+    s = s.withColumn("error", F.when(F.col("doc_id") % 10 == 0, F.lit("timeout")))
+    modes = [decide.failure_policy(s, mode=m).withColumn("mode", F.lit(m)) for m in ("fail_open", "fail_closed")]
+    both = modes[0].unionByName(modes[1])
+    return both.groupBy("mode", "status", "severity", "block").agg(F.count("*").alias("n"))
+
+
+@query
+def stored_audit(spark, sf_dir):
+    """Documents written and read as JSON lines, scanned, appended to the audit table and read back."""
+    run = _run_folder(spark, "stored")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("section"), "text")
+    lines.write.json(f"{run}/lines")
+    corpus = readers.read_corpus(spark, f"{run}/lines")
+    writers.append_audit(jobs.detect_job(spread(spark, corpus), F.lit(AS_OF), key_col="id"), f"{run}/log")
+    return _audit_columns(readers.read_audit(spark, f"{run}/log"))
+
+
+@query
+def stream_audit(spark, sf_dir):
+    """The document stream scanned into audit rows, read back."""
+    run = _run_folder(spark, "stream-audit")
+    table(spark, sf_dir, "documents").write.parquet(f"{run}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{run}/in").schema).parquet(f"{run}/in")
+    query = stream.audit_stream(source, f"{run}/log", f"{run}/checkpoint", timestamp=F.lit(AS_OF), available_now=True)
+    query.awaitTermination()
+    return _audit_columns(readers.read_audit(spark, f"{run}/log"))
+
+
+@query
+def report_tables(spark, sf_dir):
+    """The benchmark report, written as CSV and read back: its metric rows, and how many case rows it has."""
+    run = _run_folder(spark, "report")
+    facts = _case_labels(spark, sf_dir)
+    judged = decide.with_decision(scan.scan_types(texts(spark, sf_dir).join(facts, "doc_id")), "standard")
+    judged = blocks.written(judged.select("doc_id", "text", "label", "detections", "block"), "judged")
+    writers.write_report(judged, evaluate.precision_recall(judged), f"{run}/report")
+    cases = readers.read_csv(spark, f"{run}/report/cases", "text string, label string, detections string, block boolean")
+    rows = readers.read_csv(spark, f"{run}/report/metrics", "label string, samples long, tp long, fp long, fn long, precision double, recall double")
+    listed = cases.groupBy("label").agg(F.count("*").alias("cases"), F.sum(F.length("text")).alias("chars"))
+    return rows.join(listed, "label")
+
+
+def _audit_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id", "user_id", "redacted_fingerprint", F.array_join("detection_types", "|").alias("types"), "action",
         "severity", F.col("trace_metadata")["request_type"].alias("request_type"),
@@ -850,12 +899,15 @@ def label_precision_recall(spark, sf_dir):
 @query
 def case_precision_recall(spark, sf_dir):
     """E1 over labelled documents: good ones count as negatives, the rest as positives or adversarial."""
-    facts = table(spark, sf_dir, "labels").select(
+    judged = _predicted(spark, sf_dir, True).select("doc_id", "detections").join(_case_labels(spark, sf_dir), "doc_id")
+    return evaluate.precision_recall(judged)
+
+
+def _case_labels(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(
         "doc_id",
         F.when(F.col("toxic") == 1, "adversarial").when(F.col("quality") == 1, "negative").otherwise("positive").alias("label"),
     )
-    judged = _predicted(spark, sf_dir, True).select("doc_id", "detections").join(facts, "doc_id")
-    return evaluate.precision_recall(judged)
 
 
 @query
@@ -867,16 +919,22 @@ def corpus_accuracy(spark, sf_dir):
     return evaluate.corpus_accuracy(s, expectations)
 
 
+def _both_profiles(spark, sf_dir):
+    """Types by the hardened and the standard rules, in one pass over the texts."""
+    hard = scan.scan_types(texts(spark, sf_dir), profile="hardened").withColumnRenamed("detections", "hardened")
+    return scan.scan_types(hard).withColumnRenamed("detections", "standard").drop("text")
+
+
 @query
 def run_comparison(spark, sf_dir):
     """The hardened run against the standard one, per source."""
-    d = texts(spark, sf_dir)
+    found = _both_profiles(spark, sf_dir).select(F.col("source").alias("section"), *[(F.size(p) > 0).alias(p) for p in ("hardened", "standard")])
+    counted = blocks.written(found.groupBy("section", "hardened", "standard").agg(F.count("*").alias("texts")), "runs")
     none = evaluate.section_expectations(spark, ["none"])
     tables = []
     for profile in ("hardened", "standard"):
-        s = decide.with_decision(scan.scan_types(d, profile=profile), profile)
-        s = s.select(F.col("source").alias("section"), "redact")
-        tables.append(evaluate.corpus_accuracy(s, none).select("section", "total", "actual", "correct"))
+        rows = counted.withColumn("redact", F.col(profile))
+        tables.append(evaluate.corpus_accuracy(rows, none, weight="texts").select("section", "total", "actual", "correct"))
     return evaluate.compare_runs(*tables)
 
 
@@ -893,19 +951,21 @@ def bypass_rate(spark, sf_dir):
 
 @query
 def run_regressions(spark, sf_dir):
-    """Findings of the standard rules that the hardened rules no longer report."""
-    d = texts(spark, sf_dir)
-    before = findings.findings(d, ["doc_id"]).select("doc_id", "type").distinct()
-    after = findings.findings(d, ["doc_id"], profile="hardened").select("doc_id", "type").distinct()
-    return evaluate.regressions(before, after).groupBy("type").agg(F.count("*").alias("n"))
+    """O2: types of the standard rules that the hardened rules no longer report, per document."""
+    lost = evaluate.lost_types(F.col("standard"), F.col("hardened"))
+    return metrics.detections_by_type(_plain_types(_both_profiles(spark, sf_dir)).withColumn("detections", lost))
 
 
 @query
 def findings_over_runs(spark, sf_dir):
     """O1: what either profile reports, each document and type once."""
-    d = texts(spark, sf_dir)
-    runs = [findings.findings(d, ["doc_id"], profile=p).select("doc_id", "type") for p in ("standard", "hardened")]
-    return findings.union_runs(*runs).groupBy("type").agg(F.count("*").alias("n"))
+    either = F.array_union("standard", "hardened")
+    return metrics.detections_by_type(_plain_types(_both_profiles(spark, sf_dir)).withColumn("detections", either))
+
+
+def _plain_types(found: DataFrame) -> DataFrame:
+    """Without the types of base64 contents, which are no rows of the findings table."""
+    return found.withColumns({p: F.filter(p, lambda t: ~t.startswith("BASE64_")) for p in ("hardened", "standard")})
 
 
 @query
