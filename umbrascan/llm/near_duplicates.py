@@ -5,8 +5,9 @@ zeros and ten bits after them, 16 bits in all.  Four registers are a band, and d
 candidates.  The share of equal registers, less the collisions expected of compressed registers, estimates the Jaccard
 similarity; pairs six deviations below the threshold are given up, the others are confirmed on full shingle sets.
 
-Documents of equal sets are one class from the start.  In a first round every class is tried with the smallest class of
-each of its bands, which joins a group of copies in as many pairs as it has members.  In a second round bands that still
+Documents of equal sets are one class from the start.  In a first round every class is tried with the first class of each of
+its bands, in one of PIVOTS orders, which joins a group of copies in at most PIVOTS times as many pairs as it has members,
+even if one of these classes is far from the others.  In a second round bands that still
 hold several components compare all classes across components, in blocks of bounded rows and bytes of shingle hashes (a single
 document beyond that is a block's only excess): a first pass over registers
 names the classes of a block that have a likely partner there, a second one confirms on their full sets and reports only
@@ -31,6 +32,7 @@ BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
+PIVOTS = 4
 #: most rows, and expected bytes of shingle hashes, of each side of a block
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: expected equal registers of two unrelated sets, as a share of 2**BUCKET_BITS / 2**MANTISSA
@@ -257,7 +259,7 @@ def near_duplicates(
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     rows = classes.select("rep", "regs", "n_shingles").mapInArrow(_bands, "band long, rep long, n long")
-    shared = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("reps")).filter("reps > 1").drop("reps")
+    shared = rows.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep", F.pmod("band", F.lit(PIVOTS)))).alias("pivot"), F.count("*").alias("reps")).filter("reps > 1").drop("reps")
     bands = stored(rows.join(shared, "band"), "bands")
     pairs = bands.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda name, regs, n: classes.select(F.col("rep").alias(name), F.col("regs").alias(regs), F.col("n_shingles").alias(n))
