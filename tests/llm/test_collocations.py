@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,28 @@ def test_small_sketch_and_runs(spark, monkeypatch):
     assert result(spark, docs, least=5) == sorted(brute(docs, 5))
 
 
+def test_runs_of_a_task_are_merged(spark, monkeypatch):
+    """A task gives out each window once, however many runs its texts make."""
+    phrases = ["a b c", "d e", "a d", "c c a b"]
+    rows = [(lang, p.encode()) for _ in range(50) for lang in ("en", "de") for p in phrases]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 7]), (pa.string(), pa.binary()))], ["lang", "text"]) for i in range(0, len(rows), 7)]
+    every = bytes([255]) * (1 << (collocations.CELLS - 3))
+    windows = collocations._windows(every, every, 5)
+
+    def counted():
+        return [(*r.values(),) for b in windows(iter(batches)) for r in b.to_pylist()]
+
+    whole = counted()
+    assert sum(r[-1] for r in whole) == sum(len(p.split()) for _, p in rows) and ("en", "c", "c", "a", "b", "", 50) in whole
+    monkeypatch.setattr(collocations, "HELD", 20)
+    assert sorted(counted()) == sorted(whole)
+    monkeypatch.setattr(collocations, "KEPT", 12)
+    parts = Counter()
+    for *window, n in (out := counted()):
+        parts[tuple(window)] += n
+    assert len(out) > len(whole) and sorted((*w, n) for w, n in parts.items()) == sorted(whole)
+
+
 def test_wide_numbers_and_ties(spark):
     docs = [("en", "a b " * 60_000), ("en", "c d. " * 150), ("en", "e f. " * 150), ("en", "d c. " * 100)]
     assert result(spark, docs) == sorted(brute(docs))

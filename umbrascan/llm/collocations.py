@@ -29,6 +29,8 @@ from umbrascan.llm.shared import stored
 CELLS, CHUNK = 26, 18
 #: words that a task holds before it sums them up
 HELD = 3 << 20
+#: distinct windows that a task holds before it gives them out
+KEPT = 2 << 20
 #: marks the end of a piece; no byte of UTF-8 text
 BREAK = b"\xff"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
@@ -200,27 +202,71 @@ def _summed(least: int):
     return run
 
 
+def _distinct(lead: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as columns of ``lead``, at least one -> each once, with the sum of its counts."""
+    order = np.lexsort(lead[::-1])
+    lead = lead[:, order]
+    edges = np.flatnonzero(np.concatenate([[True], (np.diff(lead, axis=1) != 0).any(axis=0)]))
+    return lead[:, edges], np.add.reduceat(counts[order], edges)
+
+
+class Kept:
+    """A language's distinct windows over several runs; its codes number only words of windows."""
+
+    def __init__(self):
+        self.codes, self.parts = Codes(), []
+
+    def __len__(self) -> int:
+        return sum(len(counts) for _, counts in self.parts)
+
+    def add(self, words: list[bytes], lead: np.ndarray, counts: np.ndarray) -> None:
+        used = np.unique(lead)
+        codes = np.zeros(len(words), np.int32)
+        codes[used] = [self.codes[words[i]] for i in used]
+        self.parts.append((codes[lead], counts))
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            lead, counts = zip(*self.parts)
+            self.parts = [_distinct(np.concatenate(lead, axis=1), np.concatenate(counts))]
+
+
 def _windows(pairs: bytes, longer: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, text) -> distinct windows of a run with their counts; lead columns are empty where a window is padded."""
+    """(lang, text) -> distinct windows of a task with their counts; lead columns are empty where a window is padded.
+
+    A task merges the windows of its runs and gives each out once, unless it holds more than KEPT of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, more = Bits(pairs), Bits(longer)
         names = ["lang", *(f"w{i + 1}" for i in range(longest)), "n"]
+        kept: dict[str, Kept] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang in list(kept):
+                held = kept.pop(lang)
+                held.merge()
+                names_of = pa.array([b"", *list(held.codes)[1:]], pa.binary()).cast(pa.string())
+                for lead, counts in held.parts:
+                    for at in range(0, len(counts), 20_000):
+                        some = lead[:, at : at + 20_000]
+                        lang_column = pa.array([lang] * some.shape[1], pa.string())
+                        columns = [names_of.take(pa.array(codes)) for codes in some]
+                        yield pa.RecordBatch.from_arrays([lang_column, *columns, pa.array(counts[at : at + 20_000], pa.int64())], names)
+
         for lang, salt, words, hashes, codes in _runs(batches):
             start, length = _lengths(codes, hashes, salt, two, more, longest)
             if not len(start):
                 continue
             padded = np.concatenate([codes, np.zeros(longest, codes.dtype)])
             lead = np.stack([np.where(length[start] > i, padded[start + i], 0) for i in range(longest)])
-            lead = lead[:, np.lexsort(lead[::-1])]
-            edges = np.flatnonzero(np.concatenate([[True], (np.diff(lead, axis=1) != 0).any(axis=0)]))
-            counts = np.diff(edges, append=lead.shape[1])
-            names_of = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
-            for part in range(0, len(edges), 20_000):
-                some = edges[part : part + 20_000]
-                columns = [names_of.take(pa.array(lead[i, some])) for i in range(longest)]
-                lang_column = pa.array([lang] * len(some), pa.string())
-                yield pa.RecordBatch.from_arrays([lang_column, *columns, pa.array(counts[part : part + 20_000], pa.int64())], names)
+            kept.setdefault(lang, Kept()).add(words, *_distinct(lead, np.ones(len(start), np.int64)))
+            if sum(map(len, kept.values())) > KEPT:
+                for held in kept.values():
+                    held.merge()
+                if sum(map(len, kept.values())) > KEPT // 2:
+                    yield from rows()
+        yield from rows()
 
     return run
 
