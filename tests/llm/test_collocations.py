@@ -106,6 +106,23 @@ def test_runs_of_a_task_are_merged(spark, monkeypatch):
     assert len(out) > len(whole) and sorted((*w, n) for w, n in parts.items()) == sorted(whole)
 
 
+def test_tasks_follow_the_cores(spark, monkeypatch):
+    """More splits of the files don't make more tasks that each give out their phrases."""
+    keep, tasks = collocations.stored, []
+
+    def counted(df, name):
+        if name == "sketch":
+            tasks.append(df.rdd.getNumPartitions())
+        return keep(df, name)
+
+    monkeypatch.setattr(collocations, "stored", counted)
+    cores = spark.sparkContext.defaultParallelism
+    texts = spark.createDataFrame([("en", bytearray(b"a b c"))] * 100, "lang string, text binary").repartition(3 * cores)
+    counts, _ = collocations.phrase_counts(texts, 100, 5)
+    assert {(r["phrase"], r["a"]) for r in counts.collect()} == {(p, 100) for p in ("a", "b", "c", "a b", "b c", "a b c")}
+    assert tasks == [2 * cores] * 2
+
+
 def test_wide_numbers_and_ties(spark):
     docs = [("en", "a b " * 60_000), ("en", "c d. " * 150), ("en", "e f. " * 150), ("en", "d c. " * 100)]
     assert result(spark, docs) == sorted(brute(docs))

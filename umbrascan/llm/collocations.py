@@ -31,6 +31,8 @@ CELLS, CHUNK = 26, 18
 HELD = 3 << 20
 #: distinct windows that a task holds before it gives them out
 KEPT = 2 << 20
+#: tasks a core that read the texts
+TASKS = 2
 #: marks the end of a piece; no byte of UTF-8 text
 BREAK = b"\xff"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
@@ -280,8 +282,22 @@ def _bits(sketched: DataFrame, least: int) -> bytes:
     return frequent.tobytes()
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """``texts`` in at most TASKS tasks a core.
+
+    Every task gives out its cells and the frequent phrases that it sees.  With a task for each split of the files, both grow
+    with the tasks times the frequent phrases; with tasks by cores only with the phrases.  Where executors come and go, the
+    cores are not known, and the splits stay.
+    """
+    spark = texts.sparkSession
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return texts
+    return texts.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+
+
 def phrase_counts(texts: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """(lang, text as bytes) -> (lang, phrase, k, a) of 1 to ``longest`` words with a >= ``least``, and (lang, n)."""
+    texts = _dealt(texts)
     shape = "lang string, n long, chunk int, cells binary"
     sketched = stored(texts.mapInArrow(_sketch(least, longest, None), shape), "sketch")
     totals = sketched.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
